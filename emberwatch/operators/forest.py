@@ -78,6 +78,8 @@ def grow(group: pd.DataFrame, seed: int) -> pd.DataFrame:
             continue
         feature = int(rng.choice(usable))
         cut = float(rng.uniform(low[feature], high[feature]))
+        if cut <= low[feature]:  # neighbouring floats: keep both sides non-empty
+            cut = float(high[feature])
         nodes.append([service, tree, number, feature, cut, -1, -1, 0.0, len(x)])
         goes_left = rows[:, feature] < cut
         todo += [(rows[goes_left], depth + 1, (number, 5)), (rows[~goes_left], depth + 1, (number, 6))]
@@ -132,9 +134,9 @@ def score_forest(
         ),
         "parts",
     )
-    rows = df.join(parts, "service").withColumn("_part", F.pmod(F.xxhash64(*kept), F.col("_parts")).cast("int"))
+    rows = df.join(parts.select("service", "_parts"), "service").withColumn("_part", F.pmod(F.xxhash64(*kept), F.col("_parts")).cast("int"))
     wanted = parts.select(
-        "service", F.col("_model"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")
+        "service", "_model", F.explode(F.expr("sequence(0, _parts - 1)")).alias("_part")
     )
     trees = wanted.join(forest.withColumnRenamed("service", "_model"), "_model")
     columns = list(features)

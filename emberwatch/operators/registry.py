@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emberwatch.functions.columns import stable_id
 
-EXPERIMENTS = T.StructType.fromDDL(
+EXPERIMENTS = (
     "experiment_id string, family string, model string, model_version int, dataset_version string, "
     "dataset map<string,string>, hyperparameters map<string,string>, metrics map<string,map<string,double>>, "
     "model_path string, trained_at timestamp, status string, notes map<string,string>"
