@@ -50,7 +50,7 @@ def run(
     features observed after remediation; the flagged services are verified against it.
     """
     scored = durable(score_risk(features, reference, risk, probabilities, anomaly), "scored")
-    packages = top_per_service(assemble(scored, feature_columns, logs, evidence, interval_sec))
+    packages = top_per_service(assemble(features, scored, feature_columns, logs, evidence, interval_sec))
     if not per_service:
         packages = packages.orderBy(F.col("risk_score").desc(), "service").limit(1)
     packages = durable(packages, "packages")

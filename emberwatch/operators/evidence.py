@@ -47,17 +47,18 @@ def _delta(metric: str, window: WindowSpec, config: EvidenceConfig) -> Column:
 
 
 def describe_ticks(
-    scored: DataFrame,
+    table: DataFrame,
     features: Sequence[str],
     config: EvidenceConfig = EvidenceConfig(),
     layout: SeriesLayout | None = None,
 ) -> DataFrame:
-    """Adds ``top_anomalous_features`` and ``metrics_deltas`` to every row. One pass of windows for all rows; callers
-    filter afterwards, so no row's history is read twice."""
-    rows, _, window = series(scored, layout, max(config.history_rows - 1, config.delta_lag))
+    """(timestamp, service, top_anomalous_features, metrics_deltas) of every row of a feature table. One pass of windows
+    for all rows; callers filter afterwards, so no row's history is read twice."""
+    needed = list(dict.fromkeys([*features, *[m for m in config.delta_metrics if m in table.columns]]))
+    rows, _, window = series(table.select("timestamp", "service", *needed), layout, max(config.history_rows - 1, config.delta_lag))
     so_far = F.count(F.lit(1)).over(window.rowsBetween(-(config.history_rows - 1), 0))
     found = F.array_compact(F.array(*[_deviation(f, i, window, config) for i, f in enumerate(features)]))
-    metrics = [m for m in config.delta_metrics if m in scored.columns]
+    metrics = [m for m in config.delta_metrics if m in table.columns]
     deltas = F.map_from_entries(
         F.array_compact(
             F.array(
@@ -75,7 +76,7 @@ def describe_ticks(
     described = described.withColumn(
         "top_anomalous_features", F.when(F.col("_seen") >= config.min_rows, top).otherwise(F.slice(top, 1, 0))
     )
-    return home_rows(described.drop("_seen", "_found"))
+    return home_rows(described.drop("_seen", "_found", *needed))
 
 
 def recent_logs(logs: DataFrame, config: EvidenceConfig, interval_sec: int) -> DataFrame:
@@ -155,6 +156,7 @@ def recommended_actions(components: dict[str, Column], top_features: Column) ->
 
 
 def assemble(
+    table: DataFrame,
     scored: DataFrame,
     features: Sequence[str],
     logs: DataFrame | None = None,
@@ -162,15 +164,17 @@ def assemble(
     interval_sec: int = 30,
     layout: SeriesLayout | None = None,
 ) -> DataFrame:
-    """One evidence package per row whose risk reaches the threshold."""
-    described = describe_ticks(scored, features, config, layout).where(F.col("risk_score") >= config.threshold)
+    """One evidence package per row of ``scored`` whose risk reaches the threshold; ``table`` holds the features."""
     present = [c for c in COMPONENTS if c in scored.columns]
+    flagged = scored.where(F.col("risk_score") >= config.threshold).select(
+        "timestamp", "service", "risk_score", "risk_level", *present
+    )
+    described = describe_ticks(table, features, config, layout).join(flagged, ["timestamp", "service"])
     if logs is None:
         packed = described.withColumn(
             "correlated_logs", F.lit(None).cast("array<struct<timestamp:timestamp,level:string,message:string>>")
         )
     else:
-        flagged = scored.where(F.col("risk_score") >= config.threshold)
         packed = described.join(correlated_logs(flagged, logs, config, interval_sec), ["timestamp", "service"], "left")
     components = {c: F.col(c) for c in present}
     for name in COMPONENTS:

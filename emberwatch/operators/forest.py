@@ -96,6 +96,8 @@ def fit_forest(
 ) -> DataFrame:
     """The forest as a table of nodes: ``trees`` per service and over all services, each of at most 2 x sample nodes."""
     samples = sample_rows(train, features, trees, sample, seed, ids)
+    # the samples are small but growing trees is work: spread it over all cores whatever the number of bytes
+    samples = samples.repartition(train.sparkSession.sparkContext.defaultParallelism, "service", "tree")
     return durable(samples.groupBy("service", "tree").applyInPandas(lambda g: grow(g, seed), NODES), "forest")
 
 

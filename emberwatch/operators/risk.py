@@ -92,9 +92,13 @@ def score_risk(
     probabilities: Sequence[str] = (),
     anomaly: str | None = None,
 ) -> DataFrame:
-    """``df`` with the components, ``risk_score``, ``risk_level`` and ``risk`` (0/1)."""
+    """``df`` with the components, ``risk_score``, ``risk_level`` and ``risk`` (0/1).
+
+    Spark compares column names without case, so a feature named like a component (``Error_rate``) gives way to it.
+    """
     signals = signal_percentiles(df, reference, config, anomaly)
-    joined = df.join(signals, KEYS, "left")
+    named = {c.lower() for c in (*config.weights, *signals.columns)} - set(KEYS)
+    joined = df.drop(*[c for c in df.columns if c.lower() in named]).join(signals, KEYS, "left")
     probability = mean_available(probabilities) if probabilities else F.lit(None).cast("double")
     joined = joined.withColumn("failure_probability", probability)
     available = ["failure_probability", *[c for c in signals.columns if c not in KEYS]]

@@ -1,0 +1,820 @@
+"""Evidence, root cause, remediation, recovery, registry, end-to-end runs and streaming."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from emberwatch.config import PolicyConfig
+from emberwatch.operators import evidence as evd
+from emberwatch.operators import recovery as rec
+from emberwatch.operators import registry as reg
+from emberwatch.operators import remediation as rem
+from emberwatch.operators import rootcause as rca
+from emberwatch.operators.endtoend import fleet_report, fleet_summary, run
+from emberwatch.operators.evaluation import binary_metrics
+from emberwatch.operators.risk import latest_by_service
+from emberwatch.plans.durable import durable, fresh_folder
+from emberwatch.queries.base import FEATURES, LABEL, Tables, query
+from emberwatch.queries.detection import confusion, score_table
+from emberwatch.queries.preparation import KEYS, ids
+from emberwatch.queries.sqlbase import block, r, t, with_blocks
+from emberwatch.sources import adapter
+from emberwatch.streaming import jobs
+
+# --- evidence ---------------------------------------------------------------------------------------------------------
+
+BEFORE = "OVER (PARTITION BY service ORDER BY ts ROWS BETWEEN 59 PRECEDING AND 1 PRECEDING)"
+block(
+    "dev",
+    " UNION ALL ".join(
+        f"""SELECT service, ts, seen, {i} AS pos, '{f}' AS feature, v AS cur, m AS base_mean, s AS base_std, (v - m) / s AS z FROM
+        (SELECT service, ts, "{f}" AS v, avg("{f}") {BEFORE} AS m, stddev_pop("{f}") {BEFORE} + 1e-6 AS s, count("{f}") {BEFORE} AS c,
+        row_number() OVER (PARTITION BY service ORDER BY ts) AS seen FROM ds) WHERE c >= 5 AND abs((v - m) / s) > 15e-1 AND seen >= 10"""
+        for i, f in enumerate(FEATURES)
+    ),
+    "ds",
+)
+block(
+    "top5",
+    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY service, ts ORDER BY abs(round_even(z, 2)) DESC, pos) AS nr FROM dev) WHERE nr <= 5""",
+    "dev",
+)
+
+
+@query(
+    "w12_trailing_zscores",
+    with_blocks(f"SELECT {ids()}, nr AS place, feature, {r('cur', 'current')}, round_even(z, 2) AS zscore, CASE WHEN z > 0 THEN 'up' ELSE 'down' END AS direction FROM top5", "top5"),
+)
+def _(x: Tables):
+    """Most deviating features of every row, in order."""
+    described = evd.describe_ticks(x.dataset, FEATURES, adapter.EVIDENCE)
+    exploded = described.select(*KEYS, F.posexplode("top_anomalous_features").alias("p", "f"))
+    return exploded.select(*KEYS, (F.col("p") + 1).cast("long").alias("place"), "f.feature", "f.current", "f.zscore", "f.direction")
+
+
+@query(
+    "t2_top_features_of_flagged",
+    with_blocks(f"SELECT {ids()}, list(feature ORDER BY nr) AS features FROM top5 JOIN risk USING (service, ts) WHERE risk_score >= 4e-1 GROUP BY service, ts", "top5", "risk"),
+)
+def _(x: Tables):
+    described = evd.describe_ticks(x.dataset, FEATURES, adapter.EVIDENCE).join(x.risk.where("risk_score >= 0.4").select(*KEYS), KEYS)
+    names = F.transform("top_anomalous_features", lambda f: f["feature"])
+    return described.where(F.size("top_anomalous_features") > 0).select(*KEYS, names.alias("features"))
+
+
+def change(metric: str) -> str:
+    before = f'lag("{metric}", 19) OVER (PARTITION BY service ORDER BY ts)'
+    return f"""SELECT service, ts, '{metric}' AS metric, CASE WHEN {before} <> 0 THEN round_even(("{metric}" - {before}) / {before} * 100, 1)
+    ELSE round_even("{metric}" - {before}, 1) END AS delta FROM ds"""
+
+
+block("deltas", " UNION ALL ".join(change(m) for m in adapter.EVIDENCE.delta_metrics), "ds")
+
+
+@query("w13_metric_deltas", with_blocks(f"SELECT {ids()}, metric, {r('delta', 'delta')} FROM deltas WHERE delta IS NOT NULL", "deltas"))
+def _(x: Tables):
+    described = evd.describe_ticks(x.dataset, FEATURES, adapter.EVIDENCE)
+    return described.select(*KEYS, F.explode("metrics_deltas").alias("metric", "delta"))
+
+
+LOG_CHOICE = """SELECT f.service, f.ts, list(l.message ORDER BY l.ts DESC, l.level DESC, l.message DESC) AS messages FROM risk f
+JOIN LATERAL (SELECT * FROM log WHERE log.service = f.service AND log.level IN ('WARNING', 'ERROR') AND log.ts <= f.ts AND log.ts >= f.ts - INTERVAL 20 HOUR
+ORDER BY log.ts DESC, log.level, log.message, log.event_id LIMIT 3) l ON true WHERE f.risk_score >= 4e-1 GROUP BY f.service, f.ts"""
+block("near", LOG_CHOICE, "risk", "log")
+
+
+@query("i2_correlated_logs", with_blocks(f"SELECT {ids()}, messages FROM near", "near"))
+def _(x: Tables):
+    flagged = x.risk.where("risk_score >= 0.4")
+    logs = evd.correlated_logs(flagged, x.logs, adapter.EVIDENCE, adapter.HOUR)
+    return logs.select(*KEYS, F.transform("correlated_logs", lambda e: e["message"]).alias("messages"))
+
+
+def packages(x: Tables):
+    if not hasattr(x, "_packages"):
+        x._packages = durable(
+            evd.assemble(x.dataset, x.risk, FEATURES, x.logs, adapter.EVIDENCE, adapter.HOUR), "packages"
+        )
+    return x._packages
+
+
+block(
+    "pack",
+    """SELECT k.service, k.ts, k.risk_score, k.risk_level, k.failure_probability, k.error_rate, k.latency_trend, k.memory_growth, k.anomaly_score,
+    coalesce(f.features, []) AS features, coalesce(f.directions, []) AS directions, coalesce(n.messages, []) AS messages
+    FROM risk k LEFT JOIN (SELECT service, ts, list(feature ORDER BY nr) AS features, list(CASE WHEN z > 0 THEN 'up' ELSE 'down' END ORDER BY nr) AS directions
+    FROM top5 GROUP BY service, ts) f USING (service, ts) LEFT JOIN near n USING (service, ts) WHERE k.risk_score >= 4e-1""",
+    "risk",
+    "top5",
+    "near",
+)
+
+
+@query(
+    "i1_evidence",
+    with_blocks(f"SELECT {ids()}, {r('risk_score', 'risk_score')}, risk_level, features, directions, messages FROM pack", "pack"),
+)
+def _(x: Tables):
+    """All evidence packages, from the tables to logs."""
+    made = evd.assemble(x.dataset, x.risk, FEATURES, x.logs, adapter.EVIDENCE, adapter.HOUR)
+    return made.select(
+        *KEYS,
+        "risk_score",
+        "risk_level",
+        F.transform("top_anomalous_features", lambda f: f["feature"]).alias("features"),
+        F.transform("top_anomalous_features", lambda f: f["direction"]).alias("directions"),
+        F.transform("correlated_logs", lambda e: e["message"]).alias("messages"),
+    )
+
+
+GENERAL = [
+    ("failure_probability", "Escalate to on-call: high failure probability detected"),
+    ("error_rate", "Check downstream dependencies and circuit breakers"),
+    ("error_rate", "Review recent deployments for regression"),
+    ("latency_trend", "Scale horizontally: add replicas to reduce queue depth"),
+    ("latency_trend", "Enable request shedding for non-critical paths"),
+    ("memory_growth", "Trigger heap dump and memory profile analysis"),
+    ("memory_growth", "Consider rolling restart to reclaim memory"),
+]
+SPECIFIC = [
+    ("memory", "'Investigate ' || feature || ' growth - possible leak'"),
+    ("latency", "'Profile ' || feature || ' - check for contention or slow queries'"),
+    ("error", "'Analyze ' || feature || ' - correlate with upstream errors'"),
+]
+block(
+    "advice",
+    " UNION ALL ".join(f"SELECT service, ts, {i} AS o, '{text}' AS action FROM pack WHERE {c} > 7e-1" for i, (c, text) in enumerate(GENERAL))
+    + " UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT service, ts, 100 + nr * 10 + {i}, {text} FROM top5 JOIN pack USING (service, ts) WHERE nr <= 3 AND z > 0 AND contains(lower(feature), '{word}')"
+        for i, (word, text) in enumerate(SPECIFIC)
+    ),
+    "pack",
+    "top5",
+)
+
+
+@query(
+    "i3_recommended_actions",
+    with_blocks(f"SELECT {ids()}, list(action ORDER BY o) AS recommended_actions FROM (SELECT service, ts, action, min(o) AS o FROM advice GROUP BY ALL) GROUP BY service, ts", "advice"),
+)
+def _(x: Tables):
+    return packages(x).where(F.size("recommended_actions") > 0).select(*KEYS, "recommended_actions")
+
+
+@query(
+    "u4_distinct_actions",
+    with_blocks("SELECT action, count(DISTINCT (service, ts)) AS packages FROM advice GROUP BY action", "advice"),
+)
+def _(x: Tables):
+    return packages(x).select(F.explode("recommended_actions").alias("action")).groupBy("action").agg(F.count(F.lit(1)).alias("packages"))
+
+
+# --- root cause -------------------------------------------------------------------------------------------------------
+
+
+def points_sql(text: str, category: str, features: str | None = None) -> str:
+    parts = [f"2e0 * contains({text}, '{k}')::INT" for k in rca.KEYWORDS[category]]
+    tokens = rca.FEATURE_TOKENS.get(category, [])
+    if features and tokens:
+        hit = " OR ".join(f"contains(replace(lower(f), '-', '_'), '{k}')" for k in tokens)
+        parts.append(f"15e-1 * len(list_filter({features}, lambda f: {hit}))")
+    if features and category == "memory_leak":
+        parts.append("(memory_growth > 75e-2)::INT")
+    return " + ".join(parts)
+
+
+def category_sql(source: str, text: str, keep: str, features: str | None = None) -> str:
+    points = ", ".join(f"({points_sql(text, c, features)})::DOUBLE AS p_{c}" for c in rca.CATEGORIES)
+    names = [f"p_{c}" for c in rca.CATEGORIES]
+    case = " ".join(f"WHEN best > 0 AND p_{c} = best THEN '{c}'" for c in rca.CATEGORIES)
+    return f"""SELECT {keep}, CASE {case} ELSE 'unknown' END AS root_cause_category,
+    CASE WHEN best > 0 THEN round_even(least(98e-2, 3e-1 + best / ({' + '.join(names)})), 2) ELSE 3e-1 END AS confidence_score
+    FROM (SELECT *, greatest({', '.join(names)}) AS best FROM (SELECT {keep}, {points} FROM {source}))"""
+
+
+block(
+    "diag",
+    category_sql(
+        "(SELECT *, lower(array_to_string(messages, chr(10))) AS txt FROM pack)", "txt", "service, ts, risk_score", "features"
+    ),
+    "pack",
+)
+
+
+@query(
+    "i4_root_cause",
+    with_blocks(f"SELECT {ids()}, root_cause_category, {r('confidence_score', 'confidence_score')} FROM diag", "diag"),
+)
+def _(x: Tables):
+    return rca.classify(packages(x)).select(*KEYS, "root_cause_category", "confidence_score")
+
+
+@query(
+    "i4_conversation_keywords",
+    category_sql("(SELECT conv_id, turn, lower(text) AS txt FROM conversations)", "txt", "conv_id, turn"),
+)
+def _(x: Tables):
+    """Keyword diagnosis of every conversation turn, whole texts."""
+    return rca.classify_text(x.read("conversations"), "text").select("conv_id", "turn", "root_cause_category", "confidence_score")
+
+
+@query(
+    "i4_document_keywords",
+    category_sql("(SELECT doc_id, lower(text) AS txt FROM documents)", "txt", "doc_id"),
+)
+def _(x: Tables):
+    return rca.classify_text(x.read("documents"), "text").select("doc_id", "root_cause_category", "confidence_score")
+
+
+@query("i4_root_cause_full_json")
+def _(x: Tables):
+    """Keywords searched in the whole package; engines print JSON numbers differently, hence no SQL."""
+    return rca.classify(packages(x), "full_json").select(*KEYS, "root_cause_category", "confidence_score")
+
+
+def case_of(mapping: dict, key: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + " END"
+
+
+@query(
+    "i5_summary_and_action",
+    with_blocks(
+        f"SELECT {ids()}, {case_of(rca.SUMMARIES, 'root_cause_category')} AS probable_root_cause, {case_of(rca.ACTIONS, 'root_cause_category')} AS recommended_action FROM diag",
+        "diag",
+    ),
+)
+def _(x: Tables):
+    return rca.classify(packages(x)).select(*KEYS, "probable_root_cause", "recommended_action")
+
+
+@query(
+    "i6_evidence_snippets",
+    with_blocks(
+        f"""SELECT {ids()}, list_slice([s FOR s IN [
+        'component failure_probability = ' || printf('%.3f', failure_probability), 'component error_rate = ' || printf('%.3f', error_rate),
+        'component latency_trend = ' || printf('%.3f', latency_trend), 'component memory_growth = ' || printf('%.3f', memory_growth),
+        'component anomaly_score = ' || printf('%.3f', anomaly_score)] IF s IS NOT NULL], 1, 5) AS components FROM pack""",
+        "pack",
+    ),
+)
+def _(x: Tables):
+    """The leading component lines of the evidence snippets; the rest is covered by tests."""
+    return rca.classify(packages(x)).select(*KEYS, F.slice("evidence", 1, 5).alias("components"))
+
+
+def answers(x: Tables):
+    """Turns of all conversations with an answer as a model might write it: fenced, out of range, no JSON, empty."""
+    good = F.concat(
+        F.lit('```json\n{"probable_root_cause": "case '), F.col("conv_id"), F.lit('", "confidence_score": 0.'), F.col("conv_id") % 10,
+        F.lit(', "recommended_action": "restart", "root_cause_category": "'),
+        F.when(F.col("conv_id") % 2 == 0, "memory_leak").otherwise("gremlins"), F.lit('"}\n```'),
+    )
+    kind = F.col("turn") % 4
+    text = (
+        F.when(kind == 0, good)
+        .when(kind == 1, '{"probable_root_cause": "x", "confidence_score": 1.5, "recommended_action": "y"}')
+        .when(kind == 2, "no idea")
+        .otherwise('{"probable_root_cause": "  ", "confidence_score": 0.5, "recommended_action": "y"}')
+    )
+    return x.read("conversations").withColumn("answer", text)
+
+
+@query(
+    "i7_answer_validation",
+    "SELECT a.conv_id, a.turn, CASE WHEN a.turn % 4 = 0 THEN 'ok' ELSE 'fallback_heuristic' END AS status, "
+    "CASE WHEN a.turn % 4 <> 0 THEN c.root_cause_category WHEN a.conv_id % 2 = 0 THEN 'memory_leak' ELSE 'unknown' END AS root_cause_category, "
+    "CASE WHEN a.turn % 4 <> 0 THEN c.confidence_score ELSE (a.conv_id % 10) / 10 END AS confidence_score FROM conversations a JOIN ("
+    + category_sql("(SELECT conv_id, turn, lower(text) AS txt FROM conversations)", "txt", "conv_id, turn")
+    + ") c USING (conv_id, turn)",
+)
+def _(x: Tables):
+    return rca.parse_answers(answers(x), "answer", "text").select("conv_id", "turn", "status", "root_cause_category", "confidence_score")
+
+
+@query("i8_prompts")
+def _(x: Tables):
+    return rca.prompts(packages(x))
+
+
+@query(
+    "w18_top_evidence_per_service",
+    with_blocks(
+        f"SELECT {ids()}, {r('risk_score', 'risk_score')} FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY risk_score DESC, ts DESC) AS nr FROM pack) WHERE nr = 1",
+        "pack",
+    ),
+)
+def _(x: Tables):
+    return evd.top_per_service(packages(x)).select(*KEYS, "risk_score")
+
+
+# --- remediation ------------------------------------------------------------------------------------------------------
+
+PLAN_VALUES = ", ".join(f"('{c}', {i + 1}, '{a}', '{d}')" for c, steps in rem.PLANS.items() for i, (a, d) in enumerate(steps))
+REGISTRY_VALUES = ", ".join(f"('{a}', '{risk}', {rev}, '{rb}', {params})" for a, (risk, rev, rb, params) in rem.REGISTRY.items())
+block(
+    "plan",
+    f"""SELECT d.service, d.ts, d.root_cause_category AS category, p.step, p.action, p.description, g.action_risk, g.reversible, g.rollback, g.rollback_params
+    FROM diag d JOIN (VALUES {PLAN_VALUES}) p(category, step, action, description) ON p.category = d.root_cause_category
+    JOIN (VALUES {REGISTRY_VALUES}) g(action, action_risk, reversible, rollback, rollback_params) USING (action)""",
+    "diag",
+)
+
+
+def plans(x: Tables):
+    return rem.build_plans(rca.classify(packages(x)).select(*KEYS, "root_cause_category"))
+
+
+@query("j12_action_plan", with_blocks(f"SELECT {ids()}, category, step, action, description FROM plan", "plan"))
+def _(x: Tables):
+    return plans(x).select(*KEYS, "category", "step", "action", "description")
+
+
+@query(
+    "i9_plan_parameters",
+    with_blocks(
+        f"""SELECT {ids()}, step, CASE WHEN action = 'restart_container' THEN service END AS container,
+        CASE WHEN action <> 'restart_container' THEN service END AS target, CASE WHEN action = 'scale_replicas' THEN '3' END AS replicas,
+        CASE WHEN action = 'create_incident_ticket' THEN '[' || service || '] ' || replace(category, '_', ' ') || ' detected' END AS summary FROM plan""",
+        "plan",
+    ),
+)
+def _(x: Tables):
+    p = F.col("params")
+    return plans(x).select(
+        *KEYS, "step", p["container"].alias("container"), p["service"].alias("target"), p["count"].alias("replicas"), p["summary"].alias("summary")
+    )
+
+
+@query("j15_action_registry", with_blocks("SELECT action, action_risk, reversible::INT AS reversible, count(*) AS uses FROM plan GROUP BY ALL", "plan"))
+def _(x: Tables):
+    return plans(x).groupBy("action", "action_risk", "reversible").agg(F.count(F.lit(1)).alias("uses"))
+
+
+POLICY = PolicyConfig(whitelist=("clear_cache", "restart_container", "scale_replicas"), max_actions=1)
+DECIDED = """SELECT *, CASE WHEN allowed AND used < 1 THEN 'execute' ELSE 'propose' END AS decision,
+CASE WHEN used >= 1 THEN 'exceeds max_actions_per_incident=1' WHEN action = 'create_incident_ticket'
+ THEN 'action ''create_incident_ticket'' not in autonomous whitelist: [''clear_cache'', ''restart_container'', ''scale_replicas'']'
+ WHEN action_risk <> 'low' THEN 'risk ''' || action_risk || ''' exceeds autonomous limit ''low''' ELSE 'ok' END AS reason
+FROM (SELECT *, coalesce(sum(allowed::INT) OVER (PARTITION BY service, ts ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
+FROM (SELECT *, action <> 'create_incident_ticket' AND action_risk = 'low' AS allowed FROM plan))"""
+block("decided", DECIDED, "plan")
+
+
+def decided(x: Tables):
+    return rem.decide_actions(plans(x), True, POLICY, ("service", "timestamp"))
+
+
+@query("i10_policy_decisions", with_blocks(f"SELECT {ids()}, step, action, decision, reason FROM decided", "decided"))
+def _(x: Tables):
+    return decided(x).select(*KEYS, "step", "action", "decision", "reason")
+
+
+@query(
+    "w15_autonomy_cap",
+    with_blocks(f"SELECT {ids()}, count(*) FILTER (WHERE decision = 'execute') AS executed, count(*) AS actions FROM decided GROUP BY service, ts", "decided"),
+)
+def _(x: Tables):
+    d = decided(x)
+    return d.groupBy(*KEYS).agg(F.count(F.when(F.col("decision") == "execute", 1)).alias("executed"), F.count(F.lit(1)).alias("actions"))
+
+
+@query(
+    "i11_planned_status",
+    with_blocks(
+        f"""SELECT {ids()}, step, 'planned' AS advisory, 'planned' AS approval, 'execute' AS approved,
+        CASE WHEN decision = 'execute' THEN 'execute' ELSE 'requires_approval' END AS autonomous FROM decided""",
+        "decided",
+    ),
+)
+def _(x: Tables):
+    d = decided(x)
+
+    def status(mode: str, approved: bool = False, name: str | None = None):
+        return rem.planned_status(d, mode, approved).select(*KEYS, "step", F.col("status").alias(name or mode))
+
+    out = status("advisory")
+    for other in (status("approval"), status("approval", True, "approved"), status("autonomous")):
+        out = out.join(other, [*KEYS, "step"])
+    return out
+
+
+def executed(x: Tables):
+    """Outcome of the autonomous run, every executed action taken as successful."""
+    done = rem.planned_status(decided(x), "autonomous")
+    return done.withColumn("status", F.when(F.col("status") == "execute", "ok").otherwise(F.col("status")))
+
+
+block("results", "SELECT *, CASE WHEN decision = 'execute' THEN 'ok' ELSE 'requires_approval' END AS status FROM decided", "decided")
+
+
+@query(
+    "i12_rollback_plan",
+    with_blocks(
+        f"""SELECT {ids()}, step, CASE WHEN status = 'ok' AND reversible THEN 'rollback' ELSE 'skipped' END AS rollback_status,
+        CASE WHEN status <> 'ok' THEN 'nothing to roll back' WHEN NOT reversible THEN 'not reversible' ELSE rollback END AS detail,
+        CASE WHEN status = 'ok' AND reversible THEN service END AS argument FROM results""",
+        "results",
+    ),
+)
+def _(x: Tables):
+    plan = rem.rollback_plan(executed(x))
+    return plan.select(*KEYS, "step", "rollback_status", "detail", F.element_at(F.map_values("rollback_arguments"), 1).alias("argument"))
+
+
+@query(
+    "a32_execution_counts",
+    with_blocks(
+        f"SELECT {ids()}, count(*) AS actions, count(*) FILTER (WHERE status = 'ok') AS executed, count(*) FILTER (WHERE status = 'requires_approval') AS pending, "
+        "bool_and(status = 'ok')::INT AS all_ok FROM results GROUP BY service, ts",
+        "results",
+    ),
+)
+def _(x: Tables):
+    return rem.execution_counts(executed(x), ("timestamp", "service"))
+
+
+NOW = "TIMESTAMP '2024-01-30 23:00:00'"
+
+
+@query(
+    "i13_pending_approvals",
+    with_blocks(
+        f"""SELECT service, category, {t('ts', 'event_ts')} FROM (SELECT DISTINCT service, ts, category FROM plan)
+        WHERE ts >= {NOW} - INTERVAL 240 HOUR AND service <> 'svc-1'""",
+        "plan",
+    ),
+)
+def _(x: Tables):
+    """Approval requests of all incidents; those of one service were taken, old ones have expired."""
+    created = rem.approval_requests(plans(x), F.col("timestamp"))
+    taken = created.where("service = 'svc-1'").withColumn("event", F.lit("taken")).withColumn(
+        "event_ts", F.col("event_ts") + F.expr("interval 1 minute")
+    )
+    events = created.unionByName(taken).drop("plan")
+    return rem.pending_approvals(events, F.expr(NOW), 240 * 60).select("service", "category", "event_ts")
+
+
+# --- recovery ---------------------------------------------------------------------------------------------------------
+
+WATCHED = list(adapter.RECOVERY.metrics)
+block(
+    "snaps",
+    "SELECT service, "
+    + ", ".join(
+        f'avg("{m}") FILTER (WHERE split = \'val\') AS "{m}_b", avg("{m}") FILTER (WHERE split = \'test\') AS "{m}_a"' for m in WATCHED
+    )
+    + ", count(*) FILTER (WHERE split = 'val') AS before_rows, count(*) FILTER (WHERE split = 'test') AS after_rows, "
+    "quantile_cont(epoch_us(ts), 0.5) FILTER (WHERE split = 'val') AS mid_b, quantile_cont(epoch_us(ts), 0.5) FILTER (WHERE split = 'test') AS mid_a "
+    "FROM split GROUP BY service",
+    "split",
+)
+block(
+    "chk",
+    " UNION ALL ".join(
+        f"""SELECT service, '{m}' AS metric, "{m}_b" AS before, "{m}_a" AS after, {adapter.RECOVERY.thresholds[m]}::DOUBLE AS threshold FROM snaps"""
+        for m in WATCHED
+    ),
+    "snaps",
+)
+STATUS = "CASE WHEN after <= threshold THEN 'healthy' WHEN after <= before * 95e-2 THEN 'improved' WHEN after > before * 105e-2 THEN 'worsened' ELSE 'unchanged' END"
+block("checked", f"SELECT *, {STATUS} AS status, {STATUS} IN ('healthy', 'improved') AS recovered FROM chk", "chk")
+
+
+@query(
+    "a27_recovery_snapshot",
+    with_blocks("SELECT service, before_rows AS rows, " + ", ".join(r(f'"{m}_b"', m) for m in WATCHED) + " FROM snaps", "snaps"),
+)
+def _(x: Tables):
+    return rec.snapshot(x.part("val"), adapter.RECOVERY)
+
+
+@query("a28_median_time", with_blocks(f"SELECT service, {r('mid_b / 6e7', 'median_min')} FROM snaps", "snaps"))
+def _(x: Tables):
+    return rec.median_time(x.part("val")).select("service", (F.col("mid") / 6e7).alias("median_min"))
+
+
+CHECKS = (
+    f"SELECT service, metric, {r('before', 'before')}, {r('after', 'after')}, threshold, "
+    "round_even(CASE WHEN before <> 0 THEN (after - before) / before * 100 ELSE 0 END, 4) AS delta_pct, status, recovered::INT AS recovered FROM checked"
+)
+
+
+@query("i14_metric_checks", with_blocks(CHECKS, "checked"))
+def _(x: Tables):
+    return rec.check_metrics(rec.snapshot(x.part("val"), adapter.RECOVERY), rec.snapshot(x.part("test"), adapter.RECOVERY), adapter.RECOVERY)
+
+
+@query("j11_snapshot_pairs", with_blocks(f"SELECT service, metric, {r('before', 'before')}, {r('after', 'after')} FROM chk", "chk"))
+def _(x: Tables):
+    before, after = rec.snapshot(x.part("val"), adapter.RECOVERY), rec.snapshot(x.part("test"), adapter.RECOVERY)
+    return rec.check_metrics(before, after, adapter.RECOVERY).select("service", "metric", "before", "after")
+
+
+block(
+    "verdicts",
+    """SELECT service, CASE WHEN bool_and(recovered) THEN 'SUCCESS' ELSE 'FAILURE' END AS status, count(*) AS checked,
+    count(*) FILTER (WHERE recovered) AS recovered_metrics, max(before_rows) AS before_rows, max(after_rows) AS after_rows,
+    max(greatest((mid_a - mid_b) / 1e6, 3600)) AS recovery_time_sec FROM checked JOIN snaps USING (service) GROUP BY service""",
+    "checked",
+)
+
+
+@query(
+    "i15_recovery_verdict",
+    with_blocks(f"SELECT * REPLACE ({r('recovery_time_sec')} AS recovery_time_sec), 'restart' AS action FROM verdicts", "verdicts"),
+)
+def _(x: Tables):
+    return rec.verify(x.part("val"), x.part("test"), adapter.RECOVERY, action="restart")
+
+
+@query(
+    "i16_gated_verdict",
+    with_blocks("SELECT service, status FROM verdicts WHERE service IN (SELECT service FROM results WHERE status = 'ok')", "verdicts", "results"),
+)
+def _(x: Tables):
+    """Verdicts only for services on which something was executed."""
+    verdicts = rec.verify(x.part("val"), x.part("test"), adapter.RECOVERY)
+    return rec.gate_executed(verdicts, rem.execution_counts(executed(x))).select("service", "status")
+
+
+# --- end to end -------------------------------------------------------------------------------------------------------
+
+
+def incident_run(x: Tables, **options):
+    return run(
+        x.dataset.join(x.probed.select(*KEYS, "p_rows", "p_windows", "zscore_score"), KEYS),
+        x.reference,
+        FEATURES,
+        x.logs,
+        ["p_rows", "p_windows"],
+        "zscore_score",
+        adapter.RISK,
+        adapter.EVIDENCE,
+        POLICY,
+        adapter.RECOVERY,
+        interval_sec=adapter.HOUR,
+        **options,
+    )
+
+
+@query(
+    "i17_incident_run",
+    with_blocks(
+        f"""SELECT {ids()}, category, step, action, CASE WHEN decision = 'execute' THEN 'execute' ELSE 'requires_approval' END AS status FROM decided
+        JOIN (SELECT service, ts FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY risk_score DESC, ts DESC) AS nr FROM pack) WHERE nr = 1) w USING (service, ts)""",
+        "decided",
+        "pack",
+    ),
+)
+def _(x: Tables):
+    """Every stage in one run: the planned actions for the worst tick of each service."""
+    outcome = incident_run(x, mode="autonomous")
+    return outcome.actions.select(*KEYS, "category", "step", "action", "status")
+
+
+@query(
+    "i17_single_service_run",
+    with_blocks(
+        f"""SELECT {ids()}, category, step, action FROM plan JOIN (SELECT service, ts FROM pack ORDER BY risk_score DESC, service LIMIT 1) w USING (service, ts)""",
+        "plan",
+        "pack",
+    ),
+)
+def _(x: Tables):
+    outcome = incident_run(x, mode="approval", per_service=False)
+    return outcome.actions.select(*KEYS, "category", "step", "action")
+
+
+WHOLE = ", ".join(f'avg("{m}") AS "{m}_b", avg("{m}") FILTER (WHERE ts > (SELECT test_start FROM borders)) AS "{m}_a"' for m in WATCHED)
+FINE = " AND ".join(
+    f'("{m}_a" <= {adapter.RECOVERY.thresholds[m]} OR "{m}_a" <= "{m}_b" * 95e-2)' for m in WATCHED
+)
+
+
+@query(
+    "a33_fleet_report",
+    with_blocks(
+        f"""SELECT count(*) AS services, count(*) FILTER (WHERE flagged) AS flagged, count(*) FILTER (WHERE flagged) AS remediated,
+        count(*) FILTER (WHERE flagged AND fine) AS recovered, bool_and(flagged AND fine)::INT AS all_ok FROM
+        (SELECT service, service IN (SELECT service FROM pack) AS flagged, {FINE} AS fine FROM (SELECT service, {WHOLE} FROM ds GROUP BY service))""",
+        "pack",
+        "borders",
+    ),
+)
+def _(x: Tables):
+    """Stages of the run put side by side per service; recovery compares the whole series with its last part."""
+    outcome = incident_run(x, mode="autonomous", after=x.part("test"))
+    return fleet_summary(fleet_report(outcome))
+
+
+# --- experiment registry ----------------------------------------------------------------------------------------------
+
+block(
+    "runs",
+    f"""SELECT 'detector' AS family, model, split AS dataset_version, {confusion(LABEL, 'anomaly')['f1']} AS f1, {confusion(LABEL, 'anomaly')['recall']} AS recall
+    FROM table_ GROUP BY model, split""",
+    "table_",
+)
+
+
+def experiments(x: Tables):
+    """One experiment per detector and split, scored from the score table."""
+    m = binary_metrics(score_table(x), LABEL, "anomaly", ["model", "split"])
+    stamp = {"train": 1, "val": 2, "test": 3}
+    day = F.create_map(*[F.lit(v) for pair in stamp.items() for v in pair])[F.col("split")]
+    from emberwatch.queries.base import comparable
+
+    return m.select(
+        F.substring(F.sha2(F.concat_ws("|", "model", "split"), 256), 1, 12).alias("experiment_id"),
+        F.lit("detector").alias("family"),
+        "model",
+        day.alias("model_version"),
+        F.col("split").alias("dataset_version"),
+        F.create_map(F.lit("test"), F.create_map(F.lit("f1"), comparable(F.col("f1")), F.lit("recall"), comparable(F.col("recall")))).alias("metrics"),
+        F.make_timestamp(F.lit(2024), F.lit(2), day, F.lit(0), F.lit(0), F.lit(0)).alias("trained_at"),
+        F.lit("ok").alias("status"),
+    )
+
+
+VERSION = "CASE dataset_version WHEN 'train' THEN 1 WHEN 'val' THEN 2 ELSE 3 END"
+
+
+@query(
+    "a31_registry_compare",
+    with_blocks(
+        f"""SELECT family, model, version AS model_version, dataset_version, 'test' AS split, 'f1' AS metric, f1 AS value, substr(sha256(model || '|' || dataset_version), 1, 12) AS experiment_id
+        FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, version) AS nr FROM (SELECT *, {VERSION} AS version FROM runs)) WHERE nr = 1""",
+        "runs",
+    ),
+)
+def _(x: Tables):
+    return reg.compare(experiments(x))
+
+
+@query("a31_latest_and_next", with_blocks("SELECT family, model, 3 AS latest_version, 4 AS next_version FROM runs GROUP BY ALL", "runs"))
+def _(x: Tables):
+    e = experiments(x)
+    newest = reg.latest(e).select("family", "model", F.col("model_version").alias("latest_version"))
+    return newest.join(reg.next_version(e), ["family", "model"])
+
+
+@query("u6_model_keys", with_blocks("SELECT DISTINCT family || '/' || model AS model_key FROM runs", "runs"))
+def _(x: Tables):
+    return reg.models(experiments(x))
+
+
+@query(
+    "t7_compare_order",
+    with_blocks(
+        "SELECT model, best AS value, row_number() OVER (ORDER BY best DESC, model) AS place FROM (SELECT model, max(f1) AS best FROM runs GROUP BY model)",
+        "runs",
+    ),
+)
+def _(x: Tables):
+    from emberwatch.plans.ranking import numbered
+
+    c = reg.compare(experiments(x)).select("model", "value", (-F.col("value")).alias("_down"))
+    return numbered(c, ["_down", "model"], "place").select("model", "value", "place")
+
+
+@query(
+    "i22_backfill",
+    with_blocks(
+        "SELECT family, model, dataset_version, 2 + row_number() OVER (PARTITION BY model ORDER BY dataset_version) - 1 AS model_version FROM runs WHERE dataset_version = 'test'",
+        "runs",
+    ),
+)
+def _(x: Tables):
+    """The registry holds the first two runs of every detector; only the third is new."""
+    e = experiments(x)
+    existing = e.where("dataset_version <> 'test'").withColumn("model_version", F.col("model_version").cast("int"))
+    existing = existing.withColumn("model_version", F.least("model_version", F.lit(1)))
+    return reg.backfill(e.drop("experiment_id", "model_version"), existing).select(
+        "family", "model", "dataset_version", F.col("model_version").cast("long").alias("model_version")
+    )
+
+
+@query("j13_untracked", with_blocks("SELECT family, model, dataset_version FROM runs WHERE dataset_version = 'test'", "runs"))
+def _(x: Tables):
+    e = experiments(x)
+    return reg.untracked(e, e.where("dataset_version <> 'test'")).select("family", "model", "dataset_version")
+
+
+@query(
+    "w17_running_version",
+    with_blocks(f"SELECT model, dataset_version, row_number() OVER (PARTITION BY model ORDER BY {VERSION}) AS model_version FROM runs", "runs"),
+)
+def _(x: Tables):
+    return reg.assign_versions(experiments(x)).select("model", "dataset_version", F.col("model_version").cast("long").alias("model_version"))
+
+
+# --- streaming --------------------------------------------------------------------------------------------------------
+
+
+def as_files(df, x: Tables, label: str, by: str = "timestamp") -> str:
+    """The table as a folder of files in time order, to be streamed."""
+    path = fresh_folder(x.spark, label)
+    df.repartitionByRange(4, by).sortWithinPartitions(by).write.parquet(path)
+    return path
+
+
+@query(
+    "g1_stream_ingest",
+    with_blocks("SELECT strftime(ts, '%Y-%m-%d-%H') AS dt, count(*) AS lines FROM log WHERE level = 'ERROR' GROUP BY 1", "log"),
+)
+def _(x: Tables):
+    errors = x.logs.where("level = 'ERROR'")
+    source, out = as_files(errors, x, "g1_in"), fresh_folder(x.spark, "g1_out")
+    stream = jobs.stream_table(x.spark, source, errors.schema, per_batch=2)
+    jobs.ingest(stream, out, fresh_folder(x.spark, "g1_ck"), available_now=True).awaitTermination()
+    return x.spark.read.parquet(out).groupBy(F.col("dt").cast("string").alias("dt")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("g2_stream_deduplicate", with_blocks("SELECT service, count(*) AS rows FROM metrics GROUP BY service", "metrics"))
+def _(x: Tables):
+    """Every tick arrives twice and is kept once."""
+    twice = x.metrics.unionByName(x.metrics).select(*KEYS, "latency_ms")
+    stream = jobs.stream_table(x.spark, as_files(twice, x, "g2_in"), twice.schema, per_batch=1)
+    out, check = fresh_folder(x.spark, "g2_out"), fresh_folder(x.spark, "g2_ck")
+    kept = jobs.deduplicate(stream, "2 days")
+    kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return x.spark.read.schema(twice.schema).parquet(out).groupBy("service").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "g3_stream_features",
+    with_blocks(f"SELECT {ids()}, {r('\"CPU_30t_avg\"', 'CPU_30t_avg')}, {r('\"Memory_growth_rate\"', 'Memory_growth_rate')} FROM feat", "feat"),
+)
+def _(x: Tables):
+    """Row-frame features computed micro-batch by micro-batch."""
+    stream = jobs.stream_table(x.spark, as_files(x.metrics, x, "g3_in"), x.metrics.schema, per_batch=2)
+    out = fresh_folder(x.spark, "g3_out")
+    jobs.features_in_batches(stream, fresh_folder(x.spark, "g3_hist"), out, fresh_folder(x.spark, "g3_ck"), adapter.FEATURES).awaitTermination()
+    return x.spark.read.parquet(out).select(*KEYS, "CPU_30t_avg", "Memory_growth_rate")
+
+
+@query(
+    "g4_stream_incidents",
+    with_blocks(f"SELECT service, {t('start_ts', 'start_ts')}, {t('end_ts', 'end_ts')} FROM incidents WHERE end_ts <= (SELECT max(ts) FROM metrics)", "incidents"),
+)
+def _(x: Tables):
+    """Incident windows that closed while the stream ran."""
+    rows = x.metrics.select(*KEYS, "healthy")
+    stream = jobs.stream_table(x.spark, as_files(rows, x, "g4_in"), rows.schema, per_batch=1)
+    out, check = fresh_folder(x.spark, "g4_out"), fresh_folder(x.spark, "g4_ck")
+    closed = jobs.track_incidents(stream, adapter.HOUR, "2 hours")
+    closed.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return x.spark.read.schema(jobs.INCIDENT_EVENTS).parquet(out)
+
+
+@query(
+    "g7_stream_log_correlation",
+    with_blocks(
+        "SELECT l.service, count(*) AS lines FROM log l JOIN incidents i ON i.service = l.service AND l.ts >= i.start_ts AND l.ts <= i.end_ts "
+        "AND l.ts <= i.start_ts + INTERVAL 12 HOUR WHERE l.level IN ('WARNING', 'ERROR') GROUP BY l.service",
+        "log",
+        "incidents",
+    ),
+)
+def _(x: Tables):
+    logs = x.logs.select(*KEYS, "level", "message")
+    windows = x.incidents.select("service", "start_ts", "end_ts")
+    left = jobs.stream_table(x.spark, as_files(windows, x, "g7_i", "start_ts"), windows.schema)
+    right = jobs.stream_table(x.spark, as_files(logs, x, "g7_l"), logs.schema)
+    out, check = fresh_folder(x.spark, "g7_out"), fresh_folder(x.spark, "g7_ck")
+    joined = jobs.correlate_logs(left, right, "1 hour", "12 hours").select("service", "timestamp", "level")
+    joined.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    schema = "service string, timestamp timestamp, level string"
+    return x.spark.read.schema(schema).parquet(out).groupBy("service").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("g5_stream_risk", with_blocks(f"SELECT {ids()} FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ts DESC) AS nr FROM ds) WHERE nr = 1", "ds"))
+def _(x: Tables):
+    """Newest risk per service after the whole table has streamed by."""
+    rows = x.probed.drop("healthy")
+    stream = jobs.stream_table(x.spark, as_files(rows, x, "g5_in"), rows.schema, per_batch=2)
+    out = fresh_folder(x.spark, "g5_out")
+    jobs.risk_in_batches(stream, x.reference, out, fresh_folder(x.spark, "g5_ck"), adapter.RISK, ["p_rows"]).awaitTermination()
+    return latest_by_service(x.spark.read.parquet(out)).select(*KEYS)
+
+
+@query("g6_stream_drift")
+def _(x: Tables):
+    """Drift summary of every micro-batch of the test split against the training split."""
+    columns = ["Error_rate", "Latency_30t_avg", "Memory_growth_rate"]
+    rows = x.part("test").select(*KEYS, *columns)
+    stream = jobs.stream_table(x.spark, as_files(rows, x, "g6_in"), rows.schema, per_batch=4)
+    out = fresh_folder(x.spark, "g6_out")
+    jobs.drift_in_batches(stream, x.part("train").select(*columns), columns, out, fresh_folder(x.spark, "g6_ck"), adapter.DRIFT).awaitTermination()
+    return x.spark.read.parquet(out).select("epoch", "total_features", "drifted_features_count", "drift_share")
+
+
+@query(
+    "g8_late_rows",
+    with_blocks("SELECT service, count(*) AS rows, count(*) FILTER (WHERE k >= 50) AS late FROM ev GROUP BY service", "ev"),
+)
+def _(x: Tables):
+    """Events arriving k minutes after they happened, counted as late from 50 minutes on."""
+    arrived = x.events.withColumn("arrival", F.col("timestamp") + F.make_interval(mins=F.col("k")))
+    return jobs.late_rows(arrived, 50 * 60 - 1)

@@ -10,7 +10,7 @@ from emberwatch.operators import risk as rk
 from emberwatch.operators.evaluation import evaluate_scores, level_distribution, mean_lead_time
 from emberwatch.operators.splits import split_report
 from emberwatch.plans.durable import fresh_folder
-from emberwatch.queries.base import FEATURES, LABEL, Tables, query
+from emberwatch.queries.base import FEATURES, LABEL, Tables, comparable, query
 from emberwatch.queries.detection import confusion, confusion_sql, ranking_sql
 from emberwatch.queries.preparation import KEYS, ids
 from emberwatch.queries.sqlbase import block, long_of, r, t, with_blocks
@@ -314,9 +314,13 @@ def drift_blocks(name: str, early: str, late: str, columns) -> None:
 
 
 drift_blocks("line", f"(SELECT * FROM lineitem WHERE {EARLY})", f"(SELECT * FROM lineitem WHERE {LATE})", LINES)
-drift_blocks(
-    "grid", "(SELECT * FROM split WHERE split = 'train')", "(SELECT * FROM split WHERE split = 'test')", FEATURES
-)
+# values that are equal up to rounding error must fall into the same bin in both engines
+SPLIT_DIGITS = "(SELECT " + ", ".join(r(f'"{f}"', f) for f in FEATURES) + " FROM split WHERE split = '{0}')"
+drift_blocks("grid", SPLIT_DIGITS.format("train"), SPLIT_DIGITS.format("test"), FEATURES)
+
+
+def split_digits(x: Tables, name: str):
+    return x.part(name).select(*KEYS, *[comparable(F.col(f)).alias(f) for f in FEATURES])
 
 
 def line_sides(x: Tables):
@@ -332,8 +336,6 @@ DRIFT_COLUMNS = (
 
 
 def comparable_drift(df):
-    from emberwatch.queries.base import comparable
-
     return df.withColumn("mean_shift", comparable(F.col("mean_shift"), 4))
 
 
@@ -345,14 +347,14 @@ def _(x: Tables):
 
 @query("d18_train_test_drift", with_blocks(f"SELECT {DRIFT_COLUMNS} FROM grid_drift", "grid_drift"))
 def _(x: Tables):
-    return comparable_drift(dr.feature_drift(x.part("train"), x.part("test"), FEATURES))
+    return comparable_drift(dr.feature_drift(split_digits(x, "train"), split_digits(x, "test"), FEATURES))
 
 
 def grid_drift(x: Tables):
     from emberwatch.plans.durable import durable
 
     if not hasattr(x, "_drift"):
-        x._drift = durable(dr.feature_drift(x.part("train"), x.part("test"), FEATURES), "grid_drift")
+        x._drift = durable(dr.feature_drift(split_digits(x, "train"), split_digits(x, "test"), FEATURES), "grid_drift")
     return x._drift
 
 
@@ -444,7 +446,7 @@ a / b::DOUBLE >= 3e-1 AS drift, list_sort(coalesce(list(feature) FILTER (WHERE d
 
 @query("d17_retraining_decision", with_blocks(REASON, "grid_drift"))
 def _(x: Tables):
-    report = dr.drift_report(x.part("train"), x.part("test"), FEATURES, config=adapter.DRIFT)
+    report = dr.drift_report(split_digits(x, "train"), split_digits(x, "test"), FEATURES, config=adapter.DRIFT)
     return report["retraining"].select("retraining_required", "severity", "trigger_reasons", "critical_drifted")
 
 

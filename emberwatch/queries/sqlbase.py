@@ -219,7 +219,7 @@ def share_at_or_below(feature: str) -> str:
 block(
     "comp",
     f"""
-SELECT p.*, {share_at_or_below("Error_rate")} AS error_rate, {share_at_or_below("Latency_30t_avg")} AS latency_trend,
+SELECT p.* EXCLUDE ("Error_rate"), {share_at_or_below("Error_rate")} AS error_rate, {share_at_or_below("Latency_30t_avg")} AS latency_trend,
        {share_at_or_below("Memory_growth_rate")} AS memory_growth,
        cume_dist() OVER (ORDER BY zscore_score) AS anomaly_score,
        CASE WHEN p_windows IS NULL THEN p_rows ELSE (p_rows + p_windows) / 2 END AS failure_probability
