@@ -36,6 +36,11 @@ def total_of(columns: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def half_even(column: Column, digits: int) -> Column:
+    """Rounds halves to even after removing floating-point noise, so that 12.25 and 12.250000000000002 agree."""
+    return F.bround(F.round(column, 9), digits)
+
+
 def minutes_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(60_000_000.0)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberwatch.config import DriftConfig
-from emberwatch.functions.columns import total_of
+from emberwatch.functions.columns import half_even, total_of
 from emberwatch.operators.evaluation import binary_metrics
 from emberwatch.plans.durable import durable
 from emberwatch.plans.ranking import rank_value, running_totals
@@ -225,7 +225,7 @@ def retraining(features: DataFrame, perf: DataFrame, config: DriftConfig = Drift
     )
     names = F.concat(F.lit("["), F.array_join("critical_drifted", ", "), F.lit("]"))
     has_critical = F.size("critical_drifted") > 0
-    percent = F.format_string("%.1f", F.bround(F.col("drift_share") * 100, 1))
+    percent = F.format_string("%.1f", half_even(F.col("drift_share") * 100, 1))
     # Wording of reasons and recommendations.
     reasons = F.array_compact(
         F.array(

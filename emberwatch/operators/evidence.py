@@ -9,23 +9,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberwatch.config import EvidenceConfig, SeriesLayout
-from emberwatch.functions.columns import null_if_nan
+from emberwatch.functions.columns import half_even, null_if_nan
 from emberwatch.plans.blocks import home_rows, series
 
 COMPONENTS = ("failure_probability", "error_rate", "latency_trend", "memory_growth", "anomaly_score")
 
 
-def _deviation(feature: str, position: int, window: WindowSpec, config: EvidenceConfig) -> Column:
-    """Struct for one feature, NULL unless it deviates clearly from the rows before it."""
+def _history_columns(features: Sequence[str], window: WindowSpec, config: EvidenceConfig) -> dict[str, Column]:
+    """Mean, spread and number of values of every feature over the rows before the current one."""
     history = window.rowsBetween(-(config.history_rows - 1), -1)
-    value = null_if_nan(F.col(feature))
-    mean = F.avg(value).over(history)
-    spread = F.stddev_pop(value).over(history) + F.lit(1e-6)
+    columns = {}
+    for f in features:
+        value = null_if_nan(F.col(f))
+        columns[f"{f}__mean"] = F.avg(value).over(history)
+        columns[f"{f}__std"] = F.stddev_pop(value).over(history)
+        columns[f"{f}__n"] = F.count(value).over(history)
+    return columns
+
+
+def _deviation(feature: str, position: int, config: EvidenceConfig) -> Column:
+    """Struct for one feature, NULL unless it deviates clearly from the rows before it."""
+    value, mean = null_if_nan(F.col(feature)), F.col(f"{feature}__mean")
+    spread = F.col(f"{feature}__std") + F.lit(1e-6)
     z = (value - mean) / spread
-    clear = (F.count(value).over(history) >= config.min_values) & (F.abs(z) > config.min_abs_z)
-    rounded = F.bround(z, 2)
+    rounded = half_even(z, 2)
     return F.when(
-        clear,
+        (F.col(f"{feature}__n") >= config.min_values) & (F.abs(z) > config.min_abs_z),
         F.struct(
             (-F.abs(rounded)).alias("order"),
             F.lit(position).alias("position"),
@@ -39,11 +48,10 @@ def _deviation(feature: str, position: int, window: WindowSpec, config: Evidence
     )
 
 
-def _delta(metric: str, window: WindowSpec, config: EvidenceConfig) -> Column:
+def _delta(metric: str) -> Column:
     """Percent change against the row ``delta_lag`` rows back, plain difference where that row is 0."""
-    before = F.lag(metric, config.delta_lag).over(window)
-    now = F.col(metric)
-    return F.when(before != 0, F.bround((now - before) / before * 100, 1)).otherwise(F.bround(now - before, 1))
+    before, now = F.col(f"{metric}__before"), F.col(metric)
+    return F.when(before != 0, half_even((now - before) / before * 100, 1)).otherwise(half_even(now - before, 1))
 
 
 def describe_ticks(
@@ -56,27 +64,32 @@ def describe_ticks(
     for all rows; callers filter afterwards, so no row's history is read twice."""
     needed = list(dict.fromkeys([*features, *[m for m in config.delta_metrics if m in table.columns]]))
     rows, _, window = series(table.select("timestamp", "service", *needed), layout, max(config.history_rows - 1, config.delta_lag))
-    so_far = F.count(F.lit(1)).over(window.rowsBetween(-(config.history_rows - 1), 0))
-    found = F.array_compact(F.array(*[_deviation(f, i, window, config) for i, f in enumerate(features)]))
     metrics = [m for m in config.delta_metrics if m in table.columns]
-    deltas = F.map_from_entries(
-        F.array_compact(
-            F.array(
-                *[
-                    F.when(_delta(m, window, config).isNotNull(), F.struct(F.lit(m).alias("metric"), _delta(m, window, config).alias("delta")))
-                    for m in metrics
-                ]
-            )
-        )
+    # every window value is computed once as a column; the structs below only combine columns
+    windowed = rows.withColumns(
+        {
+            **_history_columns(features, window, config),
+            **{f"{m}__before": F.lag(m, config.delta_lag).over(window) for m in metrics},
+            "_seen": F.count(F.lit(1)).over(window.rowsBetween(-(config.history_rows - 1), 0)),
+        }
+    )
+    found = F.array_compact(F.array(*[_deviation(f, i, config) for i, f in enumerate(features)]))
+    deltas = F.map_filter(
+        F.create_map(*[x for m in metrics for x in (F.lit(m), _delta(m))]), lambda _, change: change.isNotNull()
+    )
+    described = windowed.select(
+        *[c for c in ("timestamp", "service", "_home", "_block") if c in rows.columns],
+        "_seen",
+        found.alias("_found"),
+        deltas.alias("metrics_deltas"),
     )
-    described = rows.withColumn("_seen", so_far).withColumn("_found", found).withColumn("metrics_deltas", deltas)
     best = F.slice(F.array_sort("_found"), 1, config.top_k)
     top = F.transform(best, lambda s: s.dropFields("order", "position"))
     # the frame counts at most history_rows rows, so warm-up is all that has fewer than min_rows
     described = described.withColumn(
         "top_anomalous_features", F.when(F.col("_seen") >= config.min_rows, top).otherwise(F.slice(top, 1, 0))
     )
-    return home_rows(described.drop("_seen", "_found", *needed))
+    return home_rows(described.drop("_seen", "_found"))
 
 
 def recent_logs(logs: DataFrame, config: EvidenceConfig, interval_sec: int) -> DataFrame:

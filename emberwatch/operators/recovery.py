@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.config import RecoveryConfig
+from emberwatch.functions.columns import half_even
 from emberwatch.plans.ranking import exact_quantiles
 
 
@@ -38,12 +39,12 @@ def check_metrics(before: DataFrame, after: DataFrame, config: RecoveryConfig =
     """One row per service and metric known on both sides."""
     pairs = _long(before, "before").join(_long(after, "after"), ["service", "metric"])
     pairs = pairs.where(F.col("before").isNotNull() & F.col("after").isNotNull())
-    limits = F.create_map(*[F.lit(x) for pair in config.thresholds.items() for x in pair]).getItem(F.col("metric"))
+    limits = F.create_map(*[F.lit(x) for pair in config.thresholds.items() for x in pair])[F.col("metric")]
     checked = pairs.withColumn("threshold", limits)
     status = check_metric(F.col("before"), F.col("after"), F.col("threshold"), config.min_improvement)
     change = F.when(F.col("before") != 0, (F.col("after") - F.col("before")) / F.col("before") * 100).otherwise(0.0)
     return (
-        checked.withColumn("delta_pct", F.bround(change, 4))
+        checked.withColumn("delta_pct", half_even(change, 4))
         .withColumn("status", status)
         .withColumn("recovered", F.col("status").isin("healthy", "improved"))
     )

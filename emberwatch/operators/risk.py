@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.config import LEVELS, RiskConfig
-from emberwatch.functions.columns import null_if_nan, total_of
+from emberwatch.functions.columns import half_even, null_if_nan, total_of
 from emberwatch.plans.ranking import percentile_ranks
 
 KEYS = ["timestamp", "service"]
@@ -82,7 +82,7 @@ def risk_level(score: Column, cuts: dict[str, float]) -> Column:
 
 def risk_text(score: Column, level: Column) -> Column:
     """Alert line, e.g. ``INCIDENT RISK 91% — CRITICAL``."""
-    return F.format_string("INCIDENT RISK %d%% — %s", F.bround(score * 100, 0).cast("int"), level)
+    return F.format_string("INCIDENT RISK %d%% — %s", half_even(score * 100, 0).cast("int"), level)
 
 
 def score_risk(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.functions.columns import total_of
+from emberwatch.functions.columns import half_even, total_of
 
 # Categories in tie-break order, keywords per category, feature-name tokens per category.
 CATEGORIES = (
@@ -102,7 +102,7 @@ def decide_category(points: dict[str, Column]) -> tuple[Column, Column]:
     name = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), F.array_position(ordered, best).cast("int"))
     category = F.when(best > 0, name).otherwise(UNKNOWN)
     share = best / F.when(total == 0, 1.0).otherwise(total)
-    confidence = F.when(best > 0, F.bround(F.least(F.lit(0.98), F.lit(0.3) + share), 2)).otherwise(0.3)
+    confidence = F.when(best > 0, half_even(F.least(F.lit(0.98), F.lit(0.3) + share), 2)).otherwise(0.3)
     return category, confidence
 
 

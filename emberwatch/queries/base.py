@@ -24,6 +24,8 @@ from emberwatch.sources import adapter
 
 FEATURES = adapter.FEATURES.feature_names
 LABEL = adapter.LABEL
+# Columns that are ranked; they carry ten digits so that equal values tie alike in both engines.
+RANKED = ["Error_rate", "Latency_30t_avg", "Memory_growth_rate", "zscore_score"]
 # Blocks small enough that the test scales cut every service into several of them.
 EVENT_LAYOUT = SeriesLayout(bucket_sec=86_400, block_rows=100_000)
 
@@ -76,11 +78,13 @@ class Tables:
     def probed(self) -> DataFrame:
         """Dataset with the z-score and two stand-in model probabilities, one of them unknown for warm-up rows."""
         scored = score_zscore(self.dataset, self.zscore, FEATURES, "zscore_score")
-        return durable(scored.withColumn("p_rows", probability_of_rows()).withColumn("p_windows", probability_of_windows()), "probed")
+        scored = scored.withColumn("p_rows", probability_of_rows()).withColumn("p_windows", probability_of_windows())
+        return durable(scored.withColumns({c: comparable(F.col(c)) for c in RANKED}), "probed")
 
     @cached_property
     def reference(self) -> DataFrame:
-        return durable(calibration(self.part("train"), adapter.RISK), "reference")
+        train = self.part("train").withColumns({c: comparable(F.col(c)) for c in RANKED if c in FEATURES})
+        return durable(calibration(train, adapter.RISK), "reference")
 
     @cached_property
     def risk(self) -> DataFrame:

@@ -36,14 +36,14 @@ block(
 )
 block(
     "top5",
-    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY service, ts ORDER BY abs(round_even(z, 2)) DESC, pos) AS nr FROM dev) WHERE nr <= 5""",
+    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY service, ts ORDER BY abs(round_even(round(z, 9), 2)) DESC, pos) AS nr FROM dev) WHERE nr <= 5""",
     "dev",
 )
 
 
 @query(
     "w12_trailing_zscores",
-    with_blocks(f"SELECT {ids()}, nr AS place, feature, {r('cur', 'current')}, round_even(z, 2) AS zscore, CASE WHEN z > 0 THEN 'up' ELSE 'down' END AS direction FROM top5", "top5"),
+    with_blocks(f"SELECT {ids()}, nr AS place, feature, {r('cur', 'current')}, {r('round_even(round(z, 9), 2)', 'zscore')}, CASE WHEN z > 0 THEN 'up' ELSE 'down' END AS direction FROM top5", "top5"),
 )
 def _(x: Tables):
     """Most deviating features of every row, in order."""
@@ -64,8 +64,8 @@ def _(x: Tables):
 
 def change(metric: str) -> str:
     before = f'lag("{metric}", 19) OVER (PARTITION BY service ORDER BY ts)'
-    return f"""SELECT service, ts, '{metric}' AS metric, CASE WHEN {before} <> 0 THEN round_even(("{metric}" - {before}) / {before} * 100, 1)
-    ELSE round_even("{metric}" - {before}, 1) END AS delta FROM ds"""
+    return f"""SELECT service, ts, '{metric}' AS metric, CASE WHEN {before} <> 0 THEN round_even(round(("{metric}" - {before}) / {before} * 100, 9), 1)
+    ELSE round_even(round("{metric}" - {before}, 9), 1) END AS delta FROM ds"""
 
 
 block("deltas", " UNION ALL ".join(change(m) for m in adapter.EVIDENCE.delta_metrics), "ds")
@@ -189,7 +189,7 @@ def category_sql(source: str, text: str, keep: str, features: str | None = None)
     names = [f"p_{c}" for c in rca.CATEGORIES]
     case = " ".join(f"WHEN best > 0 AND p_{c} = best THEN '{c}'" for c in rca.CATEGORIES)
     return f"""SELECT {keep}, CASE {case} ELSE 'unknown' END AS root_cause_category,
-    CASE WHEN best > 0 THEN round_even(least(98e-2, 3e-1 + best / ({' + '.join(names)})), 2) ELSE 3e-1 END AS confidence_score
+    CASE WHEN best > 0 THEN round_even(round(least(98e-2, 3e-1 + best / ({' + '.join(names)})), 9), 2) ELSE 3e-1 END AS confidence_score
     FROM (SELECT *, greatest({', '.join(names)}) AS best FROM (SELECT {keep}, {points} FROM {source}))"""
 
 
@@ -252,9 +252,9 @@ def _(x: Tables):
     "i6_evidence_snippets",
     with_blocks(
         f"""SELECT {ids()}, list_slice([s FOR s IN [
-        'component failure_probability = ' || printf('%.3f', failure_probability), 'component error_rate = ' || printf('%.3f', error_rate),
-        'component latency_trend = ' || printf('%.3f', latency_trend), 'component memory_growth = ' || printf('%.3f', memory_growth),
-        'component anomaly_score = ' || printf('%.3f', anomaly_score)] IF s IS NOT NULL], 1, 5) AS components FROM pack""",
+        'component failure_probability = ' || printf('%.3f', failure_probability + 1e-9), 'component error_rate = ' || printf('%.3f', error_rate + 1e-9),
+        'component latency_trend = ' || printf('%.3f', latency_trend + 1e-9), 'component memory_growth = ' || printf('%.3f', memory_growth + 1e-9),
+        'component anomaly_score = ' || printf('%.3f', anomaly_score + 1e-9)] IF s IS NOT NULL], 1, 5) AS components FROM pack""",
         "pack",
     ),
 )
@@ -496,7 +496,7 @@ def _(x: Tables):
 
 CHECKS = (
     f"SELECT service, metric, {r('before', 'before')}, {r('after', 'after')}, threshold, "
-    "round_even(CASE WHEN before <> 0 THEN (after - before) / before * 100 ELSE 0 END, 4) AS delta_pct, status, recovered::INT AS recovered FROM checked"
+    "round_even(round(CASE WHEN before <> 0 THEN (after - before) / before * 100 ELSE 0 END, 9), 4) AS delta_pct, status, recovered::INT AS recovered FROM checked"
 )
 
 
@@ -712,10 +712,17 @@ def _(x: Tables):
 # --- streaming --------------------------------------------------------------------------------------------------------
 
 
-def as_files(df, x: Tables, label: str, by: str = "timestamp") -> str:
-    """The table as a folder of files in time order, to be streamed."""
+def as_files(df, x: Tables, label: str, by: str = "timestamp", parts: int = 4) -> str:
+    """The table as a folder of files to be streamed. Slices of time are written one after the other because a file
+    source reads files in the order of their modification."""
     path = fresh_folder(x.spark, label)
-    df.repartitionByRange(4, by).sortWithinPartitions(by).write.parquet(path)
+    ends = df.agg(F.min(by).alias("lo"), F.max(by).alias("hi")).first()
+    step = (ends["hi"] - ends["lo"]) / parts
+    for i in range(parts):
+        rows = df.where(F.col(by) >= F.lit(ends["lo"] + i * step))
+        if i < parts - 1:
+            rows = rows.where(F.col(by) < F.lit(ends["lo"] + (i + 1) * step))
+        rows.coalesce(1).write.mode("append").parquet(path)
     return path
 
 

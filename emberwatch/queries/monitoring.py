@@ -10,7 +10,7 @@ from emberwatch.operators import risk as rk
 from emberwatch.operators.evaluation import evaluate_scores, level_distribution, mean_lead_time
 from emberwatch.operators.splits import split_report
 from emberwatch.plans.durable import fresh_folder
-from emberwatch.queries.base import FEATURES, LABEL, Tables, comparable, query
+from emberwatch.queries.base import FEATURES, LABEL, RANKED, Tables, comparable, query
 from emberwatch.queries.detection import confusion, confusion_sql, ranking_sql
 from emberwatch.queries.preparation import KEYS, ids
 from emberwatch.queries.sqlbase import block, long_of, r, t, with_blocks
@@ -35,6 +35,7 @@ def _(x: Tables):
     return scored.select(*KEYS, *COMPONENTS, "risk_score", "risk_level", "risk")
 
 
+Z10 = r('a.zscore_score')
 FLAGSHIP = with_blocks(
     f"""SELECT {ids()}, {rounded(['error_rate', 'latency_trend', 'memory_growth', 'anomaly_score'])}, {r('fused', 'risk_score')},
     CASE WHEN fused >= 85e-2 THEN 'CRITICAL' WHEN fused >= 65e-2 THEN 'ANOMALOUS' WHEN fused >= 4e-1 THEN 'WARNING' ELSE 'NORMAL' END AS risk_level
@@ -51,20 +52,22 @@ def flagship(x: Tables):
     from emberwatch.operators.detectors import score_zscore
 
     scored = score_zscore(x.dataset, x.zscore, FEATURES, "zscore_score")
+    scored = scored.withColumns({c: comparable(F.col(c)) for c in RANKED})
     latest = rk.latest_by_service(rk.score_risk(scored, x.reference, adapter.RISK, [], "zscore_score"))
     return latest.select(
         *KEYS, "error_rate", "latency_trend", "memory_growth", "anomaly_score", "risk_score", "risk_level"
     )
 
 
+AGAINST_TRAIN = (
+    f"(SELECT count(*) FROM zs a JOIN split s USING (service, ts) WHERE s.split = 'train' AND {Z10} <= p.zscore_score)"
+    " / (SELECT count(*) FROM split WHERE split = 'train')::DOUBLE"
+)
+
+
 @query(
     "d16_risk_anomaly_vs_train",
-    with_blocks(
-        f"""SELECT {ids()}, {r('(SELECT count(*) FROM zs a JOIN split s USING (service, ts) WHERE s.split = \'train\' AND a.zscore_score <= p.zscore_score) / (SELECT count(*) FROM split WHERE split = \'train\')::DOUBLE', 'anomaly_score')}
-        FROM probed p""",
-        "probed",
-        "split",
-    ),
+    with_blocks(f"SELECT {ids()}, {r(AGAINST_TRAIN, 'anomaly_score')} FROM probed p", "probed", "split"),
 )
 def _(x: Tables):
     """The anomaly score ranked in the training scores instead of in the scored rows."""
@@ -95,7 +98,7 @@ def _(x: Tables):
 @query(
     "p16_alert_text",
     with_blocks(
-        f"SELECT {ids()}, 'INCIDENT RISK ' || round_even(risk_score * 100, 0)::INT || '% — ' || risk_level AS alert FROM risk WHERE risk = 1",
+        f"SELECT {ids()}, 'INCIDENT RISK ' || round_even(round(risk_score * 100, 9), 0)::INT || '% — ' || risk_level AS alert FROM risk WHERE risk = 1",
         "risk",
     ),
 )

@@ -198,10 +198,12 @@ block(
 )
 Z = "greatest(" + ", ".join(f'abs((d."{f}" - z."{f}__mean") / z."{f}__std")' for f in FEATURES) + ")"
 block("zs", f"SELECT d.*, {Z} AS zscore_score FROM ds d JOIN zfit z USING (service)", "zfit")
+# Columns that are ranked; equal values must tie alike in both engines.
+RANKED = ["Error_rate", "Latency_30t_avg", "Memory_growth_rate", "zscore_score"]
 block(
     "probed",
     """
-SELECT *, 1 / (1 + exp(-(6e0 * "Error_rate" + 1e-2 * "Latency_30t_avg" - 4e0))) AS p_rows,
+SELECT * REPLACE (""" + ", ".join(r(f'"{c}"', c) for c in RANKED) + """), 1 / (1 + exp(-(6e0 * "Error_rate" + 1e-2 * "Latency_30t_avg" - 4e0))) AS p_rows,
        CASE WHEN ts >= TIMESTAMP '2024-01-01 19:00:00'
             THEN 1 / (1 + exp(-(5e-1 * "Memory_growth_rate" + 5e-2 * zscore_score))) END AS p_windows
 FROM zs""",
@@ -211,7 +213,7 @@ FROM zs""",
 
 def share_at_or_below(feature: str) -> str:
     return (
-        f'(SELECT count(*) FROM split s WHERE s.split = \'train\' AND s."{feature}" <= p."{feature}")'
+        f'(SELECT count(*) FROM split s WHERE s.split = \'train\' AND {r('s."' + feature + '"')} <= p."{feature}")'
         " / (SELECT count(*) FROM split WHERE split = 'train')::DOUBLE"
     )
 

@@ -131,7 +131,8 @@ def track_incidents(stream: DataFrame, interval_sec: int, lateness: str = LATENE
             state.update((start, last))
             if start is not None:
                 state.setTimeoutTimestamp(max((last + step) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(closed, columns=["service", "start_ts", "end_ts"])
+        if closed:
+            yield pd.DataFrame(closed, columns=["service", "start_ts", "end_ts"])
 
     return (
         stream.select("timestamp", "service", "healthy")
