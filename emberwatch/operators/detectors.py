@@ -23,6 +23,7 @@ from emberwatch.plans.durable import durable
 from emberwatch.plans.ranking import exact_quantiles, percentile_ranks
 
 STATISTICAL = ("zscore", "iqr", "rolling_iqr")
+EVERYONE = "*"  # service name under which statistics over all services are kept
 
 
 def normal_rows(df: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -80,9 +81,11 @@ def fit_zscore(train: DataFrame, features: Sequence[str], eps: float = 1e-9) ->
 
 
 def fit_iqr(train: DataFrame, features: Sequence[str]) -> Fitted:
-    per_service = _widen(quartiles(train, features), features, ["service"])
-    overall = _widen(quartiles(train, features, ()), features, []).first().asDict()
-    return Fitted(durable(per_service, "iqr"), overall)
+    """Quartiles per service and over all services in one pass; the latter travel under the service ``*``."""
+    both = train.select("service", *features).withColumn("service", F.explode(F.array("service", F.lit(EVERYONE))))
+    fitted = durable(_widen(quartiles(both, features), features, ["service"]), "iqr")
+    overall = fitted.where(F.col("service") == EVERYONE).drop("service").first().asDict()
+    return Fitted(fitted.where(F.col("service") != EVERYONE), overall)
 
 
 def zscore_column(features: Sequence[str]) -> Column:

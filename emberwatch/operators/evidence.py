@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberwatch.config import EvidenceConfig, SeriesLayout
 from emberwatch.functions.columns import half_even, null_if_nan
@@ -15,21 +18,47 @@ from emberwatch.plans.blocks import home_rows, series
 COMPONENTS = ("failure_probability", "error_rate", "latency_trend", "memory_growth", "anomaly_score")
 
 
-def _history_columns(features: Sequence[str], window: WindowSpec, config: EvidenceConfig) -> dict[str, Column]:
-    """Mean, spread and number of values of every feature over the rows before the current one."""
-    history = window.rowsBetween(-(config.history_rows - 1), -1)
-    columns = {}
-    for f in features:
-        value = null_if_nan(F.col(f))
-        columns[f"{f}__mean"] = F.avg(value).over(history)
-        columns[f"{f}__std"] = F.stddev_pop(value).over(history)
-        columns[f"{f}__n"] = F.count(value).over(history)
-    return columns
+def _trailing(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, population deviation and number of the known values among the ``width`` rows before each row."""
+    padded = np.concatenate([np.full(width, np.nan), values[:-1]])
+    frames = np.lib.stride_tricks.sliding_window_view(padded, width)
+    known = ~np.isnan(frames)
+    number = known.sum(axis=1)
+    safe = np.maximum(number, 1)
+    mean = np.where(known, frames, 0.0).sum(axis=1) / safe
+    spread = np.sqrt((np.where(known, frames - mean[:, None], 0.0) ** 2).sum(axis=1) / safe)
+    return np.where(number > 0, mean, np.nan), np.where(number > 0, spread, np.nan), number
+
+
+def _history(rows: DataFrame, keys: Sequence[str], features: Sequence[str], metrics: Sequence[str], config: EvidenceConfig):
+    """Rows with the trailing statistics of every feature, the earlier value of every key metric and ``_seen``.
+
+    Per group and feature this is three passes over one array; the same frames as window aggregates cost about a hundred
+    times as much, because every aggregate of every feature is rebuilt from all rows of its frame. A group is one block
+    of consecutive rows, so its size is bounded.
+    """
+    width = config.history_rows - 1
+    added = [T.StructField(f"{f}__{s}", T.DoubleType()) for f in features for s in ("mean", "std", "n")]
+    added += [T.StructField(f"{m}__before", T.DoubleType()) for m in metrics]
+    schema = T.StructType([*rows.schema.fields, *added, T.StructField("_seen", T.LongType())])
+
+    def describe(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("timestamp", kind="mergesort").reset_index(drop=True)
+        new: dict[str, object] = {}
+        for f in features:
+            stats = _trailing(group[f].to_numpy(dtype="float64"), width)
+            new[f"{f}__mean"], new[f"{f}__std"], new[f"{f}__n"] = stats
+        for m in metrics:
+            new[f"{m}__before"] = group[m].astype("float64").shift(config.delta_lag)
+        new["_seen"] = np.minimum(np.arange(1, len(group) + 1), config.history_rows)
+        return pd.concat([group, pd.DataFrame(new)], axis=1)
+
+    return rows.groupBy(*keys).applyInPandas(describe, schema)
 
 
 def _deviation(feature: str, position: int, config: EvidenceConfig) -> Column:
     """Struct for one feature, NULL unless it deviates clearly from the rows before it."""
-    value, mean = null_if_nan(F.col(feature)), F.col(f"{feature}__mean")
+    value, mean = null_if_nan(F.col(feature)), null_if_nan(F.col(f"{feature}__mean"))
     spread = F.col(f"{feature}__std") + F.lit(1e-6)
     z = (value - mean) / spread
     rounded = half_even(z, 2)
@@ -50,7 +79,7 @@ def _deviation(feature: str, position: int, config: EvidenceConfig) -> Column:
 
 def _delta(metric: str) -> Column:
     """Percent change against the row ``delta_lag`` rows back, plain difference where that row is 0."""
-    before, now = F.col(f"{metric}__before"), F.col(metric)
+    before, now = null_if_nan(F.col(f"{metric}__before")), F.col(metric)
     return F.when(before != 0, half_even((now - before) / before * 100, 1)).otherwise(half_even(now - before, 1))
 
 
@@ -63,16 +92,12 @@ def describe_ticks(
     """(timestamp, service, top_anomalous_features, metrics_deltas) of every row of a feature table. One pass of windows
     for all rows; callers filter afterwards, so no row's history is read twice."""
     needed = list(dict.fromkeys([*features, *[m for m in config.delta_metrics if m in table.columns]]))
-    rows, _, window = series(table.select("timestamp", "service", *needed), layout, max(config.history_rows - 1, config.delta_lag))
-    metrics = [m for m in config.delta_metrics if m in table.columns]
-    # every window value is computed once as a column; the structs below only combine columns
-    windowed = rows.withColumns(
-        {
-            **_history_columns(features, window, config),
-            **{f"{m}__before": F.lag(m, config.delta_lag).over(window) for m in metrics},
-            "_seen": F.count(F.lit(1)).over(window.rowsBetween(-(config.history_rows - 1), 0)),
-        }
+    doubles = [F.col(c).cast("double").alias(c) for c in needed]
+    rows, keys, _ = series(
+        table.select("timestamp", "service", *doubles), layout, max(config.history_rows - 1, config.delta_lag)
     )
+    metrics = [m for m in config.delta_metrics if m in table.columns]
+    windowed = _history(rows, keys, features, metrics, config)
     found = F.array_compact(F.array(*[_deviation(f, i, config) for i, f in enumerate(features)]))
     deltas = F.map_filter(
         F.create_map(*[x for m in metrics for x in (F.lit(m), _delta(m))]), lambda _, change: change.isNotNull()

@@ -19,10 +19,8 @@ def split_borders(df: DataFrame, config: SplitConfig = SplitConfig()) -> DataFra
     """
     train, train_val = config.fractions()
     train_val += train
-    instants = running_totals(
-        df.select(F.unix_micros(F.col("timestamp")).alias("us")).where("us is not null"), [], "us", {"r": F.lit(1)}
-    )
-    slots = running_totals(instants.select("us"), [], "us", {"n": F.lit(1)})
+    instants = df.select(F.unix_micros(F.col("timestamp")).alias("us")).where("us is not null").distinct()
+    slots = running_totals(instants, [], "us", {"n": F.lit(1)})
     total = F.col("total_n")
     cut1 = F.least(F.greatest(F.lit(1), F.floor(total * F.lit(train))), total - 2)
     cut2 = F.least(F.greatest(cut1 + 1, F.floor(total * F.lit(train_val))), total - 1)

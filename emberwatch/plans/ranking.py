@@ -10,17 +10,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberwatch.plans.durable import durable
 
 
-def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Range-partition by keys and order, remembering the slice of every row."""
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, bool]:
+    """Range-partition by keys and order, remembering the slice of every row; also tells whether one slice holds all.
+
+    Spark merges small partitions, so a small table ends up in one file and needs no offsets between slices.
+    """
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
-    return durable(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
+    slices = durable(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
+    return slices, len(slices.inputFiles()) <= 1
+
+
+def _by(keys: Sequence[str]) -> WindowSpec:
+    return W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
 
 
 def running_totals(
@@ -35,10 +43,19 @@ def running_totals(
     keys = list(keys)
     direction = F.col(value).desc() if descending else F.col(value).asc()
     combined = df.groupBy(*keys, value).agg(*[F.sum(w).alias(n) for n, w in weights.items()])
-    slices = _sliced(combined, keys, [direction])
+    slices, single = _sliced(combined, keys, [direction])
+    if single:
+        upto = _by(keys).orderBy(direction).rowsBetween(W.unboundedPreceding, 0)
+        return slices.select(
+            *keys,
+            value,
+            *weights,
+            *[F.sum(n).over(upto).alias(f"cum_{n}") for n in weights],
+            *[F.sum(n).over(_by(keys)).alias(f"total_{n}") for n in weights],
+        )
 
     totals = slices.groupBy(*keys, "_slice").agg(*[F.sum(n).alias(f"_in_{n}") for n in weights])
-    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    whole = _by(keys)
     earlier = whole.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *keys,
@@ -96,10 +113,11 @@ def percentile_ranks(rows: DataFrame, reference: DataFrame, keys: Sequence[str],
 def numbered(df: DataFrame, order: Sequence[str], name: str, keys: Sequence[str] = ()) -> DataFrame:
     """Adds a 1-based position over the whole table (or per key) in ``order``, which must be a total order."""
     keys = list(keys)
-    slices = _sliced(df, keys, [F.col(c) for c in order])
+    slices, single = _sliced(df, keys, [F.col(c) for c in order])
+    if single:
+        return slices.withColumn(name, F.row_number().over(_by(keys).orderBy(*order)).cast("long")).drop("_slice")
     totals = slices.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    earlier = whole.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    earlier = _by(keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     local = W.partitionBy(*keys, "_slice").orderBy(*order)
     joined = slices.join(offsets, [*keys, "_slice"])
