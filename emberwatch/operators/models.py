@@ -13,11 +13,11 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberwatch.operators.evaluation import best_threshold, class_weights, evaluate_at
 from emberwatch.operators.sequences import build_sequences, with_vector
+from emberwatch.plans.ranking import numbered
 
 SEED = 42
 
@@ -100,13 +100,11 @@ def importance(trained: Trained, spark: SparkSession) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, label: str, folds: int, ids: Sequence[str]) -> DataFrame:
-    """Adds ``fold``: rows of each class dealt evenly to the folds in hash order.
-
-    The hash is salted into buckets that are numbered separately, so no class is sorted in one task.
-    """
-    h = F.xxhash64(F.lit(SEED), *ids)
-    order = W.partitionBy(label, F.pmod(F.shiftright(h, 17), F.lit(64))).orderBy(h, *ids)
-    return df.withColumn("fold", F.pmod(F.row_number().over(order), F.lit(folds)).cast("int"))
+    """Adds ``fold``: the rows of each class dealt evenly to the folds in hash order, without sorting a class in one
+    task."""
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(SEED), *ids))
+    dealt = numbered(hashed, ["_h", *ids], "_nr", [label])
+    return dealt.withColumn("fold", F.pmod("_nr", F.lit(folds)).cast("int")).drop("_h", "_nr")
 
 
 def draws(space: dict[str, list], n: int, seed: int = SEED) -> list[dict]:
@@ -135,7 +133,7 @@ def tune(
     """Randomised search for the boosted trees by cross-validated ROC-AUC on stratified folds."""
     rows, w = weighted(train_rows, label, balanced=False)
     assembled = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    prepared = stratified_folds(assembled.transform(rows), label, folds, ["service", "timestamp"])
+    prepared = assembled.transform(stratified_folds(rows, label, folds, ["service", "timestamp"]))
     estimator = classifier("gradient_boosting", label, w["rows"])
     combos = draws(space or GBT_SPACE, trials)
     grid = [{estimator.getParam(k): v for k, v in combo.items()} for combo in combos]
