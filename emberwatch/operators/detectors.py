@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberwatch.config import LEVELS, AnomalyConfig, SeriesLayout
+from emberwatch.config import LEVELS, AnomalyConfig
 from emberwatch.functions.columns import as_long, greatest_of, total_of
 from emberwatch.operators.evaluation import binary_metrics, decide, level_distribution, mean_lead_time, ranking_metrics
-from emberwatch.plans.blocks import home_rows, series
+from emberwatch.plans.blocks import AUTO, Layout, home_rows, series
 from emberwatch.plans.durable import durable
 from emberwatch.plans.ranking import exact_quantiles, percentile_ranks
 
@@ -115,21 +115,18 @@ def score_rolling_iqr(
     df: DataFrame,
     features: Sequence[str],
     config: AnomalyConfig = AnomalyConfig(),
-    layout: SeriesLayout | None = None,
+    layout: Layout = AUTO,
     by: Sequence[str] = ("service",),
     name: str = "score",
 ) -> DataFrame:
     """Excursion beyond the quartiles of the last ``rolling_ticks`` rows of the same series.
 
     Rolling quartiles are kept up to date row by row inside each task (one sorted window per feature) instead of being
-    recomputed per row; a group is one series, or one block of it when a layout is given.
+    recomputed per row; a group is one series, or one block of it if the series is long.
     """
     ticks, eps, columns = config.rolling_ticks, config.eps, list(features)
     kept = list(df.columns)
-    if layout is None:
-        rows, keys = df, list(by)
-    else:
-        rows, keys, _ = series(df, layout, ticks - 1)
+    rows, keys, _ = series(df, layout, ticks - 1, by=by)
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
 
     def score(group: pd.DataFrame) -> pd.DataFrame:
@@ -250,8 +247,8 @@ class Suite:
         return [*STATISTICAL, "ensemble"]
 
 
-def _member_scores(df: DataFrame, suite: Suite, by: Sequence[str]) -> DataFrame:
-    df = score_rolling_iqr(df, suite.features, suite.config, by=by, name="rolling_iqr_score")
+def _member_scores(df: DataFrame, suite: Suite, by: Sequence[str], layout: Layout) -> DataFrame:
+    df = score_rolling_iqr(df, suite.features, suite.config, layout, by, name="rolling_iqr_score")
     df = score_zscore(df, suite.zscore, suite.features, "zscore_score")
     return score_iqr(df, suite.iqr, suite.features, suite.config.eps, "iqr_score")
 
@@ -263,11 +260,13 @@ def long_scores(scored: DataFrame, models: Sequence[str], ids: Sequence[str] = (
     return rows.withColumn("model", F.regexp_replace("model", "_score$", ""))
 
 
-def fit_suite(train: DataFrame, features: Sequence[str], config: AnomalyConfig = AnomalyConfig()) -> Suite:
+def fit_suite(
+    train: DataFrame, features: Sequence[str], config: AnomalyConfig = AnomalyConfig(), layout: Layout = AUTO
+) -> Suite:
     """Fit every detector on the training rows, then the fusion on their training scores, then all cuts."""
     train = train.select("timestamp", "service", *features)
     suite = Suite(list(features), config, fit_zscore(train, features, config.eps), fit_iqr(train, features))
-    scores = durable(_member_scores(train, suite, ["service"]).drop(*features), "train_scores")
+    scores = durable(_member_scores(train, suite, ["service"], layout).drop(*features), "train_scores")
     suite.ensemble = member_calibration(scores, config.members)
     fused = scores.withColumn("ensemble_score", fuse_mean_z(config.members, suite.ensemble))
     # one row per model, so the cuts are read as plain numbers
@@ -275,10 +274,10 @@ def fit_suite(train: DataFrame, features: Sequence[str], config: AnomalyConfig =
     return suite
 
 
-def score_suite(df: DataFrame, suite: Suite, by: Sequence[str] = ("service",)) -> DataFrame:
+def score_suite(df: DataFrame, suite: Suite, by: Sequence[str] = ("service",), layout: Layout = AUTO) -> DataFrame:
     """Wide frame: the input without features, score and level per detector, primary level and flag."""
     kept = [c for c in df.columns if c not in suite.features]
-    scored = _member_scores(df, suite, by).withColumn(
+    scored = _member_scores(df, suite, by, layout).withColumn(
         "ensemble_score", fuse_mean_z(suite.config.members, suite.ensemble)
     )
     primary = suite.config.primary

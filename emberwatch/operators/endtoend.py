@@ -14,6 +14,7 @@ from emberwatch.operators.recovery import verify
 from emberwatch.operators.remediation import build_plans, decide_actions, planned_status
 from emberwatch.operators.risk import latest_by_service, score_risk
 from emberwatch.operators.rootcause import classify
+from emberwatch.plans.blocks import AUTO, Layout
 from emberwatch.plans.durable import durable
 
 
@@ -43,6 +44,7 @@ def run(
     per_service: bool = True,
     after: DataFrame | None = None,
     interval_sec: int = 30,
+    layout: Layout = AUTO,
 ) -> IncidentRun:
     """Runs every stage. The scored table is written once because ranking and evidence both read it.
 
@@ -50,7 +52,7 @@ def run(
     features observed after remediation; the flagged services are verified against it.
     """
     scored = durable(score_risk(features, reference, risk, probabilities, anomaly), "scored")
-    packages = top_per_service(assemble(features, scored, feature_columns, logs, evidence, interval_sec))
+    packages = top_per_service(assemble(features, scored, feature_columns, logs, evidence, interval_sec, layout))
     if not per_service:
         packages = packages.orderBy(F.col("risk_score").desc(), "service").limit(1)
     packages = durable(packages, "packages")

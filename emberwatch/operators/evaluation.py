@@ -83,8 +83,10 @@ def evaluate_scores(
     """Confusion and ranking metrics side by side, one row per key."""
     keys = list(keys)
     if not keys:
-        df = df.withColumn("_all", F.lit(1))
-        return evaluate_scores(df, label, score, flag, ["_all"]).drop("_all")
+        ranking = ranking_metrics(df, label, score)
+        return binary_metrics(df, label, flag).select(
+            "*", *[ranking.select(c).scalar().alias(c) for c in ("roc_auc", "pr_auc")]
+        )
     return binary_metrics(df, label, flag, keys).join(ranking_metrics(df, label, score, keys), keys, "left")
 
 

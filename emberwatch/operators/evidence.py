@@ -11,9 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberwatch.config import EvidenceConfig, SeriesLayout
+from emberwatch.config import EvidenceConfig
 from emberwatch.functions.columns import half_even, null_if_nan
-from emberwatch.plans.blocks import home_rows, series
+from emberwatch.plans.blocks import AUTO, Layout, home_rows, series
 
 COMPONENTS = ("failure_probability", "error_rate", "latency_trend", "memory_growth", "anomaly_score")
 
@@ -87,7 +87,7 @@ def describe_ticks(
     table: DataFrame,
     features: Sequence[str],
     config: EvidenceConfig = EvidenceConfig(),
-    layout: SeriesLayout | None = None,
+    layout: Layout = AUTO,
 ) -> DataFrame:
     """(timestamp, service, top_anomalous_features, metrics_deltas) of every row of a feature table. One pass of windows
     for all rows; callers filter afterwards, so no row's history is read twice."""
@@ -200,7 +200,7 @@ def assemble(
     logs: DataFrame | None = None,
     config: EvidenceConfig = EvidenceConfig(),
     interval_sec: int = 30,
-    layout: SeriesLayout | None = None,
+    layout: Layout = AUTO,
 ) -> DataFrame:
     """One evidence package per row of ``scored`` whose risk reaches the threshold; ``table`` holds the features."""
     present = [c for c in COMPONENTS if c in scored.columns]

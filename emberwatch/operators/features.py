@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from emberwatch.config import FeatureConfig, SeriesLayout
+from emberwatch.config import FeatureConfig
 from emberwatch.functions.columns import finite, null_if_nan
-from emberwatch.plans.blocks import home_rows, series
+from emberwatch.plans.blocks import AUTO, Layout, home_rows, series
 from emberwatch.schemas import METRIC_NAMES
 
 
@@ -60,7 +60,7 @@ def require_metrics(metrics: DataFrame) -> None:
 
 
 def build_features(
-    metrics: DataFrame, config: FeatureConfig = FeatureConfig(), layout: SeriesLayout | None = None
+    metrics: DataFrame, config: FeatureConfig = FeatureConfig(), layout: Layout = AUTO
 ) -> DataFrame:
     """timestamp, service, the generated features and the pass-through columns present in ``metrics``."""
     require_metrics(metrics)

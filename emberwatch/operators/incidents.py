@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberwatch.config import SeriesLayout
-from emberwatch.plans.blocks import home_rows, series
+from emberwatch.plans.blocks import AUTO, Layout, bucket_of, home_rows, series
 from emberwatch.plans.durable import durable
 from emberwatch.plans.ranking import numbered
 
 
-def track_incidents(metrics: DataFrame, interval_sec: int, layout: SeriesLayout | None = None) -> DataFrame:
+def track_incidents(metrics: DataFrame, interval_sec: int, layout: Layout = AUTO) -> DataFrame:
     """One row per maximal run of unhealthy ticks: opens at its first tick, closes one interval after its last.
 
     Only the ticks where health changes leave the window; starts and ends are then paired by their order.
@@ -56,9 +56,18 @@ def missing_types(expected: DataFrame, incidents: DataFrame) -> DataFrame:
     return expected.select("scenario_type").distinct().join(incidents, "scenario_type", "left_anti")
 
 
-def overlapping(incidents: DataFrame) -> DataFrame:
-    """Incidents that start before every earlier one of their service has ended."""
-    earlier = W.partitionBy("service").orderBy("start_ts", "end_ts", "incident_id").rowsBetween(W.unboundedPreceding, -1)
-    return incidents.withColumn("_until", F.max("end_ts").over(earlier)).where(F.col("start_ts") < F.col("_until")).drop(
-        "_until"
+def overlapping(incidents: DataFrame, layout: SeriesLayout = SeriesLayout()) -> DataFrame:
+    """Incidents that start before every earlier one of their service has ended.
+
+    The latest end so far is taken within a time bucket and, from one row per bucket, over the buckets before it.
+    """
+    rows = incidents.withColumn("_bucket", bucket_of(layout, "start_ts"))
+    per_bucket = rows.groupBy("service", "_bucket").agg(F.max("end_ts").alias("_end"))
+    before = W.partitionBy("service").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    carried = per_bucket.select("service", "_bucket", F.max("_end").over(before).alias("_carried"))
+    local = W.partitionBy("service", "_bucket").orderBy("start_ts", "end_ts", "incident_id")
+    until = F.greatest(F.max("end_ts").over(local.rowsBetween(W.unboundedPreceding, -1)), F.col("_carried"))
+    joined = rows.join(carried, ["service", "_bucket"])
+    return joined.withColumn("_until", until).where(F.col("start_ts") < F.col("_until")).drop(
+        "_bucket", "_carried", "_until"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.config import FeatureConfig, LabelConfig, SeriesLayout
 from emberwatch.operators.features import feature_columns, require_metrics
-from emberwatch.plans.blocks import cut_blocks, home_rows
+from emberwatch.plans.blocks import AUTO, Layout, cut_blocks, home_rows, resolve
 
 FOREVER = 253402300799_000000  # fixed value: last microsecond timestamps are compared against
 
@@ -31,13 +31,14 @@ def _markers(incidents: DataFrame, config: LabelConfig) -> DataFrame:
 
 
 def mark_failures(
-    ticks: DataFrame, incidents: DataFrame, config: LabelConfig, layout: SeriesLayout | None = None
+    ticks: DataFrame, incidents: DataFrame, config: LabelConfig, layout: Layout = AUTO
 ) -> DataFrame:
     """Adds ``_failing`` (0/1), ``_minutes`` to the next start and, with a layout, ``_idx`` of the tick.
 
     Ticks and incident borders are swept together in time order: no join, so nothing has to be broadcast. With a layout
     the sweep runs per time bucket and takes what happened in other buckets from per-bucket sums.
     """
+    layout = resolve(ticks, layout)
     rows = ticks.withColumn("_us", F.unix_micros(F.col("timestamp"))).withColumn("_tick", F.lit(True))
     both = rows.unionByName(_markers(incidents, config), allowMissingColumns=True)
     keys = ["service"]
@@ -108,9 +109,10 @@ def _windowed(marked: DataFrame, layout: SeriesLayout | None, lookback: int, loo
 
 
 def build_labels(
-    ticks: DataFrame, incidents: DataFrame, config: LabelConfig = LabelConfig(), layout: SeriesLayout | None = None
+    ticks: DataFrame, incidents: DataFrame, config: LabelConfig = LabelConfig(), layout: Layout = AUTO
 ) -> DataFrame:
     """timestamp, service and the label columns for every tick."""
+    layout = resolve(ticks, layout)
     marked = mark_failures(ticks.select("timestamp", "service"), incidents, config, layout)
     rows, window, extra = _windowed(marked, layout, 0, config.lookahead)
     return home_rows(rows.select("timestamp", "service", *label_columns(config, window), *extra))
@@ -121,10 +123,11 @@ def build_dataset(
     incidents: DataFrame,
     features: FeatureConfig = FeatureConfig(),
     labels: LabelConfig = LabelConfig(),
-    layout: SeriesLayout | None = None,
+    layout: Layout = AUTO,
 ) -> DataFrame:
     """Features and labels in one pass over the series; no join between the two."""
     require_metrics(metrics)
+    layout = resolve(metrics, layout)
     kept = [c for c in features.passthrough if c in metrics.columns]
     marked = mark_failures(metrics, incidents, labels, layout)
     rows, window, extra = _windowed(marked, layout, features.lookback, labels.lookahead)

@@ -7,11 +7,9 @@ from collections.abc import Sequence
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberwatch.config import SeriesLayout
-from emberwatch.plans.blocks import home_rows, series
+from emberwatch.plans.blocks import AUTO, Layout, home_rows, series
 
 
 def build_sequences(
@@ -19,7 +17,7 @@ def build_sequences(
     features: Sequence[str],
     label: str,
     seq_len: int = 20,
-    layout: SeriesLayout | None = None,
+    layout: Layout = AUTO,
     by: Sequence[str] = ("service",),
     normal_labels: Sequence[str] = (),
 ) -> DataFrame:
@@ -30,10 +28,7 @@ def build_sequences(
     """
     extra = [c for c in dict.fromkeys([label, *normal_labels, *[b for b in by if b != "service"]]) if c in df.columns]
     base = df.select("timestamp", "service", *extra, F.array(*[F.col(f).cast("double") for f in features]).alias("_row"))
-    if layout is None:
-        rows, window = base, W.partitionBy(*by).orderBy("timestamp")
-    else:
-        rows, _, window = series(base, layout, seq_len - 1)
+    rows, _, window = series(base, layout, seq_len - 1, by=by)
     frame = window.rowsBetween(-(seq_len - 1), 0)
     flags = [F.col(c) for c in normal_labels if c in df.columns]
     bad = F.greatest(*flags, F.lit(0)) if flags else F.lit(0)

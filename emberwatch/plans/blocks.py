@@ -8,29 +8,38 @@ equal those of the plain window; the borrowed rows are dropped afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberwatch.config import SeriesLayout
 
+# How a series operator is told about lengths: a layout cuts every service into blocks, None states that a whole service
+# fits one task, "auto" counts the rows per service first and decides.
+Layout = SeriesLayout | str | None
+AUTO = "auto"
+ROWS_PER_TASK = 2_000_000
+
 
 def bucket_of(layout: SeriesLayout, timestamp: str = "timestamp") -> Column:
     return F.floor(F.unix_micros(F.col(timestamp)) / F.lit(layout.bucket_sec * 1_000_000)).cast("long")
 
 
-def index_rows(df: DataFrame, layout: SeriesLayout, order: tuple[str, ...] = ("timestamp",)) -> DataFrame:
-    """Adds ``_idx``, the 0-based position of each row inside its service."""
+def index_rows(
+    df: DataFrame, layout: SeriesLayout, order: Sequence[str] = ("timestamp",), by: Sequence[str] = ("service",)
+) -> DataFrame:
+    """Adds ``_idx``, the 0-based position of each row inside its series."""
+    keys = [*by, "_bucket"]
     rows = df.withColumn("_bucket", bucket_of(layout))
-    sizes = rows.groupBy("service", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = W.partitionBy("service").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "service", "_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
-    )
-    local = W.partitionBy("service", "_bucket").orderBy(*order)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    local = W.partitionBy(*keys).orderBy(*order)
     return (
         rows.withColumn("_local", F.row_number().over(local) - 1)
-        .join(offsets, ["service", "_bucket"])
+        .join(offsets, keys)
         .withColumn("_idx", F.col("_before") + F.col("_local"))
         .drop("_bucket", "_before", "_local")
     )
@@ -58,19 +67,18 @@ def cut_blocks(indexed: DataFrame, layout: SeriesLayout, lookback: int, lookahea
 
 def series(
     df: DataFrame,
-    layout: SeriesLayout | None,
+    layout: Layout,
     lookback: int,
     lookahead: int = 0,
-    order: tuple[str, ...] = ("timestamp",),
+    order: Sequence[str] = ("timestamp",),
+    by: Sequence[str] = ("service",),
 ) -> tuple[DataFrame, list[str], WindowSpec]:
-    """The frame, its grouping columns and the window to compute row frames on; finish with ``home_rows``.
-
-    Without a layout the caller states that a single service fits one task.
-    """
+    """The frame, its grouping columns and the window to compute row frames on; finish with ``home_rows``."""
+    layout = resolve(df, layout, by)
     if layout is None:
-        return df, ["service"], W.partitionBy("service").orderBy(*order)
-    cut = cut_blocks(index_rows(df, layout, order), layout, lookback, lookahead)
-    keys = ["service", "_block"]
+        return df, list(by), W.partitionBy(*by).orderBy(*order)
+    cut = cut_blocks(index_rows(df, layout, order, by), layout, lookback, lookahead)
+    keys = [*by, "_block"]
     return cut, keys, W.partitionBy(*keys).orderBy(*order)
 
 
@@ -80,7 +88,14 @@ def home_rows(df: DataFrame) -> DataFrame:
     return df.where("_home").drop("_home", "_block")
 
 
-def choose_layout(df: DataFrame, max_rows: int = 2_000_000, layout: SeriesLayout | None = None) -> SeriesLayout | None:
-    """A layout if any service is longer than ``max_rows``, else None. Reads the service column only."""
-    longest = df.groupBy("service").count().agg(F.max("count")).first()[0] or 0
+def resolve(df: DataFrame, layout: Layout, by: Sequence[str] = ("service",)) -> SeriesLayout | None:
+    """Decides "auto": blocks if any series is longer than one task should hold."""
+    return choose_layout(df, by=by) if layout == AUTO else layout
+
+
+def choose_layout(
+    df: DataFrame, max_rows: int = ROWS_PER_TASK, layout: SeriesLayout | None = None, by: Sequence[str] = ("service",)
+) -> SeriesLayout | None:
+    """A layout if any series is longer than ``max_rows``, else None. Reads the key columns only."""
+    longest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     return (layout or SeriesLayout()) if longest > max_rows else None

@@ -26,6 +26,8 @@ FEATURES = adapter.FEATURES.feature_names
 LABEL = adapter.LABEL
 # Columns that are ranked; they carry ten digits so that equal values tie alike in both engines.
 RANKED = ["Error_rate", "Latency_30t_avg", "Memory_growth_rate", "zscore_score"]
+# The grid has one row per service and hour, so a whole service fits one task however many events there are.
+GRID = None
 # Blocks small enough that the test scales cut every service into several of them.
 EVENT_LAYOUT = SeriesLayout(bucket_sec=86_400, block_rows=100_000)
 
@@ -57,11 +59,11 @@ class Tables:
 
     def fresh_dataset(self) -> DataFrame:
         metrics = adapter.metrics(self.spark, self.folder)
-        return build_dataset(metrics, self.incidents, adapter.FEATURES, adapter.LABELS)
+        return build_dataset(metrics, self.incidents, adapter.FEATURES, adapter.LABELS, GRID)
 
     @cached_property
     def dataset(self) -> DataFrame:
-        return durable(build_dataset(self.metrics, self.incidents, adapter.FEATURES, adapter.LABELS), "dataset")
+        return durable(build_dataset(self.metrics, self.incidents, adapter.FEATURES, adapter.LABELS, GRID), "dataset")
 
     @cached_property
     def split(self) -> DataFrame:

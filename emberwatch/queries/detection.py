@@ -11,7 +11,7 @@ from emberwatch.operators import forest, models, reconstruction
 from emberwatch.operators.sequences import build_sequences, window_counts
 from emberwatch.plans.durable import durable, fresh_folder
 from emberwatch.plans.ranking import exact_quantiles, percentile_ranks
-from emberwatch.queries.base import FEATURES, LABEL, Tables, comparable, query
+from emberwatch.queries.base import FEATURES, GRID, LABEL, Tables, comparable, query
 from emberwatch.queries.preparation import KEYS, ids, rounded
 from emberwatch.queries.sqlbase import block, over, r, with_blocks
 from emberwatch.sources import adapter
@@ -167,8 +167,8 @@ def _(x: Tables):
 
 def suite(x: Tables):
     if not hasattr(x, "_suite"):
-        x._suite = d.fit_suite(x.part("train"), FEATURES, adapter.ANOMALY)
-        wide = d.score_suite(x.split, x._suite, by=["split", "service"])
+        x._suite = d.fit_suite(x.part("train"), FEATURES, adapter.ANOMALY, GRID)
+        wide = d.score_suite(x.split, x._suite, ["split", "service"], GRID)
         x._wide = durable(wide, "suite_scores")
         table = d.long_score_table(x._wide, x._suite, LABEL, ["in_failure", "time_to_failure_min"])
         # scores that are equal up to rounding error must tie alike in both engines
@@ -199,7 +199,7 @@ def _(x: Tables):
 
 @query("d3_rolling_iqr", with_blocks(f"SELECT {ids()}, split, {r('rolling_iqr_score', 'score')} FROM rolling", "rolling"))
 def _(x: Tables):
-    return d.score_rolling_iqr(x.split, FEATURES, adapter.ANOMALY, by=["split", "service"]).select(*KEYS, "split", "score")
+    return d.score_rolling_iqr(x.split, FEATURES, adapter.ANOMALY, GRID, ["split", "service"]).select(*KEYS, "split", "score")
 
 
 EVENT_RECENT = "OVER (PARTITION BY service ORDER BY ts, event_id ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)"
@@ -534,7 +534,7 @@ SEQ_FRAME = over(f"ROWS BETWEEN {SEQ - 1} PRECEDING AND CURRENT ROW").replace("P
 )
 def _(x: Tables):
     """Windows of twenty rows of two features; the flattened window is checked through its sum."""
-    w = build_sequences(x.split, ["Error_rate", "CPU_memory_ratio"], LABEL, SEQ, by=["split", "service"], normal_labels=LABELS)
+    w = build_sequences(x.split, ["Error_rate", "CPU_memory_ratio"], LABEL, SEQ, GRID, ["split", "service"], normal_labels=LABELS)
     total = F.aggregate("window", F.lit(0.0), lambda a, v: a + v)
     return w.select(*KEYS, "split", LABEL, total.alias("total"), "all_normal")
 
@@ -547,7 +547,7 @@ def _(x: Tables):
     ),
 )
 def _(x: Tables):
-    w = build_sequences(x.split, ["Error_rate"], LABEL, SEQ, by=["split", "service"])
+    w = build_sequences(x.split, ["Error_rate"], LABEL, SEQ, GRID, ["split", "service"])
     return window_counts(w, ["split", "service"])
 
 

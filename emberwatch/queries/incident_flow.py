@@ -14,7 +14,7 @@ from emberwatch.operators.endtoend import fleet_report, fleet_summary, run
 from emberwatch.operators.evaluation import binary_metrics
 from emberwatch.operators.risk import latest_by_service
 from emberwatch.plans.durable import durable, fresh_folder
-from emberwatch.queries.base import FEATURES, LABEL, Tables, query
+from emberwatch.queries.base import FEATURES, GRID, LABEL, Tables, query
 from emberwatch.queries.detection import confusion, score_table
 from emberwatch.queries.preparation import KEYS, ids
 from emberwatch.queries.sqlbase import block, r, t, with_blocks
@@ -47,7 +47,7 @@ block(
 )
 def _(x: Tables):
     """Most deviating features of every row, in order."""
-    described = evd.describe_ticks(x.dataset, FEATURES, adapter.EVIDENCE)
+    described = evd.describe_ticks(x.dataset, FEATURES, adapter.EVIDENCE, GRID)
     exploded = described.select(*KEYS, F.posexplode("top_anomalous_features").alias("p", "f"))
     return exploded.select(*KEYS, (F.col("p") + 1).cast("long").alias("place"), "f.feature", "f.current", "f.zscore", "f.direction")
 
@@ -57,7 +57,7 @@ def _(x: Tables):
     with_blocks(f"SELECT {ids()}, list(feature ORDER BY nr) AS features FROM top5 JOIN risk USING (service, ts) WHERE risk_score >= 4e-1 GROUP BY service, ts", "top5", "risk"),
 )
 def _(x: Tables):
-    described = evd.describe_ticks(x.dataset, FEATURES, adapter.EVIDENCE).join(x.risk.where("risk_score >= 0.4").select(*KEYS), KEYS)
+    described = evd.describe_ticks(x.dataset, FEATURES, adapter.EVIDENCE, GRID).join(x.risk.where("risk_score >= 0.4").select(*KEYS), KEYS)
     names = F.transform("top_anomalous_features", lambda f: f["feature"])
     return described.where(F.size("top_anomalous_features") > 0).select(*KEYS, names.alias("features"))
 
@@ -73,7 +73,7 @@ block("deltas", " UNION ALL ".join(change(m) for m in adapter.EVIDENCE.delta_met
 
 @query("w13_metric_deltas", with_blocks(f"SELECT {ids()}, metric, {r('delta', 'delta')} FROM deltas WHERE delta IS NOT NULL", "deltas"))
 def _(x: Tables):
-    described = evd.describe_ticks(x.dataset, FEATURES, adapter.EVIDENCE)
+    described = evd.describe_ticks(x.dataset, FEATURES, adapter.EVIDENCE, GRID)
     return described.select(*KEYS, F.explode("metrics_deltas").alias("metric", "delta"))
 
 
@@ -93,7 +93,7 @@ def _(x: Tables):
 def packages(x: Tables):
     if not hasattr(x, "_packages"):
         x._packages = durable(
-            evd.assemble(x.dataset, x.risk, FEATURES, x.logs, adapter.EVIDENCE, adapter.HOUR), "packages"
+            evd.assemble(x.dataset, x.risk, FEATURES, x.logs, adapter.EVIDENCE, adapter.HOUR, GRID), "packages"
         )
     return x._packages
 
@@ -116,7 +116,7 @@ block(
 )
 def _(x: Tables):
     """All evidence packages, from the tables to logs."""
-    made = evd.assemble(x.dataset, x.risk, FEATURES, x.logs, adapter.EVIDENCE, adapter.HOUR)
+    made = evd.assemble(x.dataset, x.risk, FEATURES, x.logs, adapter.EVIDENCE, adapter.HOUR, GRID)
     return made.select(
         *KEYS,
         "risk_score",
@@ -554,6 +554,7 @@ def incident_run(x: Tables, **options):
         POLICY,
         adapter.RECOVERY,
         interval_sec=adapter.HOUR,
+        layout=GRID,
         **options,
     )
 

@@ -13,7 +13,7 @@ from emberwatch.operators.labels import build_labels, join_labels
 from emberwatch.operators.registry import dataset_version, table_metadata
 from emberwatch.operators.splits import split_borders, split_report, time_split
 from emberwatch.plans.blocks import home_rows, series
-from emberwatch.queries.base import EVENT_LAYOUT, FEATURES, LABEL, Tables, query
+from emberwatch.queries.base import EVENT_LAYOUT, FEATURES, GRID, LABEL, Tables, query
 from emberwatch.queries.sqlbase import r, t, with_blocks
 from emberwatch.schemas import METRIC_NAMES
 from emberwatch.sources import adapter
@@ -61,7 +61,7 @@ def _(x: Tables):
 
 @query("w1_rolling_mean", with_blocks(f"SELECT {ids()}, {rounded(AVERAGES)} FROM feat", "feat"))
 def _(x: Tables):
-    return build_features(x.metrics, adapter.FEATURES).select(*KEYS, *AVERAGES)
+    return build_features(x.metrics, adapter.FEATURES, GRID).select(*KEYS, *AVERAGES)
 
 
 EVENT_MEANS = {"value_10": ("value", 10), "value_50": ("value", 50), "k_20": ("k", 20)}
@@ -91,7 +91,7 @@ def _(x: Tables):
 
 @query("w2_growth_rate", with_blocks(f"SELECT {ids()}, {rounded(GROWTHS)} FROM feat", "feat"))
 def _(x: Tables):
-    return build_features(x.metrics, adapter.FEATURES).select(*KEYS, *GROWTHS)
+    return build_features(x.metrics, adapter.FEATURES, GRID).select(*KEYS, *GROWTHS)
 
 
 @query(
@@ -102,7 +102,6 @@ def _(x: Tables):
             "coalesce((value - lag(value, 30) OVER (PARTITION BY service ORDER BY ts, event_id)) / "
             "greatest(abs(lag(value, 30) OVER (PARTITION BY service ORDER BY ts, event_id)), 1e-9), 0)",
             "growth",
-            3,
         )
         + " FROM ev WHERE value > 0",
         "ev",
@@ -110,33 +109,33 @@ def _(x: Tables):
 )
 def _(x: Tables):
     rows, _, window = series(x.events.where("value > 0"), EVENT_LAYOUT, 30, order=("timestamp", "event_id"))
-    growth = F.round(growth_rate(F.col("value"), window, 30, 1e-9) + F.lit(1e-9), 3)
+    growth = growth_rate(F.col("value"), window, 30, 1e-9)
     return home_rows(rows.select("event_id", "service", growth.alias("growth"), "_home", "_block"))
 
 
 @query("w3_error_rate", with_blocks(f"SELECT {ids()}, {rounded(['Error_rate'])} FROM feat", "feat"))
 def _(x: Tables):
-    return build_features(x.metrics, adapter.FEATURES).select(*KEYS, "Error_rate")
+    return build_features(x.metrics, adapter.FEATURES, GRID).select(*KEYS, "Error_rate")
 
 
 @query("w4_request_rate", with_blocks(f"SELECT {ids()}, {rounded(['Request_rate'])} FROM feat", "feat"))
 def _(x: Tables):
-    return build_features(x.metrics, adapter.FEATURES).select(*KEYS, "Request_rate")
+    return build_features(x.metrics, adapter.FEATURES, GRID).select(*KEYS, "Request_rate")
 
 
 @query("p3_cpu_memory_ratio", with_blocks(f"SELECT {ids()}, {rounded(['CPU_memory_ratio'])} FROM feat", "feat"))
 def _(x: Tables):
-    return build_features(x.metrics, adapter.FEATURES).select(*KEYS, "CPU_memory_ratio")
+    return build_features(x.metrics, adapter.FEATURES, GRID).select(*KEYS, "CPU_memory_ratio")
 
 
 @query("p4_latency_per_request", with_blocks(f"SELECT {ids()}, {rounded(['latency_per_request'])} FROM feat", "feat"))
 def _(x: Tables):
-    return build_features(x.metrics, adapter.FEATURES).select(*KEYS, "latency_per_request")
+    return build_features(x.metrics, adapter.FEATURES, GRID).select(*KEYS, "latency_per_request")
 
 
 @query("p5_passthrough", with_blocks(f"SELECT {ids()}, healthy::INT AS healthy FROM feat", "feat"))
 def _(x: Tables):
-    return build_features(x.metrics, adapter.FEATURES).select(*KEYS, "healthy")
+    return build_features(x.metrics, adapter.FEATURES, GRID).select(*KEYS, "healthy")
 
 
 # --- labels -----------------------------------------------------------------------------------------------------------
@@ -144,12 +143,12 @@ def _(x: Tables):
 
 @query("j2_in_failure", with_blocks(f"SELECT {ids()}, in_failure FROM lab", "lab"))
 def _(x: Tables):
-    return build_labels(x.metrics, x.incidents, adapter.LABELS).select(*KEYS, "in_failure")
+    return build_labels(x.metrics, x.incidents, adapter.LABELS, GRID).select(*KEYS, "in_failure")
 
 
 @query("j3_next_incident", with_blocks(f"SELECT {ids()}, {rounded(['time_to_failure_min'])} FROM lab", "lab"))
 def _(x: Tables):
-    return build_labels(x.metrics, x.incidents, adapter.LABELS).select(*KEYS, "time_to_failure_min")
+    return build_labels(x.metrics, x.incidents, adapter.LABELS, GRID).select(*KEYS, "time_to_failure_min")
 
 
 @query(
@@ -179,7 +178,7 @@ def _(x: Tables):
 
 @query("w5_forward_label", with_blocks(f"SELECT {ids()}, {LABEL} FROM lab", "lab"))
 def _(x: Tables):
-    return build_labels(x.metrics, x.incidents, adapter.LABELS).select(*KEYS, LABEL)
+    return build_labels(x.metrics, x.incidents, adapter.LABELS, GRID).select(*KEYS, LABEL)
 
 
 @query(
@@ -190,7 +189,7 @@ def _(x: Tables):
     ),
 )
 def _(x: Tables):
-    joined = join_labels(build_features(x.metrics, adapter.FEATURES), build_labels(x.metrics, x.incidents, adapter.LABELS))
+    joined = join_labels(build_features(x.metrics, adapter.FEATURES, GRID), build_labels(x.metrics, x.incidents, adapter.LABELS, GRID))
     return joined.select(*KEYS, "Error_rate", "Memory_growth_rate", "in_failure", LABEL, "time_to_failure_min")
 
 
@@ -199,7 +198,7 @@ def _(x: Tables):
     with_blocks(f"SELECT incident_id, service, {t('start_ts', 'start_ts')}, {t('end_ts', 'end_ts')} FROM incidents", "incidents"),
 )
 def _(x: Tables):
-    return windows.track_incidents(x.metrics, adapter.HOUR).select("incident_id", "service", "start_ts", "end_ts")
+    return windows.track_incidents(x.metrics, adapter.HOUR, GRID).select("incident_id", "service", "start_ts", "end_ts")
 
 
 @query(

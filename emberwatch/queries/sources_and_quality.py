@@ -8,7 +8,7 @@ from emberwatch.operators import incidents as windows
 from emberwatch.operators import quality as q
 from emberwatch.operators.intervals import points_in_intervals
 from emberwatch.plans.durable import fresh_folder
-from emberwatch.queries.base import FEATURES, LABEL, Tables, query
+from emberwatch.queries.base import FEATURES, GRID, LABEL, Tables, query
 from emberwatch.queries.preparation import KEYS, ids, observed_schedule, rounded
 from emberwatch.queries.sqlbase import long_of, r, t, with_blocks
 from emberwatch.schemas import INCIDENT_TABLE, LOG_TABLE, METRIC_NAMES, METRIC_TABLE
@@ -231,7 +231,7 @@ LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 DESCRIBE = (
     "SELECT metric, count(value) AS count, "
     + ", ".join(
-        r(e, n, 4)
+        r(f"round(round({e}, 9), 4)", n)
         for n, e in {
             "mean": "avg(value)",
             "std": "stddev_samp(value)",
@@ -428,7 +428,7 @@ def _(x: Tables):
     ),
 )
 def _(x: Tables):
-    return q.recovery_after(x.metrics, x.incidents)
+    return q.recovery_after(x.metrics, x.incidents, layout=GRID)
 
 
 def typical_schedule(x: Tables):
@@ -514,7 +514,7 @@ WHERE m.service = i.service AND m.ts > i.end_ts ORDER BY m.ts LIMIT 5) a ON true
 def _(x: Tables):
 
     report = q.validate(
-        x.metrics, x.logs.select(*LOG_TABLE.fieldNames()), x.incidents, adapter.HOUR, typical_schedule(x)
+        x.metrics, x.logs.select(*LOG_TABLE.fieldNames()), x.incidents, adapter.HOUR, typical_schedule(x), GRID
     )
     return report.select("name", "status")
 
@@ -527,7 +527,7 @@ def _(x: Tables):
 )
 def _(x: Tables):
     report = q.validate(
-        x.metrics, x.logs.select(*LOG_TABLE.fieldNames()), x.incidents, adapter.HOUR, typical_schedule(x)
+        x.metrics, x.logs.select(*LOG_TABLE.fieldNames()), x.incidents, adapter.HOUR, typical_schedule(x), GRID
     )
     return report.where("name = 'overall'").select("status")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.config import AnomalyConfig, EvidenceConfig, FeatureConfig, LabelConfig, RiskConfig, SplitConfig
 from emberwatch.config import DriftConfig, RecoveryConfig
+from emberwatch.plans.ranking import numbered
 
 # Incident types by incident_id % 5 and log messages by k % 5.
 INCIDENT_TYPES = (
@@ -144,7 +145,7 @@ def metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def incidents(metric_rows: DataFrame) -> DataFrame:
-    """Maximal runs of unhealthy hours. At most one per service and two hours of grid, hence the plain numbering."""
+    """Maximal runs of unhealthy hours, numbered by start and service."""
     so_far = W.partitionBy("service").orderBy("timestamp").rowsBetween(W.unboundedPreceding, 0)
     runs = (
         metric_rows.select("timestamp", "service", "healthy")
@@ -156,9 +157,9 @@ def incidents(metric_rows: DataFrame) -> DataFrame:
             (F.max("timestamp") + F.expr("interval 1 hour")).alias("end_ts"),
         )
     )
-    numbered = runs.withColumn("incident_id", F.row_number().over(W.orderBy("start_ts", "service")).cast("long"))
+    counted = numbered(runs, ["start_ts", "service"], "incident_id")
     kind = F.element_at(F.array(*[F.lit(t) for t in INCIDENT_TYPES]), (F.col("incident_id") % 5 + 1).cast("int"))
-    return numbered.select("incident_id", "service", kind.alias("scenario_type"), "start_ts", "end_ts")
+    return counted.select("incident_id", "service", kind.alias("scenario_type"), "start_ts", "end_ts")
 
 
 def logs(spark: SparkSession, folder: str) -> DataFrame:

@@ -70,7 +70,8 @@ def features_in_batches(
 ):
     """Row-frame features on a stream, equal to the batch result.
 
-    Each micro-batch is computed together with the stored rows it can look back to, then only its own rows are written.
+    Rows are expected in time order per service, duplicates aside; a late row gets its own features, but rows already
+    written are not revised. Each micro-batch is computed together with the stored rows it can look back to, then only its own rows are written.
     The look-back reads the ``dt`` partitions of the last hours only.
     """
     hours = int(config.lookback * config.interval_sec / 3600) + 2
