@@ -455,13 +455,13 @@ def _(x: Tables):
 @query(
     "j9_missing_types",
     with_blocks(
-        "SELECT DISTINCT scenario_type FROM incidents WHERE scenario_type NOT IN (SELECT scenario_type FROM incidents WHERE service = 'svc-0')",
+        "SELECT DISTINCT scenario_type FROM incidents WHERE scenario_type NOT IN (SELECT scenario_type FROM incidents WHERE start_ts >= TIMESTAMP '2024-01-29 12:00:00')",
         "incidents",
     ),
 )
 def _(x: Tables):
-    """Types seen anywhere but never in the first service."""
-    return windows.missing_types(x.incidents, x.incidents.where("service = 'svc-0'"))
+    """Types seen earlier but not in the last days."""
+    return windows.missing_types(x.incidents, x.incidents.where("start_ts >= TIMESTAMP '2024-01-29 12:00:00'"))
 
 
 @query(
