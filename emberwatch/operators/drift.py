@@ -59,7 +59,7 @@ def drift_steps(reference: DataFrame, target: DataFrame, columns: Sequence[str])
 
 
 def _shape(steps: DataFrame, config: DriftConfig) -> DataFrame:
-    """Per feature: sizes, ranges, KS distance and the reference quantile edges."""
+    """Per feature: sizes, ranges, means, KS distance and the reference quantile edges."""
     has_ref, has_tgt = F.col("ref") > 0, F.col("tgt") > 0
     gap = F.abs(F.col("cum_ref") / F.col("total_ref") - F.col("cum_tgt") / F.col("total_tgt"))
 
@@ -69,7 +69,12 @@ def _shape(steps: DataFrame, config: DriftConfig) -> DataFrame:
         high = rank_value("value", F.ceil(position), "ref")
         return low + (high - low) * F.max(position - F.floor(position))
 
+    def mean(n: str) -> Column:
+        return F.sum(F.col("value") * F.col(n)) / F.max(f"total_{n}")
+
     return steps.groupBy("feature").agg(
+        mean("ref").alias("ref_mean"),
+        mean("tgt").alias("tgt_mean"),
         F.max("total_ref").alias("n_ref"),
         F.max("total_tgt").alias("n_tgt"),
         F.min(F.when(has_ref, F.col("value"))).alias("ref_min"),
@@ -82,13 +87,20 @@ def _shape(steps: DataFrame, config: DriftConfig) -> DataFrame:
 
 
 def psi_bins(steps: DataFrame, shape: DataFrame) -> DataFrame:
-    """Rows of both sides per (feature, bin). Bin = number of inner edges at or below the value."""
-    edges = shape.select("feature", F.array_distinct("all_edges").alias("edges"))
+    """Rows and squared deviations of both sides per (feature, bin). Bin = number of inner edges at or below the
+    value."""
+    known = shape.select("feature", "ref_mean", "tgt_mean", F.array_distinct("all_edges").alias("edges"))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    with_bin = steps.join(F.broadcast(edges), "feature").select(  # one row per column of the schema
-        "feature", F.size(F.filter(inner, lambda e: e <= F.col("value"))).alias("bin"), "ref", "tgt"
+    located = steps.join(F.broadcast(known), "feature").withColumn(  # one row per column of the schema
+        "bin", F.size(F.filter(inner, lambda e: e <= F.col("value")))
+    )
+
+    def squares(n: str) -> Column:
+        return F.sum(F.col(n) * F.pow(F.col("value") - F.col(f"{n}_mean"), 2)).alias(f"{n}_squares")
+
+    return located.groupBy("feature", "bin").agg(
+        F.sum("ref").alias("ref"), F.sum("tgt").alias("tgt"), squares("ref"), squares("tgt")
     )
-    return with_bin.groupBy("feature", "bin").agg(F.sum("ref").alias("ref"), F.sum("tgt").alias("tgt"))
 
 
 def feature_drift(
@@ -107,29 +119,16 @@ def feature_drift(
         (F.greatest(F.size(F.array_distinct("all_edges")) - 1, F.lit(1))).alias("k"),
         F.explode(F.sequence(F.lit(0), F.greatest(F.size(F.array_distinct("all_edges")) - 2, F.lit(0)))).alias("bin"),
     )
-    filled = slots.join(psi_bins(steps, shape), ["feature", "bin"], "left").fillna(0, ["ref", "tgt"])
+    filled = slots.join(psi_bins(steps, shape), ["feature", "bin"], "left").fillna(
+        0, ["ref", "tgt", "ref_squares", "tgt_squares"]
+    )
     p = (F.col("ref") + eps) / (F.col("n_ref") + eps * F.col("k"))
     q = (F.col("tgt") + eps) / (F.col("n_tgt") + eps * F.col("k"))
     index = filled.groupBy("feature").agg(
-        F.sum((q - p) * F.ln(q / p)).alias("binned_psi"), F.sum(q * F.ln(q / p)).alias("kl_divergence")
-    )
-
-    def moments(n: str) -> list[Column]:
-        mean = F.sum(F.col("value") * F.col(n)) / F.max(F.col(f"total_{n}"))
-        return [mean.alias(f"{n}_mean")]
-
-    means = steps.groupBy("feature").agg(*moments("ref"), *moments("tgt"))
-    spread = (
-        steps.join(F.broadcast(means), "feature")  # one row per column of the schema
-        .groupBy("feature")
-        .agg(
-            *[
-                F.sqrt(F.sum(F.col(n) * F.pow(F.col("value") - F.col(f"{n}_mean"), 2)) / F.max(f"total_{n}")).alias(
-                    f"{n}_std"
-                )
-                for n in ("ref", "tgt")
-            ]
-        )
+        F.sum((q - p) * F.ln(q / p)).alias("binned_psi"),
+        F.sum(q * F.ln(q / p)).alias("kl_divergence"),
+        F.sqrt(F.sum("ref_squares") / F.max("n_ref")).alias("ref_std"),
+        F.sqrt(F.sum("tgt_squares") / F.max("n_tgt")).alias("tgt_std"),
     )
     empty = (F.coalesce("n_ref", F.lit(0)) == 0) | (F.coalesce("n_tgt", F.lit(0)) == 0)
     ref_flat = _close(F.col("ref_min"), F.col("ref_max"))
@@ -149,8 +148,6 @@ def feature_drift(
     )
     out = (
         shape.join(index, "feature")
-        .join(means, "feature")
-        .join(spread, "feature")
         .select(
             "feature",
             psi.alias("psi"),
