@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.config import PolicyConfig
@@ -727,6 +730,27 @@ def as_files(df, x: Tables, label: str, by: str = "timestamp", parts: int = 4) -
     return path
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """Stateful streams keep one state store per shuffle partition and are not coalesced: one per core is enough here."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def drain_to_files(stream, x: Tables, label: str) -> str:
+    """Runs a bounded stream to its end into Parquet files."""
+    out, check = fresh_folder(x.spark, f"{label}_out"), fresh_folder(x.spark, f"{label}_ck")
+    with state_partitions(x.spark):
+        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
 @query(
     "g1_stream_ingest",
     with_blocks("SELECT strftime(ts, '%Y-%m-%d-%H') AS dt, count(*) AS lines FROM log WHERE level = 'ERROR' GROUP BY 1", "log"),
@@ -744,9 +768,7 @@ def _(x: Tables):
     """Every tick arrives twice and is kept once."""
     twice = x.metrics.unionByName(x.metrics).select(*KEYS, "latency_ms")
     stream = jobs.stream_table(x.spark, as_files(twice, x, "g2_in"), twice.schema, per_batch=1)
-    out, check = fresh_folder(x.spark, "g2_out"), fresh_folder(x.spark, "g2_ck")
-    kept = jobs.deduplicate(stream, "2 days")
-    kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    out = drain_to_files(jobs.deduplicate(stream, "2 days"), x, "g2")
     return x.spark.read.schema(twice.schema).parquet(out).groupBy("service").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -770,9 +792,7 @@ def _(x: Tables):
     """Incident windows that closed while the stream ran."""
     rows = x.metrics.select(*KEYS, "healthy")
     stream = jobs.stream_table(x.spark, as_files(rows, x, "g4_in"), rows.schema, per_batch=1)
-    out, check = fresh_folder(x.spark, "g4_out"), fresh_folder(x.spark, "g4_ck")
-    closed = jobs.track_incidents(stream, adapter.HOUR, "2 hours")
-    closed.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    out = drain_to_files(jobs.track_incidents(stream, adapter.HOUR, "2 hours"), x, "g4")
     return x.spark.read.schema(jobs.INCIDENT_EVENTS).parquet(out)
 
 
@@ -790,9 +810,8 @@ def _(x: Tables):
     windows = x.incidents.select("service", "start_ts", "end_ts")
     left = jobs.stream_table(x.spark, as_files(windows, x, "g7_i", "start_ts"), windows.schema)
     right = jobs.stream_table(x.spark, as_files(logs, x, "g7_l"), logs.schema)
-    out, check = fresh_folder(x.spark, "g7_out"), fresh_folder(x.spark, "g7_ck")
     joined = jobs.correlate_logs(left, right, "1 hour", "12 hours").select("service", "timestamp", "level")
-    joined.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    out = drain_to_files(joined, x, "g7")
     schema = "service string, timestamp timestamp, level string"
     return x.spark.read.schema(schema).parquet(out).groupBy("service").agg(F.count(F.lit(1)).alias("lines"))
 
