@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberwatch.llm import sql
 from emberwatch.llm.common import read
+from emberwatch.llm.fingerprints import document_fingerprints
 from emberwatch.llm.near_dedup import near_duplicates
+from emberwatch.llm.quality_classifier import fit_quality, held_out, score_quality
+from emberwatch.llm.quality_rules import quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +20,29 @@ def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"), width=4, percent=80)
 
 
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    labels = read(spark, folder, "labels").where(~held_out())
+    return score_quality(docs, fit_quality(docs, labels))
+
+
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(read(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return document_fingerprints(read(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op2_quality_classifier, op4_quality_rules, op5_fingerprints, op7_near_dedup)
+}
+
+
 def queries() -> dict[str, Query]:
-    return {"op7_near_dedup": op7_near_dedup}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
