@@ -33,3 +33,92 @@ near AS (
 
 
 NEAR_DEDUP = f"WITH RECURSIVE {near_dedup('documents', 4, 80)} SELECT * FROM near"
+
+
+def quality_rules(docs: str) -> str:
+    """Statements for a WITH clause that end in ``rules`` over ``docs(doc_id, text)``."""
+    from emberwatch.llm.quality_rules import STOP_WORDS, SYMBOLS
+
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return f"""
+rule_words AS (
+    SELECT doc_id, coalesce(text, '') AS text, {WORDS.format(text="text")} AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+    FROM {docs}),
+rule_windows AS (
+    SELECT doc_id, w, lines, text, CASE WHEN len(w) < 5 THEN []
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS wins
+    FROM rule_words),
+rule_twice AS (
+    SELECT doc_id, list(pos) AS pos FROM (
+        SELECT doc_id, unnest(range(1, len(wins) + 1)) AS pos, unnest(wins) AS win FROM rule_windows
+        QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1) GROUP BY doc_id),
+rule_repeat AS (
+    SELECT doc_id, len(list_distinct(flatten(list_transform(pos, lambda p: range(p, p + 5))))) AS n FROM rule_twice),
+rule_counts AS (
+    SELECT r.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+        len(regexp_extract_all(text, '[{SYMBOLS}]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+        coalesce(p.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+        len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS n_stop_words
+    FROM rule_windows r LEFT JOIN rule_repeat p USING (doc_id)),
+rules AS (
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words
+            OR word_chars::DOUBLE / n_words < 1.5 OR word_chars::DOUBLE / n_words > 20 OR n_symbols::DOUBLE / n_words > 0.1
+            OR (n_stop_words + 1)::DOUBLE / n_words < 0.05 OR n_dup_lines::DOUBLE / n_lines > 0.5
+            OR n_words::DOUBLE / n_lines < 2) AS kept
+    FROM rule_counts)"""
+
+
+def _escaped(text: str) -> str:
+    from emberwatch.llm.chat_format import CONTROL
+
+    out = f"replace({text}, '\\', '\\\\')"
+    for s in CONTROL:
+        out = f"replace({out}, '{s}', '{s[0]}\\{s[1:]}')"
+    return out
+
+
+def chat_format() -> str:
+    from emberwatch.llm.chat_format import BODY, BUDGET, END, HISTORY, TURN
+
+    marks = len(TURN) + len(BODY) + len(END)
+    return f"""
+WITH RECURSIVE turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+    SELECT *, ceil(length(text) / 4)::BIGINT + 4 AS tokens, row_number() OVER o AS rn,
+        length({_escaped("role")}) + length({_escaped("text")}) + {marks} AS chars
+    FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)),
+led AS (
+    SELECT *, sum(tokens) OVER o AS upto, lag(tokens, 1) OVER o AS t1, lag(tokens, 2) OVER o AS t2,
+        lag(chars, 1) OVER o AS c1, lag(chars, 2) OVER o AS c2,
+        CASE WHEN first(role) OVER o = 'system' THEN first(tokens) OVER o ELSE 0 END AS sys,
+        CASE WHEN first(role) OVER o = 'system' THEN first(chars) OVER o ELSE 0 END AS sys_chars
+    FROM sized WINDOW o AS (PARTITION BY conv_id ORDER BY rn ROWS UNBOUNDED PRECEDING)),
+placed AS (
+    SELECT *, CASE WHEN h AND rn - 2 > k AND t1 + t2 <= {HISTORY} THEN t1 + t2 WHEN h THEN t1 ELSE 0 END AS again,
+        CASE WHEN h AND rn - 2 > k AND t1 + t2 <= {HISTORY} THEN c1 + c2 WHEN h THEN c1 ELSE 0 END AS again_chars
+    FROM (SELECT *, (sys > 0)::INT AS k, coalesce(rn - 1 > (sys > 0)::INT AND t1 <= {HISTORY}, false) AS h FROM led)),
+fitted AS (
+    SELECT *, CASE WHEN tokens + again + sys <= {BUDGET} THEN again ELSE 0 END AS hist,
+        CASE WHEN tokens + again + sys <= {BUDGET} THEN again_chars ELSE 0 END AS hist_chars FROM placed),
+walk AS (
+    SELECT conv_id, rn, 0::HUGEINT AS base, 1 AS windows, chars AS total FROM fitted WHERE rn = 1
+    UNION ALL
+    SELECT f.conv_id, f.rn, CASE WHEN opens THEN f.upto - f.tokens - f.hist ELSE base END,
+        windows + opens::INT, total + f.chars + CASE WHEN opens THEN f.sys_chars + f.hist_chars ELSE 0 END
+    FROM walk w JOIN fitted f ON f.conv_id = w.conv_id AND f.rn = w.rn + 1,
+        LATERAL (SELECT f.upto - w.base > {BUDGET} - CASE WHEN w.windows > 1 THEN f.sys ELSE 0 END AS opens)),
+sums AS (SELECT conv_id, arg_max(total, rn)::BIGINT AS formatted_chars FROM walk GROUP BY conv_id),
+texts AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn) AS t,
+        coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '') AS l FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha256(l) AS loss_sha256, formatted_chars
+FROM texts JOIN sums USING (conv_id)"""
+
+
+QUALITY_RULES = f"WITH {quality_rules('documents')} SELECT * FROM rules"
+CHAT_FORMAT = chat_format()
