@@ -1,13 +1,55 @@
-"""Corpus pipeline over documents: quality classifier, quality rules, near-duplicates, packing."""
+"""Corpus pipeline over documents: quality classifier, quality rules, near-duplicates, packing.
+
+Each stage works on all rows that its predecessor kept, and all but the last return the columns of documents. Between
+stages the rows are written to the shared folder and read back.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberwatch.llm.common import read
+from emberwatch.llm.near_dedup import near_duplicates
+from emberwatch.llm.packing import pack_documents
+from emberwatch.llm.quality_classifier import fit_quality, held_out, keep_scored
+from emberwatch.llm.quality_rules import keep_good
+from emberwatch.plans.durable import durable
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    labels = read(spark, sf_dir, "labels").where(~held_out())
+    return keep_scored(docs, fit_quality(docs, labels))
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail no quality rule."""
+    return keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that of the smallest doc_id, and of rows with that doc_id one."""
+    kept = near_duplicates(docs).where("kept").select("doc_id")
+    alone = kept.distinct().withColumnRenamed("doc_id", "__id")
+    rows = docs.join(alone, docs["doc_id"].eqNullSafe(alone["__id"]), "left_semi")
+    # Only repeated doc_ids have more than one row here.
+    return rows.dropDuplicates(["doc_id"])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences and their places in packed sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [("classify", classify), ("rules", rules), ("near_dedup", near_dedup), ("pack", pack)]
+
+# A fitted classifier and byte-pair encoding have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,20 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from emberwatch.llm import sql
 from emberwatch.llm.chat_format import conversation_digests, format_windows
 from emberwatch.llm.common import pick, read
 from emberwatch.llm.fingerprints import document_fingerprints
+from emberwatch.llm.html_extract import extract_pages
+from emberwatch.llm.license_scan import scan_licenses
 from emberwatch.llm.near_dedup import near_duplicates
 from emberwatch.llm.packing import pack_documents
 from emberwatch.llm.quality_classifier import fit_quality, held_out, score_quality
 from emberwatch.llm.quality_rules import quality_rules
+from emberwatch.llm.sentencepiece_codec import codec_digests
 from emberwatch.llm.sharding import shard_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(read(spark, folder, "pages"))
+
+
 def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"), width=4, percent=80)
 
@@ -57,10 +65,20 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(read(spark, folder, "documents"), length=1024)
 
 
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return codec_digests(read(spark, folder, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_licenses(read(spark, folder, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_chat_format, op2_quality_classifier, op3_sharding, op4_quality_rules, op5_fingerprints, op7_near_dedup, op8_packing,
+        op1_chat_format, op2_quality_classifier, op3_sharding, op4_quality_rules, op5_fingerprints, op6_html_extract,
+        op7_near_dedup, op8_packing, op9_sentencepiece, op10_license_scan,
     )
 }
 

@@ -17,11 +17,11 @@ near_items AS (
     FROM near_words),
 near_sizes AS (SELECT doc_id, count(*) AS n FROM near_items GROUP BY doc_id),
 near_common AS (
-    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM near_items x JOIN near_items y USING (item)
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM near_items x JOIN near_items y USING (item)
     WHERE x.doc_id < y.doc_id GROUP BY ALL),
 near_links AS (
     SELECT a, b FROM near_common JOIN near_sizes p ON p.doc_id = a JOIN near_sizes q ON q.doc_id = b
-    WHERE 100 * both >= {percent} * (p.n + q.n - both)),
+    WHERE 100 * common >= {percent} * (p.n + q.n - common)),
 near_reach AS (
     SELECT doc_id AS a, doc_id AS b FROM {docs}
     UNION
@@ -51,8 +51,9 @@ rule_windows AS (
     FROM rule_words),
 rule_twice AS (
     SELECT doc_id, list(pos) AS pos FROM (
-        SELECT doc_id, unnest(range(1, len(wins) + 1)) AS pos, unnest(wins) AS win FROM rule_windows
-        QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1) GROUP BY doc_id),
+        SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) AS n FROM (
+            SELECT doc_id, unnest(range(1, len(wins) + 1)) AS pos, unnest(wins) AS win FROM rule_windows))
+    WHERE n > 1 GROUP BY doc_id),
 rule_repeat AS (
     SELECT doc_id, len(list_distinct(flatten(list_transform(pos, lambda p: range(p, p + 5))))) AS n FROM rule_twice),
 rule_counts AS (
