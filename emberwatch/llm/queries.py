@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberwatch.llm import sql
 from emberwatch.llm.chat_format import conversation_digests, format_windows
 from emberwatch.llm.common import pick, read
-from emberwatch.llm.fingerprints import document_fingerprints
+from emberwatch.llm.fingerprints import document_fingerprints, neighbour_counts
 from emberwatch.llm.html_extract import extract_pages
 from emberwatch.llm.license_scan import scan_licenses
 from emberwatch.llm.near_dedup import near_duplicates
@@ -19,6 +19,7 @@ from emberwatch.llm.quality_classifier import fit_quality, held_out, score_quali
 from emberwatch.llm.quality_rules import quality_rules
 from emberwatch.llm.sentencepiece_codec import codec_digests
 from emberwatch.llm.sharding import shard_documents
+from emberwatch.plans.durable import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,7 +59,8 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return document_fingerprints(read(spark, folder, "documents"))
+    prints = durable(document_fingerprints(read(spark, folder, "documents")), "fingerprints")
+    return neighbour_counts(prints)
 
 
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,6 +86,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {
     "op1_chat_format": sql.CHAT_FORMAT,
+    "op3_sharding": sql.SHARDING,
     "op4_quality_rules": sql.QUALITY_RULES,
     "op7_near_dedup": sql.NEAR_DEDUP,
 }

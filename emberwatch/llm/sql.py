@@ -123,3 +123,38 @@ FROM texts JOIN sums USING (conv_id)"""
 
 QUALITY_RULES = f"WITH {quality_rules('documents')} SELECT * FROM rules"
 CHAT_FORMAT = chat_format()
+
+
+# CRC-32 byte by byte with the usual table, whose entries follow from the polynomial.
+_CRC = """
+crc_table AS (
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+crc AS (
+    SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+        regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+    FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(octet_length(encode(text)), 0) + 1 AS size FROM documents), crc_table)"""
+
+
+def sharding(shards: int) -> str:
+    from emberwatch.llm.sharding import MULTIPLIER
+
+    def jump(n: int) -> str:
+        return f"""
+jump{n} AS (
+    SELECT doc_id, (doc_id::HUGEINT + CASE WHEN doc_id < 0 THEN 18446744073709551616 ELSE 0 END)::UHUGEINT AS k,
+        -1::BIGINT AS cur, 0::BIGINT AS ahead FROM (SELECT DISTINCT doc_id FROM documents)
+    UNION ALL
+    SELECT doc_id, next, ahead, floor((ahead + 1) * (2147483648.0::DOUBLE / ((next // 8589934592)::DOUBLE + 1)))::BIGINT
+    FROM (SELECT doc_id, ahead, (k * {MULTIPLIER} + 1) % 18446744073709551616::UHUGEINT AS next FROM jump{n} WHERE ahead < {n})),
+shard{n} AS (SELECT doc_id, max(cur) AS s FROM jump{n} GROUP BY doc_id)"""
+
+    return f"""
+WITH RECURSIVE {_CRC}, {jump(shards)}, {jump(shards + 1)}
+SELECT doc_id, size, text_crc32, 'key' AS law, a.s::INTEGER AS shard,
+    row_number() OVER (PARTITION BY a.s ORDER BY doc_id, text_crc32, size) - 1 AS slot, b.s::INTEGER AS grown_shard
+FROM crc JOIN shard{shards} a USING (doc_id) JOIN shard{shards + 1} b USING (doc_id)"""
+
+
+SHARDING = sharding(8)
