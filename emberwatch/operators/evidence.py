@@ -117,21 +117,31 @@ def describe_ticks(
     return home_rows(described.drop("_seen", "_found"))
 
 
+def _cell(time: Column, interval_sec: int) -> Column:
+    return F.floor(F.unix_micros(time) / F.lit(interval_sec * 1_000_000)).cast("long")
+
+
+def _serious(logs: DataFrame, interval_sec: int) -> DataFrame:
+    """WARNING and ERROR lines with their interval; ``_log`` sorts newest first, then by level, message and id."""
+    last = F.col("event_id") if "event_id" in logs.columns else F.lit(0)
+    return logs.where(F.col("level").isin("WARNING", "ERROR")).select(
+        "service",
+        _cell(F.col("timestamp"), interval_sec).alias("_cell"),
+        F.struct((-F.unix_micros("timestamp")).alias("age"), "level", "message", last.alias("id"), "timestamp").alias("_log"),
+    )
+
+
 def recent_logs(logs: DataFrame, config: EvidenceConfig, interval_sec: int) -> DataFrame:
-    """The last few WARNING / ERROR lines per service and tick interval ``(previous tick, tick]``.
+    """The last few WARNING / ERROR lines per service and interval.
 
     ``row_number() <= k`` keeps k lines per group on the map side before anything is shuffled.
     """
-    serious = logs.where(F.col("level").isin("WARNING", "ERROR"))
-    cell = F.ceil(F.unix_micros("timestamp") / F.lit(interval_sec * 1_000_000)).cast("long")
-    order = [F.col("timestamp").desc(), F.col("level"), F.col("message")]
-    order += [F.col("event_id")] if "event_id" in logs.columns else []
-    newest = W.partitionBy("service", "_cell").orderBy(*order)
+    newest = W.partitionBy("service", "_cell").orderBy("_log")
     return (
-        serious.withColumn("_cell", cell)
+        _serious(logs, interval_sec)
         .withColumn("_nr", F.row_number().over(newest))
         .where(F.col("_nr") <= config.log_limit)
-        .select("service", "_cell", F.struct("timestamp", "level", "message").alias("log"))
+        .drop("_nr")
     )
 
 
@@ -140,20 +150,26 @@ def correlated_logs(
 ) -> DataFrame:
     """(timestamp, service, correlated_logs): the last ``log_limit`` serious lines in ``[t - window, t]``, newest first.
 
-    Ticks must lie on multiples of the interval. Each flagged tick looks up the few pre-reduced intervals its window
-    covers, so the join multiplies rows by a constant however many lines were logged.
+    Ticks may lie anywhere. Each looks up the few pre-reduced intervals that end before it, so the join multiplies rows
+    by a constant however many lines were logged; of the interval it lies in, only lines up to the tick count, so those
+    are ranked per tick.
     """
-    width = int(round(config.log_window_min * 60 / interval_sec))
-    at = F.floor(F.unix_micros("timestamp") / F.lit(interval_sec * 1_000_000)).cast("long")
-    ticks = flagged.select("service", "timestamp").withColumn("_cell", F.explode(F.sequence(at - width, at)))
-    begin = F.col("timestamp") - F.make_interval(secs=F.lit(config.log_window_min * 60.0))
-    hits = ticks.join(recent_logs(logs, config, interval_sec), ["service", "_cell"]).where(
-        (F.col("log.timestamp") >= begin) & (F.col("log.timestamp") <= F.col("timestamp"))
-    )
-    newest_first = F.reverse(F.array_sort(F.collect_list("log")))  # at most (width + 1) * log_limit lines
-    return hits.groupBy("timestamp", "service").agg(
-        F.slice(newest_first, 1, config.log_limit).alias("correlated_logs")
-    )
+    limit = config.log_limit
+    begin = F.unix_micros("timestamp") - F.lit(int(round(config.log_window_min * 60_000_000)))
+    ticks = flagged.select("service", "timestamp").distinct().withColumn("_own", _cell(F.col("timestamp"), interval_sec))
+    first = F.floor(begin / F.lit(interval_sec * 1_000_000)).cast("long")
+    before = ticks.withColumn("_cell", F.explode(F.filter(F.sequence(first, F.col("_own")), lambda c: c < F.col("_own"))))
+    whole = before.join(recent_logs(logs, config, interval_sec), ["service", "_cell"])
+    partial = ticks.withColumnRenamed("_own", "_cell").join(_serious(logs, interval_sec), ["service", "_cell"])
+    partial = partial.where(F.col("_log.timestamp") <= F.col("timestamp"))
+    ranked = F.row_number().over(W.partitionBy("service", "timestamp").orderBy("_log"))
+    partial = partial.withColumn("_nr", ranked).where(F.col("_nr") <= limit)
+    hits = whole.select("service", "timestamp", "_log").union(partial.select("service", "timestamp", "_log"))
+    hits = hits.where(-F.col("_log.age") >= begin)
+    # at most (intervals of the window + 1) * log_limit lines
+    newest = F.slice(F.array_sort(F.collect_list("_log")), 1, limit)
+    lines = F.transform(newest, lambda x: F.struct(x["timestamp"].alias("timestamp"), x["level"].alias("level"), x["message"].alias("message")))
+    return hits.groupBy("timestamp", "service").agg(F.reverse(F.array_sort(lines)).alias("correlated_logs"))
 
 
 def recommended_actions(components: dict[str, Column], top_features: Column) -> Column:

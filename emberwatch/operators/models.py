@@ -23,7 +23,7 @@ SEED = 42
 
 # Search space of the boosted trees; names follow pyspark.ml.
 GBT_SPACE = {
-    "maxIter": [20, 30, 40, 50],
+    "maxIter": [200, 300, 400, 500],
     "maxDepth": [4, 5, 6, 7, 8],
     "stepSize": [0.01, 0.03, 0.05, 0.08, 0.1],
     "subsamplingRate": [0.7, 0.8, 0.9, 1.0],
@@ -57,7 +57,7 @@ def classifier(name: str, label: str, rows: int, params: dict | None = None):
         settings = {"numTrees": 200, "maxDepth": 12, "minInstancesPerNode": 4, "seed": SEED, **(params or {})}
         return RandomForestClassifier(**common, **settings)
     if name == "gradient_boosting":
-        settings = {"maxIter": 50, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": SEED, **(params or {})}
+        settings = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": SEED, **(params or {})}
         return GBTClassifier(**common, **settings)
     raise ValueError(f"unknown model: {name}")
 

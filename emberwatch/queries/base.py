@@ -80,7 +80,9 @@ class Tables:
     def probed(self) -> DataFrame:
         """Dataset with the z-score and two stand-in model probabilities, one of them unknown for warm-up rows."""
         scored = score_zscore(self.dataset, self.zscore, FEATURES, "zscore_score")
-        scored = scored.withColumn("p_rows", probability_of_rows()).withColumn("p_windows", probability_of_windows())
+        scored = scored.withColumn("p_rows", probability_of_rows()).withColumn(
+            "p_windows", probability_of_windows(self.dataset.agg(F.min("timestamp")).first()[0])
+        )
         return durable(scored.withColumns({c: comparable(F.col(c)) for c in RANKED}), "probed")
 
     @cached_property
@@ -100,10 +102,10 @@ def probability_of_rows() -> Column:
     return 1 / (1 + F.exp(-(F.lit(6.0) * F.col("Error_rate") + F.lit(0.01) * F.col("Latency_30t_avg") - F.lit(4.0))))
 
 
-def probability_of_windows() -> Column:
-    """Fixed logistic function that, like a window classifier, has no value before its window is full."""
+def probability_of_windows(start) -> Column:
+    """Fixed logistic function that, like a window classifier, has no value before its window of 20 hours is full."""
     value = 1 / (1 + F.exp(-(F.lit(0.5) * F.col("Memory_growth_rate") + F.lit(0.05) * F.col("zscore_score"))))
-    return F.when(F.col("timestamp") >= F.lit("2024-01-01 19:00:00").cast("timestamp"), value)
+    return F.when(F.col("timestamp") >= F.lit(start) + F.expr("interval 19 hours"), value)
 
 
 _TABLES: dict[tuple[str, str], Tables] = {}

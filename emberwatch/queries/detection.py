@@ -259,7 +259,7 @@ def _(x: Tables):
             + ") / 3e0",
             "ensemble_score",
         )
-        + " FROM det m WHERE split = 'val'",
+        + " FROM det m",
         "det",
     ),
 )
@@ -268,7 +268,7 @@ def _(x: Tables):
     columns = [f"{m}_score" for m in MODELS[:3]]
     rounded_scores = x._wide.select(*KEYS, "split", *[comparable(F.col(c)).alias(c) for c in columns])
     train = rounded_scores.where("split = 'train'").select(*columns)
-    return d.fuse_mean_rank(rounded_scores.where("split = 'val'").drop("split"), train, MODELS[:3])
+    return d.fuse_mean_rank(rounded_scores.drop("split"), train, MODELS[:3])
 
 
 @query(
@@ -304,10 +304,10 @@ def _(x: Tables):
 
 @query(
     "p14_legacy_level",
-    with_blocks(f"SELECT {ids()}, model, level FROM table_ WHERE split = 'test'", "table_"),
+    with_blocks(f"SELECT {ids()}, split, model, level FROM table_", "table_"),
 )
 def _(x: Tables):
-    return score_table(x).where("split = 'test'").select(*KEYS, "model", "level")
+    return score_table(x).select(*KEYS, "split", "model", "level")
 
 
 @query("p11_detector_decision", with_blocks("SELECT split, model, anomaly, count(*) AS rows FROM table_ GROUP BY ALL", "table_"))
@@ -572,7 +572,7 @@ def _(x: Tables):
 
 @query("d4_isolation_forest")
 def _(x: Tables):
-    trees = forest.fit_forest(x.part("train").select(*KEYS, *FEATURES), FEATURES, trees=50)
+    trees = forest.fit_forest(x.part("train").select(*KEYS, *FEATURES), FEATURES)
     scored = forest.score_forest(x.split.select(*KEYS, "split", LABEL, *FEATURES), trees, FEATURES)
     return scored.select(*KEYS, "split", LABEL, "score")
 
@@ -588,8 +588,8 @@ def _(x: Tables):
 
 @query("d6_sequence_reconstruction")
 def _(x: Tables):
-    net = reconstruction.fit_windows(x.part("train"), FEATURES, LABELS, 10)
-    scored = reconstruction.score_windows(x.part("test").select(*KEYS, LABEL, *FEATURES), net, FEATURES, LABEL, 10)
+    net = reconstruction.fit_windows(x.part("train"), FEATURES, LABELS)
+    scored = reconstruction.score_windows(x.split.select(*KEYS, LABEL, *FEATURES), net, FEATURES, LABEL)
     return scored.select(*KEYS, LABEL, "score").withColumn(
         "anomaly", ev.decide("score", F.lit(net.threshold), inclusive=False)
     )
@@ -609,7 +609,7 @@ def _(x: Tables):
 
 @query("d11_random_forest")
 def _(x: Tables):
-    return models.evaluate(trained(x, "random_forest", {"numTrees": 40, "maxDepth": 8}), x.split, LABEL, ["split"])
+    return models.evaluate(trained(x, "random_forest"), x.split, LABEL, ["split"])
 
 
 @query("d12_gradient_boosting")
@@ -626,8 +626,8 @@ def _(x: Tables):
 
 @query("d14_sequence_classifier")
 def _(x: Tables):
-    model = models.train_sequences(x.part("train"), x.part("val"), FEATURES, LABEL, 10)
-    scored = models.predict_sequences(model, x.split, LABEL, 10, by=("split", "service"))
+    model = models.train_sequences(x.part("train"), x.part("val"), FEATURES, LABEL)
+    scored = models.predict_sequences(model, x.split, LABEL, 20, by=("split", "service"))
     return ev.evaluate_at(scored, LABEL, "probability", model.threshold, ["split"])
 
 

@@ -20,7 +20,7 @@ from emberwatch.plans.durable import durable, fresh_folder
 from emberwatch.queries.base import FEATURES, GRID, LABEL, Tables, query
 from emberwatch.queries.detection import confusion, score_table
 from emberwatch.queries.preparation import KEYS, ids
-from emberwatch.queries.sqlbase import block, r, t, with_blocks
+from emberwatch.queries.sqlbase import BLOCKS, block, r, t, with_blocks
 from emberwatch.sources import adapter
 from emberwatch.streaming import jobs
 
@@ -86,10 +86,22 @@ ORDER BY log.ts DESC, log.level, log.message, log.event_id LIMIT 3) l ON true WH
 block("near", LOG_CHOICE, "risk", "log")
 
 
-@query("i2_correlated_logs", with_blocks(f"SELECT {ids()}, messages FROM near", "near"))
+@query(
+    "i2_correlated_logs",
+    with_blocks(
+        f"""SELECT {ids()}, list(message ORDER BY ts_log DESC, level DESC, message DESC) AS messages FROM (
+        SELECT f.service, f.ts, l.ts AS ts_log, l.level, l.message,
+            row_number() OVER (PARTITION BY f.service, f.ts ORDER BY l.ts DESC, l.level, l.message, l.event_id) AS nr
+        FROM (SELECT DISTINCT service, ts FROM log WHERE level = 'ERROR') f
+        JOIN log l ON l.service = f.service AND l.level IN ('WARNING', 'ERROR') AND l.ts <= f.ts AND l.ts >= f.ts - INTERVAL 20 HOUR)
+        WHERE nr <= 3 GROUP BY service, ts""",
+        "log",
+    ),
+)
 def _(x: Tables):
-    flagged = x.risk.where("risk_score >= 0.4")
-    logs = evd.correlated_logs(flagged, x.logs, adapter.EVIDENCE, adapter.HOUR)
+    """Ticks are the times of all errors, which lie anywhere between the borders of the grid."""
+    ticks = x.logs.where("level = 'ERROR'").select(*KEYS).distinct()
+    logs = evd.correlated_logs(ticks, x.logs, adapter.EVIDENCE, adapter.HOUR)
     return logs.select(*KEYS, F.transform("correlated_logs", lambda e: e["message"]).alias("messages"))
 
 
@@ -437,7 +449,7 @@ def _(x: Tables):
     return rem.execution_counts(executed(x), ("timestamp", "service"))
 
 
-NOW = "TIMESTAMP '2024-01-30 23:00:00'"
+NOW = "(SELECT max(ts) FROM metrics)"
 
 
 @query(
@@ -446,6 +458,7 @@ NOW = "TIMESTAMP '2024-01-30 23:00:00'"
         f"""SELECT service, category, {t('ts', 'event_ts')} FROM (SELECT DISTINCT service, ts, category FROM plan)
         WHERE ts >= {NOW} - INTERVAL 240 HOUR AND service <> 'svc-1'""",
         "plan",
+        "metrics",
     ),
 )
 def _(x: Tables):
@@ -455,7 +468,8 @@ def _(x: Tables):
         "event_ts", F.col("event_ts") + F.expr("interval 1 minute")
     )
     events = created.unionByName(taken).drop("plan")
-    return rem.pending_approvals(events, F.expr(NOW), 240 * 60).select("service", "category", "event_ts")
+    now = F.lit(x.metrics.agg(F.max("timestamp")).first()[0])
+    return rem.pending_approvals(events, now, 240 * 60).select("service", "category", "event_ts")
 
 
 # --- recovery ---------------------------------------------------------------------------------------------------------
@@ -716,17 +730,21 @@ def _(x: Tables):
 # --- streaming --------------------------------------------------------------------------------------------------------
 
 
+FILES = 2  # files a time slice
+
+
 def as_files(df, x: Tables, label: str, by: str = "timestamp", parts: int = 4) -> str:
-    """The table as a folder of files to be streamed. Slices of time are written one after the other because a file
-    source reads files in the order of their modification."""
+    """The table as a folder of files to be streamed, ``FILES`` a slice of time. Slices are written one after the other
+    because a file source reads files in the order of their modification."""
     path = fresh_folder(x.spark, label)
+    df = durable(df, f"{label}_rows")
     ends = df.agg(F.min(by).alias("lo"), F.max(by).alias("hi")).first()
     step = (ends["hi"] - ends["lo"]) / parts
     for i in range(parts):
         rows = df.where(F.col(by) >= F.lit(ends["lo"] + i * step))
         if i < parts - 1:
             rows = rows.where(F.col(by) < F.lit(ends["lo"] + (i + 1) * step))
-        rows.coalesce(1).write.mode("append").parquet(path)
+        rows.repartition(FILES).write.mode("append").parquet(path)
     return path
 
 
@@ -751,76 +769,116 @@ def drain_to_files(stream, x: Tables, label: str) -> str:
     return out
 
 
-@query(
-    "g1_stream_ingest",
-    with_blocks("SELECT strftime(ts, '%Y-%m-%d-%H') AS dt, count(*) AS lines FROM log WHERE level = 'ERROR' GROUP BY 1", "log"),
-)
+@query("g1_stream_ingest", with_blocks("SELECT strftime(ts, '%Y-%m-%d-%H') AS dt, level, count(*) AS lines FROM log GROUP BY ALL", "log"))
 def _(x: Tables):
-    errors = x.logs.where("level = 'ERROR'")
-    source, out = as_files(errors, x, "g1_in"), fresh_folder(x.spark, "g1_out")
-    stream = jobs.stream_table(x.spark, source, errors.schema, per_batch=2)
+    source, out = as_files(x.logs, x, "g1_in"), fresh_folder(x.spark, "g1_out")
+    stream = jobs.stream_table(x.spark, source, x.logs.schema, per_batch=FILES)
     jobs.ingest(stream, out, fresh_folder(x.spark, "g1_ck"), available_now=True).awaitTermination()
-    return x.spark.read.parquet(out).groupBy(F.col("dt").cast("string").alias("dt")).agg(F.count(F.lit(1)).alias("lines"))
+    return x.spark.read.parquet(out).groupBy(F.col("dt").cast("string").alias("dt"), "level").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("g2_stream_deduplicate", with_blocks("SELECT service, count(*) AS rows FROM metrics GROUP BY service", "metrics"))
 def _(x: Tables):
     """Every tick arrives twice and is kept once."""
     twice = x.metrics.unionByName(x.metrics).select(*KEYS, "latency_ms")
-    stream = jobs.stream_table(x.spark, as_files(twice, x, "g2_in"), twice.schema, per_batch=1)
+    stream = jobs.stream_table(x.spark, as_files(twice, x, "g2_in"), twice.schema, per_batch=FILES)
     out = drain_to_files(jobs.deduplicate(stream, "2 days"), x, "g2")
     return x.spark.read.schema(twice.schema).parquet(out).groupBy("service").agg(F.count(F.lit(1)).alias("rows"))
 
 
+# One service is silent for more than a week.
+SILENCE = "service = 'svc-1' AND epoch_ms({ts}) BETWEEN epoch_ms({first}) + 300 * 3600000 AND epoch_ms({first}) + 500 * 3600000"
+
+
+def with_silence(sql: str) -> str:
+    """The statement over metrics without the silent stretch."""
+    body = f"metrics AS MATERIALIZED (\n{BLOCKS['metrics'][1]}\n)"
+    silent = SILENCE.format(ts="ts", first="(SELECT min(ts) FROM rows_)")
+    return sql.replace(body, f"rows_ AS MATERIALIZED (\n{BLOCKS['metrics'][1]}\n),\nmetrics AS MATERIALIZED (SELECT * FROM rows_ WHERE NOT ({silent}))")
+
+
 @query(
     "g3_stream_features",
-    with_blocks(f"SELECT {ids()}, {r('\"CPU_30t_avg\"', 'CPU_30t_avg')}, {r('\"Memory_growth_rate\"', 'Memory_growth_rate')} FROM feat", "feat"),
+    with_silence(
+        with_blocks(
+            f"SELECT {ids()}, " + ", ".join(r(f'"{c}"', c) for c in FEATURES) + " FROM feat",
+            "feat",
+        )
+    ),
 )
 def _(x: Tables):
-    """Row-frame features computed micro-batch by micro-batch."""
-    stream = jobs.stream_table(x.spark, as_files(x.metrics, x, "g3_in"), x.metrics.schema, per_batch=2)
+    """All row-frame features micro-batch by micro-batch, over a series with a long gap."""
+    first = x.metrics.agg(F.min("timestamp")).first()[0]
+    hours = (F.unix_micros("timestamp") - F.unix_micros(F.lit(first))) / 3_600_000_000
+    rows = x.metrics.where(~((F.col("service") == "svc-1") & hours.between(300, 500)))
+    stream = jobs.stream_table(x.spark, as_files(rows, x, "g3_in", parts=6), rows.schema, per_batch=FILES)
     out = fresh_folder(x.spark, "g3_out")
-    jobs.features_in_batches(stream, fresh_folder(x.spark, "g3_hist"), out, fresh_folder(x.spark, "g3_ck"), adapter.FEATURES).awaitTermination()
-    return x.spark.read.parquet(out).select(*KEYS, "CPU_30t_avg", "Memory_growth_rate")
+    jobs.features_in_batches(stream, fresh_folder(x.spark, "g3_tail"), out, fresh_folder(x.spark, "g3_ck"), adapter.FEATURES).awaitTermination()
+    return x.spark.read.parquet(out).select(*KEYS, *FEATURES)
+
+
+def incident_events(x: Tables):
+    """Starts and ends from a stream in which up to three hours late ticks arrive in later batches, and from what was
+    still waiting when it stopped."""
+    rows = x.metrics.select(*KEYS, "healthy", F.pmod(F.xxhash64("service", "timestamp"), F.lit(4)).cast("int").alias("late"))
+    rows = rows.withColumn("arrival", F.col("timestamp") + F.make_interval(hours=F.col("late")))
+    stream = jobs.stream_table(x.spark, as_files(rows, x, "g4_in", "arrival", 8), rows.schema, per_batch=FILES)
+    out, check = fresh_folder(x.spark, "g4_out"), fresh_folder(x.spark, "g4_ck")
+    with state_partitions(x.spark):
+        writer = jobs.track_incidents(stream, adapter.HOUR, "4 hours").writeStream.format("parquet")
+        writer = writer.option("path", out).option("checkpointLocation", check)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    written = x.spark.read.schema(jobs.INCIDENT_EVENTS).parquet(out)
+    return written.unionByName(jobs.flush_incidents(x.spark, check, adapter.HOUR))
 
 
 @query(
     "g4_stream_incidents",
-    with_blocks(f"SELECT service, {t('start_ts', 'start_ts')}, {t('end_ts', 'end_ts')} FROM incidents WHERE end_ts <= (SELECT max(ts) FROM metrics)", "incidents"),
+    with_blocks(f"SELECT service, {t('start_ts', 'start_ts')}, {t('end_ts', 'end_ts')} FROM incidents", "incidents"),
+)
+def _(x: Tables):
+    """All incident windows, the open ones flushed."""
+    return incident_events(x).where("event = 'end'").select("service", "start_ts", "end_ts")
+
+
+@query(
+    "s8_incident_events",
+    with_blocks(
+        f"SELECT service, 'start' AS event, {t('start_ts', 'event_ts')} FROM incidents UNION ALL SELECT service, 'end', {t('end_ts', 'event_ts')} FROM incidents",
+        "incidents",
+    ),
 )
 def _(x: Tables):
-    """Incident windows that closed while the stream ran."""
-    rows = x.metrics.select(*KEYS, "healthy")
-    stream = jobs.stream_table(x.spark, as_files(rows, x, "g4_in"), rows.schema, per_batch=1)
-    out = drain_to_files(jobs.track_incidents(stream, adapter.HOUR, "2 hours"), x, "g4")
-    return x.spark.read.schema(jobs.INCIDENT_EVENTS).parquet(out)
+    """What a running collector reports: every start and every end."""
+    return incident_events(x).select("service", "event", F.coalesce("end_ts", "start_ts").alias("event_ts"))
 
 
 @query(
     "g7_stream_log_correlation",
     with_blocks(
-        "SELECT l.service, count(*) AS lines FROM log l JOIN incidents i ON i.service = l.service AND l.ts >= i.start_ts AND l.ts <= i.end_ts "
-        "AND l.ts <= i.start_ts + INTERVAL 12 HOUR WHERE l.level IN ('WARNING', 'ERROR') GROUP BY l.service",
+        f"SELECT l.service, {t('i.start_ts', 'start_ts')}, count(*) AS lines FROM log l JOIN incidents i ON i.service = l.service AND l.ts >= i.start_ts AND l.ts <= i.end_ts "
+        "WHERE l.level IN ('WARNING', 'ERROR') GROUP BY l.service, i.start_ts",
         "log",
         "incidents",
     ),
 )
 def _(x: Tables):
+    """Every match of two streams, however long the incident."""
     logs = x.logs.select(*KEYS, "level", "message")
     windows = x.incidents.select("service", "start_ts", "end_ts")
-    left = jobs.stream_table(x.spark, as_files(windows, x, "g7_i", "start_ts"), windows.schema)
-    right = jobs.stream_table(x.spark, as_files(logs, x, "g7_l"), logs.schema)
-    joined = jobs.correlate_logs(left, right, "1 hour", "12 hours").select("service", "timestamp", "level")
-    out = drain_to_files(joined, x, "g7")
-    schema = "service string, timestamp timestamp, level string"
-    return x.spark.read.schema(schema).parquet(out).groupBy("service").agg(F.count(F.lit(1)).alias("lines"))
+    left = jobs.stream_table(x.spark, as_files(windows, x, "g7_i", "start_ts"), windows.schema, per_batch=FILES)
+    right = jobs.stream_table(x.spark, as_files(logs, x, "g7_l"), logs.schema, per_batch=FILES)
+    out = fresh_folder(x.spark, "g7_out")
+    jobs.correlate_in_batches(left, right, fresh_folder(x.spark, "g7_store"), out, fresh_folder(x.spark, "g7_ck")).awaitTermination()
+    found = x.spark.read.parquet(out).withColumnRenamed("incident_service", "service")
+    return found.groupBy("service", "start_ts").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("g5_stream_risk", with_blocks(f"SELECT {ids()} FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ts DESC) AS nr FROM ds) WHERE nr = 1", "ds"))
 def _(x: Tables):
     """Newest risk per service after the whole table has streamed by."""
     rows = x.probed.drop("healthy")
-    stream = jobs.stream_table(x.spark, as_files(rows, x, "g5_in"), rows.schema, per_batch=2)
+    stream = jobs.stream_table(x.spark, as_files(rows, x, "g5_in"), rows.schema, per_batch=2 * FILES)
     out = fresh_folder(x.spark, "g5_out")
     jobs.risk_in_batches(stream, x.reference, out, fresh_folder(x.spark, "g5_ck"), adapter.RISK, ["p_rows"]).awaitTermination()
     return latest_by_service(x.spark.read.parquet(out)).select(*KEYS)
@@ -831,7 +889,7 @@ def _(x: Tables):
     """Drift summary of every micro-batch of the test split against the training split."""
     columns = ["Error_rate", "Latency_30t_avg", "Memory_growth_rate"]
     rows = x.part("test").select(*KEYS, *columns)
-    stream = jobs.stream_table(x.spark, as_files(rows, x, "g6_in"), rows.schema, per_batch=4)
+    stream = jobs.stream_table(x.spark, as_files(rows, x, "g6_in"), rows.schema, per_batch=2 * FILES)
     out = fresh_folder(x.spark, "g6_out")
     jobs.drift_in_batches(stream, x.part("train").select(*columns), columns, out, fresh_folder(x.spark, "g6_ck"), adapter.DRIFT).awaitTermination()
     return x.spark.read.parquet(out).select("epoch", "total_features", "drifted_features_count", "drift_share")

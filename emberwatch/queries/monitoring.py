@@ -253,7 +253,7 @@ def _(x: Tables):
 # --- drift ------------------------------------------------------------------------------------------------------------
 
 LINES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-EARLY, LATE = "l_shipdate < TIMESTAMP '1998-01-01'", "l_shipdate >= TIMESTAMP '1999-01-01'"
+EARLY, LATE = "l_shipdate < TIMESTAMP '1998-01-01'", "l_shipdate >= TIMESTAMP '1998-01-01'"
 
 
 def drift_blocks(name: str, early: str, late: str, columns) -> None:
@@ -457,7 +457,7 @@ ORDERS = ["o_totalprice"]
 drift_blocks(
     "ord",
     "(SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01')",
-    "(SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01')",
+    "(SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')",
     ORDERS,
 )
 
@@ -466,5 +466,5 @@ drift_blocks(
 def _(x: Tables):
     orders = x.read("orders")
     early = orders.where("o_orderdate < TIMESTAMP '1998-01-01'").select(*ORDERS)
-    late = orders.where("o_orderdate >= TIMESTAMP '1999-01-01'").select(*ORDERS)
+    late = orders.where("o_orderdate >= TIMESTAMP '1998-01-01'").select(*ORDERS)
     return comparable_drift(dr.feature_drift(early, late, ORDERS, DriftConfig()))

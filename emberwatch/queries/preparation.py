@@ -103,12 +103,12 @@ def _(x: Tables):
             "greatest(abs(lag(value, 30) OVER (PARTITION BY service ORDER BY ts, event_id)), 1e-9), 0)",
             "growth",
         )
-        + " FROM ev WHERE value > 0",
+        + " FROM ev",
         "ev",
     ),
 )
 def _(x: Tables):
-    rows, _, window = series(x.events.where("value > 0"), EVENT_LAYOUT, 30, order=("timestamp", "event_id"))
+    rows, _, window = series(x.events, EVENT_LAYOUT, 30, order=("timestamp", "event_id"))
     growth = growth_rate(F.col("value"), window, 30, 1e-9)
     return home_rows(rows.select("event_id", "service", growth.alias("growth"), "_home", "_block"))
 

@@ -13,7 +13,7 @@ from emberwatch.queries.preparation import KEYS, ids, observed_schedule, rounded
 from emberwatch.queries.sqlbase import long_of, r, t, with_blocks
 from emberwatch.schemas import INCIDENT_TABLE, LOG_TABLE, METRIC_NAMES, METRIC_TABLE
 from emberwatch.sources import adapter
-from emberwatch.sources.readers import keep_last, load_dataset, load_raw, read_incidents, read_logs, read_metrics
+from emberwatch.sources.readers import keep_last, load_dataset, load_raw, read_incidents, read_logs, read_metrics, read_raw
 from emberwatch.sources.sinks import FeatureStore, Journal, append_incidents, append_logs, append_metrics, newest, write_report
 
 METRIC_IDS = f"SELECT {ids()}, {rounded(METRIC_NAMES)}, healthy::INT AS healthy FROM metrics"
@@ -45,11 +45,15 @@ def _(x: Tables):
 
 @query("s2_discover_files", with_blocks("SELECT strftime(ts, '%Y-%m-%d-%H') AS dt, count(*) AS rows FROM metrics GROUP BY 1", "metrics"))
 def _(x: Tables):
-    """Files below dt= folders are found whatever their name."""
+    """Files are found at any depth: named after the table, or below a dt= folder whatever their name."""
     root = fresh_folder(x.spark, "s2")
-    append_metrics(x.metrics.select(*METRIC_TABLE.fieldNames()), root)
-    found = x.spark.read.parquet(f"{root}/raw/metrics")
-    return found.groupBy(F.col("dt").cast("string").alias("dt")).agg(F.count(F.lit(1)).alias("rows"))
+    rows = x.metrics.select(*METRIC_TABLE.fieldNames())
+    third = F.pmod(F.xxhash64("service"), F.lit(3))
+    append_metrics(rows.where(third == 0), f"{root}/region/west")
+    rows.where(third == 1).write.parquet(f"{root}/2024/metrics_north.parquet")
+    text_times(rows.where(third == 2), "timestamp").write.json(f"{root}/2024/deep/er/metrics_east.jsonl")
+    found = read_raw(x.spark, root, "metrics", METRIC_TABLE)
+    return found.groupBy(F.date_format("timestamp", "yyyy-MM-dd-HH").alias("dt")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(
@@ -455,13 +459,15 @@ def _(x: Tables):
 @query(
     "j9_missing_types",
     with_blocks(
-        "SELECT DISTINCT scenario_type FROM incidents WHERE scenario_type NOT IN (SELECT scenario_type FROM incidents WHERE start_ts >= TIMESTAMP '2024-01-29 12:00:00')",
+        "SELECT DISTINCT scenario_type FROM incidents WHERE scenario_type NOT IN (SELECT scenario_type FROM incidents WHERE start_ts >= (SELECT max(start_ts) FROM incidents) - INTERVAL 12 HOUR)",
         "incidents",
     ),
 )
 def _(x: Tables):
-    """Types seen earlier but not in the last days."""
-    return windows.missing_types(x.incidents, x.incidents.where("start_ts >= TIMESTAMP '2024-01-29 12:00:00'"))
+    """Types that occurred, but not in the twelve hours before the newest incident."""
+    newest = x.incidents.agg(F.max("start_ts").alias("newest"))
+    recent = x.incidents.join(F.broadcast(newest)).where("start_ts >= newest - INTERVAL 12 HOURS").drop("newest")
+    return windows.missing_types(x.incidents, recent)
 
 
 @query(

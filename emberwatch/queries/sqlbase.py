@@ -204,7 +204,7 @@ block(
     "probed",
     """
 SELECT * REPLACE (""" + ", ".join(r(f'"{c}"', c) for c in RANKED) + """), 1 / (1 + exp(-(6e0 * "Error_rate" + 1e-2 * "Latency_30t_avg" - 4e0))) AS p_rows,
-       CASE WHEN ts >= TIMESTAMP '2024-01-01 19:00:00'
+       CASE WHEN ts >= (SELECT min(ts) FROM zs) + INTERVAL 19 HOUR
             THEN 1 / (1 + exp(-(5e-1 * "Memory_growth_rate" + 5e-2 * zscore_score))) END AS p_windows
 FROM zs""",
     "zs",

@@ -12,42 +12,40 @@ from pyspark.sql import types as T
 from emberwatch.functions.columns import null_if_nan, parse_time
 from emberwatch.schemas import INCIDENT_TABLE, LOG_TABLE, METRIC_TABLE, as_text_times
 
-# File-name prefix of each raw table; files below a dt= folder match whatever their name.
+# File-name prefix of each raw table; files below a dt= folder match whatever their name, at any depth.
 PREFIXES = {"metrics": "metrics", "logs": "logs", "incidents": "ground_truth"}
 FORMATS = {"csv": "csv", "jsonl": "json", "parquet": "parquet"}
+GLOBS = {"csv": "*.csv", "jsonl": "*.{jsonl,json}", "parquet": "*.parquet"}  # Spark writes JSON lines as .json
 
 
-def _try_read(spark: SparkSession, fmt: str, schema: T.StructType, paths: list[str]) -> DataFrame | None:
-    reader = spark.read.schema(schema)
+def _try_read(spark: SparkSession, fmt: str, schema: T.StructType, location: str, prefix: str, suffix: str) -> DataFrame | None:
+    reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", GLOBS[suffix])
     if fmt == "csv":
         # files written at different times may order their columns differently
         reader = reader.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
-    frames = []
-    for path in paths:
-        try:
-            frames.append(reader.format(fmt).load(path))
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-    return reduce(DataFrame.unionByName, frames) if frames else None
+    try:
+        df = reader.format(fmt).load(location)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+    return df.where(F.col("_metadata.file_path").rlike(_wanted(prefix, suffix)))
 
 
-def _patterns(location: str, prefix: str, suffix: str) -> list[str]:
-    base = location.rstrip("/")
-    if base.endswith(f".{suffix}"):
-        return [base]
-    return [f"{base}/{prefix}*.{suffix}", f"{base}/dt=*/*.{suffix}"]
+def _wanted(prefix: str, suffix: str) -> str:
+    """Files named after the table at any depth, files in folders named so by a writer, and all below a dt= folder."""
+    return f"/dt(=|%3D)[^/]*/|/{prefix}[^/]*[.]{suffix}($|/)"
 
 
 def read_raw(spark: SparkSession, location: str, prefix: str, schema: T.StructType) -> DataFrame:
     """All files of one table below ``location``, whatever their format, with the file they came from.
 
-    Times in text files are parsed from mixed formats; NaN becomes NULL.
+    Folders are searched at any depth. Times in text files are parsed from mixed formats; NaN becomes NULL.
     """
     frames = []
     for suffix, fmt in FORMATS.items():
         declared = schema if fmt == "parquet" else as_text_times(schema)
-        df = _try_read(spark, fmt, declared, _patterns(location, prefix, suffix))
+        df = _try_read(spark, fmt, declared, location, prefix, suffix)
         if df is None:
             continue
         columns = []
@@ -103,11 +101,13 @@ def load_raw(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
 
 
-def load_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """A reference or target table by suffix: Parquet, CSV or comma-separated text."""
+def load_dataset(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """A reference or target table by suffix: Parquet, CSV or comma-separated text. A text file is read twice unless its
+    schema is given."""
     lowered = path.lower().rstrip("/")
     if lowered.endswith((".parquet", ".pq")):
         return spark.read.parquet(path)
     if lowered.endswith((".csv", ".txt")):
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
+        reader = spark.read.option("header", True)
+        return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     raise ValueError(f"unsupported dataset format: {path}")

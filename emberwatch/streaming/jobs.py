@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import replace
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,10 +20,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from emberwatch.config import DriftConfig, FeatureConfig, RiskConfig
 from emberwatch.operators.drift import dataset_drift, feature_drift
 from emberwatch.operators.features import build_features
+from emberwatch.operators.intervals import points_in_intervals
 from emberwatch.operators.risk import latest_by_service, score_risk
 from emberwatch.sources.sinks import hour_partition
 
 LATENESS = "10 minutes"
+DRAIN = {"availableNow": True}  # trigger of a bounded run; a service passes e.g. {"processingTime": "30 seconds"}
 
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", per_batch: int | None = None):
@@ -66,74 +70,98 @@ def rolling_means(
 
 
 def features_in_batches(
-    stream: DataFrame, history_path: str, out_path: str, checkpoint: str, config: FeatureConfig = FeatureConfig()
+    stream: DataFrame,
+    tail_path: str,
+    out_path: str,
+    checkpoint: str,
+    config: FeatureConfig = FeatureConfig(),
+    trigger: dict = DRAIN,
 ):
-    """Row-frame features on a stream, equal to the batch result.
+    """Row-frame features on a stream, equal to the batch result whatever gaps the series have.
 
-    Rows are expected in time order per service, duplicates aside; a late row gets its own features, but rows already
-    written are not revised. Each micro-batch is computed together with the stored rows it can look back to, then only its own rows are written.
-    The look-back reads the ``dt`` partitions of the last hours only.
+    The last ``lookback`` rows of every service are kept as a table, so a frame is complete however long a service was
+    silent. A micro-batch is computed together with that tail and only its own rows are written; a row whose key is in
+    the tail already is a duplicate. A late row gets its own features, but rows already written are not revised. Two
+    folders take turns, so a replayed epoch finds the tail it started from.
     """
-    hours = int(config.lookback * config.interval_sec / 3600) + 2
 
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch = batch.dropDuplicates(["timestamp", "service"]).persist()
-        span = batch.agg(F.min("timestamp").alias("lo")).first()["lo"]
-        if span is None:
-            batch.unpersist()
-            return
-        since = F.date_format(F.lit(span) - F.make_interval(hours=F.lit(hours)), "yyyy-MM-dd-HH")
-        folder = f"{history_path}/epoch={epoch}"
-        batch.withColumn("dt", hour_partition(F.col("timestamp"))).write.mode("overwrite").partitionBy("dt").parquet(folder)
-        stored = spark.read.option("basePath", history_path).parquet(history_path)
-        context = stored.where((F.col("dt") >= since) & (F.col("epoch") < epoch)).select(*batch.columns)
-        both = context.withColumn("_new", F.lit(False)).unionByName(batch.withColumn("_new", F.lit(True)))
+        columns = batch.columns
+        fresh = batch.dropDuplicates(["timestamp", "service"])
+        if epoch > 0:
+            tail = spark.read.schema(batch.schema).parquet(f"{tail_path}/turn={(epoch - 1) % 2}")
+            fresh = fresh.join(tail.select("timestamp", "service"), ["timestamp", "service"], "left_anti").select(*columns)
+            both = tail.withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)))
+        else:
+            both = fresh.withColumn("_new", F.lit(True))
+        both = both.persist()
         rows = build_features(both, replace(config, passthrough=(*config.passthrough, "_new")))
         rows.where("_new").drop("_new").write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
-        batch.unpersist()
+        newest = W.partitionBy("service").orderBy(F.col("timestamp").desc())
+        kept = both.withColumn("_nr", F.row_number().over(newest)).where(F.col("_nr") <= config.lookback)
+        kept.select(*columns).write.mode("overwrite").parquet(f"{tail_path}/turn={epoch % 2}")
+        both.unpersist()
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+INCIDENT_EVENTS = "service string, event string, start_ts timestamp, end_ts timestamp"
+INCIDENT_STATE = "open_start long, last_bad long, times array<long>, healthy array<boolean>"
 
-INCIDENT_EVENTS = "service string, start_ts timestamp, end_ts timestamp"
-INCIDENT_STATE = "open_start long, last_seen long"
+
+def _incident_events(
+    times: np.ndarray, healthy: np.ndarray, start: int | None, last_bad: int | None, step: int
+) -> tuple[list[tuple], int | None, int | None]:
+    """Starts and ends among ticks in time order, and the open incident after them."""
+    bad = ~healthy
+    before = np.r_[start is not None, bad[:-1]]
+    events: list[tuple] = []
+    for i in np.flatnonzero(bad != before):  # only where health changes
+        if bad[i]:
+            start = int(times[i])
+            events.append(("start", start, None))
+        else:
+            end = int(times[i - 1]) if i else last_bad
+            events.append(("end", start, end + step))
+            start = None
+    if bad.any():
+        last_bad = int(times[np.flatnonzero(bad)[-1]])
+    return events, start, last_bad
+
+
+def _event_rows(service: str, events: list[tuple]) -> pd.DataFrame:
+    stamp = lambda x: pd.Timestamp(x, unit="us") if x is not None else pd.NaT
+    rows = [(service, kind, stamp(a), stamp(b)) for kind, a, b in events]
+    return pd.DataFrame(rows, columns=["service", "event", "start_ts", "end_ts"])
 
 
 def track_incidents(stream: DataFrame, interval_sec: int, lateness: str = LATENESS) -> DataFrame:
-    """Closed incidents per service. The state of a service is the start of its open incident and the last tick seen.
+    """Starts and ends of incidents per service, as the batch operator finds them.
 
-    An incident closes one interval after its last unhealthy tick, when the first healthy tick arrives or when the
-    watermark shows that no tick followed.
+    Ticks wait in the state of their service until the watermark has passed them, so a late tick takes its place in
+    time. As in the batch, only a healthy tick closes an incident, one interval after its last unhealthy tick.
+    ``flush_incidents`` gives what is still waiting when the stream is stopped.
     """
     step = interval_sec * 1_000_000
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last = state.get if state.exists else (None, None)
-        closed: list[tuple] = []
-
-        def close(at: int) -> None:
-            closed.append((key[0], pd.Timestamp(start, unit="us"), pd.Timestamp(at, unit="us")))
-
-        if state.hasTimedOut:
-            if start is not None:
-                close(last + step)
-            state.remove()
-        else:
-            ticks = pd.concat(list(batches)).sort_values("timestamp")
-            micros = ticks["timestamp"].astype("datetime64[us]").astype("int64")
-            for at, healthy in zip(micros, ticks["healthy"], strict=True):
-                if healthy and start is not None:
-                    close(last + step)
-                    start = None
-                elif not healthy:
-                    start = at if start is None else start
-                    last = at
-            state.update((start, last))
-            if start is not None:
-                state.setTimeoutTimestamp(max((last + step) // 1000, state.getCurrentWatermarkMs() + 1))
-        if closed:
-            yield pd.DataFrame(closed, columns=["service", "start_ts", "end_ts"])
+        start, last_bad, times, healthy = state.get if state.exists else (None, None, [], [])
+        times, healthy = [np.asarray(times, "int64")], [np.asarray(healthy, bool)]
+        if not state.hasTimedOut:
+            for ticks in batches:
+                times.append(ticks["timestamp"].astype("datetime64[us]").astype("int64").to_numpy())
+                healthy.append(ticks["healthy"].to_numpy(bool))
+        at, good = np.concatenate(times), np.concatenate(healthy)
+        order = np.argsort(at, kind="stable")
+        at, good = at[order], good[order]
+        done = int(np.searchsorted(at, state.getCurrentWatermarkMs() * 1000, side="right"))
+        events, start, last_bad = _incident_events(at[:done], good[:done], start, last_bad, step)
+        state.update((start, last_bad, at[done:].tolist(), good[done:].tolist()))
+        if done < len(at):
+            state.setTimeoutTimestamp(int(at[done]) // 1000 + 1)
+        if events:
+            yield _event_rows(key[0], events)
 
     return (
         stream.select("timestamp", "service", "healthy")
@@ -143,6 +171,25 @@ def track_incidents(stream: DataFrame, interval_sec: int, lateness: str = LATENE
     )
 
 
+def flush_incidents(spark: SparkSession, checkpoint: str, interval_sec: int) -> DataFrame:
+    """Events of the ticks that a stopped ``track_incidents`` stream still holds back, from its state. An incident that
+    remains open ends with its last unhealthy tick."""
+    step = interval_sec * 1_000_000
+    held = spark.read.format("statestore").load(checkpoint).select("key.service", "value.groupState.*")
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = lambda x: None if pd.isna(x) else int(x)
+        for rows in batches:
+            for r in rows.itertuples():
+                waiting = np.asarray(r.times, "int64"), np.asarray(r.healthy, bool)
+                events, start, last = _incident_events(*waiting, known(r.open_start), known(r.last_bad), step)
+                if start is not None:
+                    events.append(("end", start, last + step))
+                yield _event_rows(r.service, events)
+
+    return held.mapInPandas(finish, INCIDENT_EVENTS)
+
+
 def risk_in_batches(
     features: DataFrame,
     reference: DataFrame,
@@ -150,6 +197,7 @@ def risk_in_batches(
     checkpoint: str,
     config: RiskConfig = RiskConfig(),
     probabilities: Sequence[str] = (),
+    trigger: dict = DRAIN,
 ):
     """Scores each micro-batch and keeps the newest row per service as table ``out_path``.
 
@@ -165,7 +213,7 @@ def risk_in_batches(
             fresh = latest_by_service(fresh.unionByName(before, allowMissingColumns=True))
         fresh.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
-    return features.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return features.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def drift_in_batches(
@@ -175,6 +223,7 @@ def drift_in_batches(
     out_path: str,
     checkpoint: str,
     config: DriftConfig = DriftConfig(),
+    trigger: dict = DRAIN,
 ):
     """Compares every micro-batch with the training reference and writes one summary row per batch."""
 
@@ -184,27 +233,66 @@ def drift_in_batches(
         summary = dataset_drift(feature_drift(reference, batch, columns, config), config)
         summary.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out_path}/batch={epoch}")
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def correlate_logs(
-    incidents: DataFrame, logs: DataFrame, lateness: str = LATENESS, longest: str = "6 hours"
-) -> DataFrame:
-    """Stream-stream interval join: serious log lines inside ``[start_ts, end_ts]`` of an incident of their service.
+def correlate_in_batches(
+    incidents: DataFrame, logs: DataFrame, store: str, out_path: str, checkpoint: str, trigger: dict = DRAIN
+):
+    """Serious log lines inside ``[start_ts, end_ts]`` of an incident of their service, from two streams.
 
-    ``longest`` bounds how long a window can be, so that both sides' state can be dropped.
+    Both streams are appended to tables below ``store``. A micro-batch joins its new incidents with all lines and its
+    new lines with the earlier incidents, so every match appears exactly once, however long an incident lasted and
+    however late either side arrives; no state has to be bounded in time. Lines lie in hour partitions, and only those of
+    the new incidents are read again.
     """
-    left = incidents.withWatermark("start_ts", lateness).select(
-        F.col("service").alias("incident_service"), "start_ts", "end_ts"
-    )
-    right = logs.where(F.col("level").isin("WARNING", "ERROR")).withWatermark("timestamp", lateness)
-    inside = (
-        (F.col("incident_service") == F.col("service"))
-        & (F.col("timestamp") >= F.col("start_ts"))
-        & (F.col("timestamp") <= F.col("end_ts"))
-        & (F.col("timestamp") <= F.col("start_ts") + F.expr(f"interval {longest}"))
+    left = incidents.select(F.lit("incident").alias("kind"), "service", "start_ts", "end_ts", *_nulls(LOG_PART))
+    right = logs.where(F.col("level").isin("WARNING", "ERROR"))
+    right = right.select(F.lit("log").alias("kind"), "service", *_nulls(INCIDENT_PART), "timestamp", "level", "message")
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        windows = batch.where("kind = 'incident'").select("service", "start_ts", "end_ts")
+        lines = batch.where("kind = 'log'").select("service", "timestamp", "level", "message")
+        lines.withColumn("dt", hour_partition(F.col("timestamp"))).write.mode("overwrite").partitionBy("dt").parquet(
+            f"{store}/logs/epoch={epoch}"
+        )
+        windows.write.mode("overwrite").parquet(f"{store}/incidents/epoch={epoch}")
+        named = windows.withColumnRenamed("service", "incident_service")
+        everything = lines
+        found = None
+        if epoch > 0:
+            span = windows.agg(F.date_format(F.min("start_ts"), "yyyy-MM-dd-HH"), F.date_format(F.max("end_ts"), "yyyy-MM-dd-HH")).first()
+            stored = spark.read.schema(f"{LOG_ROW}, epoch int, dt string").option("basePath", f"{store}/logs").parquet(f"{store}/logs")
+            if span[0] is not None:
+                stored = stored.where((F.col("epoch") < epoch) & F.col("dt").between(span[0], span[1]))
+                everything = lines.unionByName(stored.select(*lines.columns))
+            known = spark.read.schema(f"{INCIDENT_ROW}, epoch int").option("basePath", f"{store}/incidents").parquet(f"{store}/incidents")
+            known = known.where(F.col("epoch") < epoch).select(*windows.columns).withColumnRenamed("service", "incident_service")
+            found = _lines_inside(lines, known)
+        new = _lines_inside(everything, named)
+        (new if found is None else new.unionByName(found)).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        batch.unpersist()
+
+    return left.unionByName(right).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+INCIDENT_PART = {"start_ts": "timestamp", "end_ts": "timestamp"}
+LOG_PART = {"timestamp": "timestamp", "level": "string", "message": "string"}
+INCIDENT_ROW = "service string, start_ts timestamp, end_ts timestamp"
+LOG_ROW = "service string, timestamp timestamp, level string, message string"
+
+
+def _nulls(columns: dict[str, str]) -> list[Column]:
+    return [F.lit(None).cast(kind).alias(name) for name, kind in columns.items()]
+
+
+def _lines_inside(lines: DataFrame, incidents: DataFrame) -> DataFrame:
+    windows = incidents.withColumn("service", F.col("incident_service"))
+    return points_in_intervals(lines, windows, ["service"], "start_ts", "end_ts", closed=True).select(
+        "incident_service", "start_ts", "end_ts", "timestamp", "level", "message"
     )
-    return left.join(right, inside)
 
 
 def late_rows(stream: DataFrame, lateness_sec: int = 600) -> DataFrame:
@@ -212,13 +300,3 @@ def late_rows(stream: DataFrame, lateness_sec: int = 600) -> DataFrame:
     arrived = F.col("arrival") if "arrival" in stream.columns else F.current_timestamp()
     late = (F.unix_micros(arrived) - F.unix_micros("timestamp")) > lateness_sec * 1_000_000
     return stream.groupBy("service").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(late, 1)).alias("late"))
-
-
-def drain(df: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append") -> DataFrame:
-    """Runs a bounded stream to its end into an in-memory table; for tests."""
-    writer = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return df.sparkSession.table(name)
-

@@ -22,7 +22,7 @@ def metrics(spark, ticks: int = 60, services=("a", "b"), change=None):
     for s in services:
         for i in range(ticks):
             values = dict.fromkeys(METRIC_NAMES, 50.0) | {"healthy": True} | (change(s, i) if change else {})
-            rows.append((tick(i), s, *[values[m] for m in METRIC_NAMES], values["healthy"]))
+            rows.append((values.get("timestamp", tick(i)), s, *[values[m] for m in METRIC_NAMES], values["healthy"]))
     return spark.createDataFrame(rows, METRIC_TABLE)
 
 

@@ -8,7 +8,7 @@ from emberwatch.operators.incidents import track_incidents
 from emberwatch.operators.risk import calibration
 from emberwatch.plans.durable import durable, shared_folder
 from emberwatch.schemas import INCIDENT_TABLE, LOG_TABLE, METRIC_TABLE
-from emberwatch.sources.readers import load_dataset, load_raw, read_metrics
+from emberwatch.sources.readers import load_dataset, load_raw, read_logs, read_metrics
 from emberwatch.sources.sinks import FeatureStore, Journal, append_incidents, append_logs, append_metrics
 from emberwatch.streaming import jobs
 from tests.frames import START, metrics, series_frame, tick
@@ -44,6 +44,17 @@ def test_hourly_layout_round_trip(spark, tmp_path):
     assert hours == ["dt=2024-01-01-00", "dt=2024-01-01-01"]
 
 
+def test_files_are_found_at_any_depth(spark, tmp_path):
+    rows = [spark.createDataFrame([(tick(i), "a", "INFO", str(i))], LOG_TABLE).coalesce(1) for i in range(5)]
+    rows[0].write.parquet(f"{tmp_path}/2024/logs_a.parquet")
+    rows[1].write.parquet(f"{tmp_path}/region/dt=2024-01-01-00/any.parquet")
+    rows[2].write.parquet(f"{tmp_path}/logs.parquet")
+    rows[3].write.parquet(f"{tmp_path}/2024/other.parquet")  # another table
+    text = rows[4].withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ssXXX"))
+    text.write.json(f"{tmp_path}/x/y/logs_b.jsonl")
+    assert sorted(r["message"] for r in read_logs(spark, str(tmp_path)).collect()) == ["0", "1", "2", "4"]
+
+
 def test_nothing_there_is_empty_or_an_error(spark, tmp_path):
     assert read_metrics(spark, str(tmp_path / "none")).count() == 0
     with pytest.raises(FileNotFoundError):
@@ -130,20 +141,43 @@ def test_stream_features_equal_batch(spark, tmp_path):
     assert got.orderBy("service", "timestamp").collect() == batch.orderBy("service", "timestamp").collect()
 
 
+def test_stream_features_after_a_silence_equal_batch(spark, tmp_path):
+    """Forty ticks, five hours without any, three more; every tick of the second file arrives twice."""
+    times = [tick(i) for i in range(40)] + [tick(640 + i) for i in range(3)]
+    df = metrics(spark, 43, change=lambda s, i: {"timestamp": times[i], "cpu_util_pct": float(i * i % 41)})
+    source = in_slices(df, f"{tmp_path}/in", parts=4)
+    df.where(F.col("timestamp").between(tick(20), tick(25))).coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.stream_table(spark, source, METRIC_TABLE, per_batch=1)
+    jobs.features_in_batches(stream, f"{tmp_path}/tail", f"{tmp_path}/out", f"{tmp_path}/ck", FeatureConfig()).awaitTermination()
+    batch = build_features(df)
+    got = spark.read.parquet(f"{tmp_path}/out").select(*batch.columns)
+    assert got.orderBy("service", "timestamp").collect() == batch.orderBy("service", "timestamp").collect()
+
+
 def test_stream_incidents_equal_batch(spark, tmp_path):
-    bad = {5, 6, 7, 30, 31, 50}
+    """Ticks in disorder, a gap inside an incident, one incident still open at the end."""
+    bad = {5, 6, 7, 30, 31, 50, 88, 89}
     df = metrics(spark, 90, change=lambda s, i: {"healthy": not (s == "a" and i in bad)})
-    stream = jobs.stream_table(spark, in_slices(df, f"{tmp_path}/in", parts=5), METRIC_TABLE, per_batch=1)
-    sink(jobs.track_incidents(stream, 30, "1 minute"), f"{tmp_path}/out", f"{tmp_path}/ck")
-    got = spark.read.schema(jobs.INCIDENT_EVENTS).parquet(f"{tmp_path}/out")
+    df = df.where(~F.col("timestamp").between(tick(32), tick(45)))
+    late = df.withColumn("arrival", F.col("timestamp") + F.make_interval(secs=F.pmod(F.xxhash64("timestamp"), F.lit(4)) * 30.0))
+    source = in_slices(late, f"{tmp_path}/in", by="arrival", parts=9)
+    stream = jobs.stream_table(spark, source, late.schema, per_batch=1)
+    sink(jobs.track_incidents(stream, 30, "2 minutes"), f"{tmp_path}/out", f"{tmp_path}/ck")
+    written = spark.read.schema(jobs.INCIDENT_EVENTS).parquet(f"{tmp_path}/out")
+    assert written.where("event = 'end'").count() == 3  # known while the stream ran
+    events = written.unionByName(jobs.flush_incidents(spark, f"{tmp_path}/ck", 30))
+    ended = events.where("event = 'end'").select("service", "start_ts", "end_ts")
     batch = track_incidents(df, 30).select("service", "start_ts", "end_ts")
-    assert sorted(got.collect()) == sorted(batch.collect()) and got.count() == 3
+    assert sorted(ended.collect()) == sorted(batch.collect()) and ended.count() == 4
+    assert sorted(r.start_ts for r in events.where("event = 'start'").collect()) == sorted(r.start_ts for r in batch.collect())
 
 
 def test_rolling_means_on_event_time(spark, tmp_path):
     df = metrics(spark, 60, ("a",), lambda s, i: {"latency_ms": float(i)})
     stream = jobs.stream_table(spark, in_slices(df, f"{tmp_path}/in"), METRIC_TABLE, per_batch=1)
-    means = jobs.drain(jobs.rolling_means(stream, "latency_ms", lateness="1 minute"), "rolling_means")
+    writer = jobs.rolling_means(stream, "latency_ms", lateness="1 minute").writeStream.format("memory")
+    writer.queryName("rolling_means").trigger(availableNow=True).start().awaitTermination()
+    means = spark.table("rolling_means")
     row = means.where(F.col("end") == F.lit(tick(40))).first()
     assert row["mean"] == pytest.approx(sum(range(30, 40)) / 10) and row["ticks"] == 10
 
@@ -160,16 +194,21 @@ def test_risk_and_drift_per_batch(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/drift").first()["drifted_features_count"] == 0
 
 
-def test_logs_meet_incidents_on_streams(spark, tmp_path):
+@pytest.mark.parametrize("logs_first", [True, False])
+def test_logs_meet_incidents_on_streams(spark, tmp_path, logs_first):
+    """An incident of three days, whose lines and end arrive in any order."""
     logs = spark.createDataFrame(
-        [(tick(i), "a", "ERROR" if i % 2 else "INFO", str(i)) for i in range(40)], LOG_TABLE
+        [(tick(i * 300), "a", "ERROR" if i % 2 else "INFO", str(i)) for i in range(40)], LOG_TABLE
     )
-    windows = spark.createDataFrame([("a", tick(10), tick(20)), ("b", tick(0), tick(40))], "service string, start_ts timestamp, end_ts timestamp")
-    left = jobs.stream_table(spark, in_slices(windows, f"{tmp_path}/i", "start_ts", 1), windows.schema)
-    right = jobs.stream_table(spark, in_slices(logs, f"{tmp_path}/l", parts=2), LOG_TABLE)
-    sink(jobs.correlate_logs(left, right).select("timestamp", "message"), f"{tmp_path}/out", f"{tmp_path}/ck")
-    got = spark.read.schema("timestamp timestamp, message string").parquet(f"{tmp_path}/out").collect()
-    assert sorted(int(r["message"]) for r in got) == [11, 13, 15, 17, 19]
+    rows = [("a", tick(300), tick(300 * 28)), ("b", tick(0), tick(40)), ("a", tick(300 * 3), tick(300 * 5))]
+    windows = spark.createDataFrame(rows, "service string, start_ts timestamp, end_ts timestamp")
+    left = jobs.stream_table(spark, in_slices(windows, f"{tmp_path}/i", "start_ts", 1 if logs_first else 3), windows.schema, per_batch=1)
+    right = jobs.stream_table(spark, in_slices(logs, f"{tmp_path}/l", parts=5 if logs_first else 2), LOG_TABLE, per_batch=1)
+    jobs.correlate_in_batches(left, right, f"{tmp_path}/store", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    first = [int(r["message"]) for r in got if r["start_ts"] == tick(300)]
+    assert sorted(first) == [i for i in range(1, 29) if i % 2]
+    assert sorted(int(r["message"]) for r in got if r["start_ts"] == tick(900)) == [3, 5]
 
 
 def test_late_rows_are_counted(spark):

@@ -3,7 +3,7 @@
 import pytest
 
 from emberwatch.queries.catalog import oracle_sql, queries
-from emberwatch.queries.check import compare, connect
+from tests.compare import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 
