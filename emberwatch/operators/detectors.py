@@ -20,10 +20,9 @@ from emberwatch.functions.columns import as_long, greatest_of, total_of
 from emberwatch.operators.evaluation import binary_metrics, decide, level_distribution, mean_lead_time, ranking_metrics
 from emberwatch.plans.blocks import AUTO, Layout, home_rows, series
 from emberwatch.plans.durable import durable
-from emberwatch.plans.ranking import exact_quantiles, percentile_ranks
+from emberwatch.plans.ranking import exact_quantiles, percentile_ranks, weighted_quantiles
 
 STATISTICAL = ("zscore", "iqr", "rolling_iqr")
-EVERYONE = "*"  # service name under which statistics over all services are kept
 
 
 def normal_rows(df: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -81,11 +80,14 @@ def fit_zscore(train: DataFrame, features: Sequence[str], eps: float = 1e-9) ->
 
 
 def fit_iqr(train: DataFrame, features: Sequence[str]) -> Fitted:
-    """Quartiles per service and over all services in one pass; the latter travel under the service ``*``."""
-    both = train.select("service", *features).withColumn("service", F.explode(F.array("service", F.lit(EVERYONE))))
-    fitted = durable(_widen(quartiles(both, features), features, ["service"]), "iqr")
-    overall = fitted.where(F.col("service") == EVERYONE).drop("service").first().asDict()
-    return Fitted(fitted.where(F.col("service") != EVERYONE), overall)
+    """Quartiles per service and over all services, both from the counts of equal values, which are made once."""
+    rows = as_long(train, ["service"], features, "feature", "value")
+    clean = rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    counts = durable(clean.groupBy("service", "feature", "value").agg(F.count(F.lit(1)).alias("n")), "iqr-counts")
+    probs = {"q1": 0.25, "q3": 0.75}
+    fitted = durable(_widen(weighted_quantiles(counts, ["service", "feature"], "value", "n", probs), features, ["service"]), "iqr")
+    overall = _widen(weighted_quantiles(counts, ["feature"], "value", "n", probs), features, []).first().asDict()
+    return Fitted(fitted, overall)
 
 
 def zscore_column(features: Sequence[str]) -> Column:
@@ -264,22 +266,37 @@ def fit_suite(
     train: DataFrame, features: Sequence[str], config: AnomalyConfig = AnomalyConfig(), layout: Layout = AUTO
 ) -> Suite:
     """Fit every detector on the training rows, then the fusion on their training scores, then all cuts."""
-    train = train.select("timestamp", "service", *features)
-    suite = Suite(list(features), config, fit_zscore(train, features, config.eps), fit_iqr(train, features))
-    scores = durable(_member_scores(train, suite, ["service"], layout).drop(*features), "train_scores")
+    return fit_and_score(train.select("timestamp", "service", *features), F.lit(True), features, config, ["service"], layout)[0]
+
+
+def fit_and_score(
+    df: DataFrame,
+    train: Column,
+    features: Sequence[str],
+    config: AnomalyConfig = AnomalyConfig(),
+    by: Sequence[str] = ("service",),
+    layout: Layout = AUTO,
+) -> tuple[Suite, DataFrame]:
+    """The suite fitted on the rows of ``df`` that ``train`` selects, and the scores of all rows, each scored once."""
+    rows = df.where(train)
+    suite = Suite(list(features), config, fit_zscore(rows, features, config.eps), fit_iqr(rows, features))
+    members = durable(_member_scores(df, suite, by, layout).drop(*features), "member_scores")
+    scores = members.where(train)
     suite.ensemble = member_calibration(scores, config.members)
     fused = scores.withColumn("ensemble_score", fuse_mean_z(config.members, suite.ensemble))
     # one row per model, so the cuts are read as plain numbers
     suite.cuts = {row["model"]: row.asDict() for row in calibrate(long_scores(fused, suite.models), config).collect()}
-    return suite
+    return suite, _levelled(members, suite)
 
 
 def score_suite(df: DataFrame, suite: Suite, by: Sequence[str] = ("service",), layout: Layout = AUTO) -> DataFrame:
     """Wide frame: the input without features, score and level per detector, primary level and flag."""
-    kept = [c for c in df.columns if c not in suite.features]
-    scored = _member_scores(df, suite, by, layout).withColumn(
-        "ensemble_score", fuse_mean_z(suite.config.members, suite.ensemble)
-    )
+    return _levelled(_member_scores(df, suite, by, layout).drop(*suite.features), suite)
+
+
+def _levelled(members: DataFrame, suite: Suite) -> DataFrame:
+    kept = [c for c in members.columns if c not in [f"{m}_score" for m in STATISTICAL]]
+    scored = members.withColumn("ensemble_score", fuse_mean_z(suite.config.members, suite.ensemble))
     primary = suite.config.primary
     levels = [severity(F.col(f"{m}_score"), suite.cuts[m]).alias(f"{m}_level") for m in suite.models]
     out = scored.select(*kept, *[f"{m}_score" for m in suite.models], *levels)

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberwatch.operators.detectors import EVERYONE
 from emberwatch.plans.durable import durable
 
+EVERYONE = "*"  # service name of the forest over all services
 NODES = (
     "service string, tree int, node int, feature int, cut double, left_node int, right_node int, depth double, rows int"
 )

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from emberwatch.config import FeatureConfig, LabelConfig, SeriesLayout
 from emberwatch.operators.features import feature_columns, require_metrics
-from emberwatch.plans.blocks import AUTO, Layout, cut_blocks, home_rows, resolve
+from emberwatch.plans.blocks import AUTO, Layout, cut_blocks, home_rows
+from emberwatch.plans.slices import borders, slice_of
 
 FOREVER = 253402300799_000000  # fixed value: last microsecond timestamps are compared against
 
@@ -36,15 +37,14 @@ def mark_failures(
     """Adds ``_failing`` (0/1), ``_minutes`` to the next start and, with a layout, ``_idx`` of the tick.
 
     Ticks and incident borders are swept together in time order: no join, so nothing has to be broadcast. With a layout
-    the sweep runs per time bucket and takes what happened in other buckets from per-bucket sums.
+    the sweep runs per slice of time and takes what happened in other slices from sums per slice.
     """
-    layout = resolve(ticks, layout)
     rows = ticks.withColumn("_us", F.unix_micros(F.col("timestamp"))).withColumn("_tick", F.lit(True))
     both = rows.unionByName(_markers(incidents, config), allowMissingColumns=True)
     keys = ["service"]
     if layout is not None:
-        width = layout.bucket_sec * 1_000_000
-        both = both.withColumn("_bucket", F.floor(F.col("_us") / F.lit(width)).cast("long"))
+        cuts = borders(ticks, F.unix_micros(F.col("timestamp")))
+        both = both.withColumn("_bucket", slice_of(F.col("_us"), cuts))
         keys.append("_bucket")
     ahead_of = W.partitionBy(*keys).orderBy(F.col("_us").desc()).rangeBetween(W.unboundedPreceding, -1)
     up_to_now = W.partitionBy(*keys).orderBy("_us").rangeBetween(W.unboundedPreceding, 0)
@@ -112,7 +112,6 @@ def build_labels(
     ticks: DataFrame, incidents: DataFrame, config: LabelConfig = LabelConfig(), layout: Layout = AUTO
 ) -> DataFrame:
     """timestamp, service and the label columns for every tick."""
-    layout = resolve(ticks, layout)
     marked = mark_failures(ticks.select("timestamp", "service"), incidents, config, layout)
     rows, window, extra = _windowed(marked, layout, 0, config.lookahead)
     return home_rows(rows.select("timestamp", "service", *label_columns(config, window), *extra))
@@ -127,7 +126,6 @@ def build_dataset(
 ) -> DataFrame:
     """Features and labels in one pass over the series; no join between the two."""
     require_metrics(metrics)
-    layout = resolve(metrics, layout)
     kept = [c for c in features.passthrough if c in metrics.columns]
     marked = mark_failures(metrics, incidents, labels, layout)
     rows, window, extra = _windowed(marked, layout, features.lookback, labels.lookahead)

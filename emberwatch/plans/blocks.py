@@ -1,8 +1,8 @@
 """Row-frame windows over series of any length.
 
-A window partitioned by service alone puts a whole service into one task. Where that is not bounded, the rows of each
-service are numbered without a per-service sort (time buckets plus bucket offsets) and cut into blocks of consecutive
-rows. Each block also receives the few neighbouring rows its frames can see, so every frame is complete and results
+A window partitioned by service alone puts a whole service into one task. So the rows of each service are numbered
+without a per-service sort (slices of time that hold about equally many rows of the table, plus offsets) and cut into
+blocks of consecutive rows. Each block also receives the few neighbouring rows its frames can see, so every frame is complete and results
 equal those of the plain window; the borrowed rows are dropped afterwards.
 """
 
@@ -15,12 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberwatch.config import SeriesLayout
+from emberwatch.plans.slices import borders, slice_of
 
-# How a series operator is told about lengths: a layout cuts every service into blocks, None states that a whole service
-# fits one task, "auto" counts the rows per service first and decides.
-Layout = SeriesLayout | str | None
-AUTO = "auto"
-ROWS_PER_TASK = 2_000_000
+# A layout cuts every service into blocks, at every size; None states that each service fits one task.
+Layout = SeriesLayout | None
+AUTO = SeriesLayout()
 
 
 def bucket_of(layout: SeriesLayout, timestamp: str = "timestamp") -> Column:
@@ -32,7 +31,8 @@ def index_rows(
 ) -> DataFrame:
     """Adds ``_idx``, the 0-based position of each row inside its series."""
     keys = [*by, "_bucket"]
-    rows = df.withColumn("_bucket", bucket_of(layout))
+    time = F.unix_micros(F.col("timestamp"))
+    rows = df.withColumn("_bucket", slice_of(time, borders(df, time)))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
@@ -74,7 +74,6 @@ def series(
     by: Sequence[str] = ("service",),
 ) -> tuple[DataFrame, list[str], WindowSpec]:
     """The frame, its grouping columns and the window to compute row frames on; finish with ``home_rows``."""
-    layout = resolve(df, layout, by)
     if layout is None:
         return df, list(by), W.partitionBy(*by).orderBy(*order)
     cut = cut_blocks(index_rows(df, layout, order, by), layout, lookback, lookahead)
@@ -86,16 +85,3 @@ def home_rows(df: DataFrame) -> DataFrame:
     if "_home" not in df.columns:
         return df
     return df.where("_home").drop("_home", "_block")
-
-
-def resolve(df: DataFrame, layout: Layout, by: Sequence[str] = ("service",)) -> SeriesLayout | None:
-    """Decides "auto": blocks if any series is longer than one task should hold."""
-    return choose_layout(df, by=by) if layout == AUTO else layout
-
-
-def choose_layout(
-    df: DataFrame, max_rows: int = ROWS_PER_TASK, layout: SeriesLayout | None = None, by: Sequence[str] = ("service",)
-) -> SeriesLayout | None:
-    """A layout if any series is longer than ``max_rows``, else None. Reads the key columns only."""
-    longest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    return (layout or SeriesLayout()) if longest > max_rows else None

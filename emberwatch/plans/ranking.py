@@ -98,6 +98,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     return totals.groupBy(*keys).agg(*quantile_columns(value, probs))
 
 
+def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: str, probs: dict[str, float]) -> DataFrame:
+    """``exact_quantiles`` of a table in which every value counts ``weight`` times."""
+    totals = running_totals(df, keys, value, {"n": F.col(weight)})
+    return totals.groupBy(*keys).agg(*quantile_columns(value, probs))
+
+
 def percentile_ranks(rows: DataFrame, reference: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Adds ``percentile`` = share of the key's reference values that are <= the row's value (NULL without one)."""
     keys = list(keys)

@@ -26,8 +26,8 @@ FEATURES = adapter.FEATURES.feature_names
 LABEL = adapter.LABEL
 # Columns that are ranked; they carry ten digits so that equal values tie alike in both engines.
 RANKED = ["Error_rate", "Latency_30t_avg", "Memory_growth_rate", "zscore_score"]
-# The grid has one row per service and hour, so a whole service fits one task however many events there are.
-GRID = None
+# Blocks small enough that the test scales cut every service into several of them, as production settings do large ones.
+GRID = SeriesLayout(block_rows=240)
 # Blocks small enough that the test scales cut every service into several of them.
 EVENT_LAYOUT = SeriesLayout(bucket_sec=86_400, block_rows=100_000)
 

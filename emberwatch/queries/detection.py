@@ -167,8 +167,8 @@ def _(x: Tables):
 
 def suite(x: Tables):
     if not hasattr(x, "_suite"):
-        x._suite = d.fit_suite(x.part("train"), FEATURES, adapter.ANOMALY, GRID)
-        wide = d.score_suite(x.split, x._suite, ["split", "service"], GRID)
+        train = F.col("split") == "train"
+        x._suite, wide = d.fit_and_score(x.split, train, FEATURES, adapter.ANOMALY, ["split", "service"], GRID)
         x._wide = durable(wide, "suite_scores")
         table = d.long_score_table(x._wide, x._suite, LABEL, ["in_failure", "time_to_failure_min"])
         # scores that are equal up to rounding error must tie alike in both engines

@@ -1,13 +1,15 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberwatch.config import FeatureConfig, LabelConfig, SeriesLayout, SplitConfig
 from emberwatch.operators.features import build_features
 from emberwatch.operators.incidents import tile_schedule, track_incidents
 from emberwatch.operators.labels import build_dataset, build_labels
 from emberwatch.operators.splits import split_report, time_split
-from emberwatch.plans.blocks import choose_layout
+from emberwatch.plans.blocks import index_rows
+from emberwatch.plans.slices import borders, slice_of
 from emberwatch.schemas import INCIDENT_TABLE
 from tests.frames import by_tick, metrics, series_frame, tick
 
@@ -102,9 +104,14 @@ def test_block_shorter_than_frame_is_refused(spark):
         build_features(metrics(spark, 5), layout=SeriesLayout(block_rows=5))
 
 
-def test_choose_layout(spark):
-    df = metrics(spark, 10)
-    assert choose_layout(df, 100) is None and choose_layout(df, 5) == SeriesLayout()
+def test_one_service_and_one_day_are_spread(spark):
+    """All rows belong to one service and one day, most of them to one minute; no slice holds more than a few of them."""
+    df = metrics(spark, 500, ("a",), lambda s, i: {"timestamp": tick(0) + dt.timedelta(milliseconds=i * 100), "cpu_util_pct": i * 1.0})
+    indexed = index_rows(df, SMALL).select("cpu_util_pct", "_idx").collect()
+    assert all(r["_idx"] == r["cpu_util_pct"] for r in indexed)
+    time = F.unix_micros("timestamp")
+    sizes = df.groupBy(slice_of(time, borders(df, time)).alias("s")).count().collect()
+    assert len(sizes) > 20 and max(r["count"] for r in sizes) <= 40
 
 
 def test_split_fractions_and_purge(spark):
