@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from emberwatch.plans.durable import name_local_folder  # noqa: E402
 from emberwatch.queries.base import REGISTRY, finish, tables  # noqa: E402
 from emberwatch.queries import catalog  # noqa: E402, F401
 
@@ -40,6 +41,10 @@ HEADLINE = [
     "i4_document_keywords",
     "i7_answer_validation",
     "i17_incident_run",
+    "i2_correlated_logs",
+    "g3_stream_features",
+    "g7_stream_log_correlation",
+    "d10_logistic_regression",
 ]
 
 
@@ -56,7 +61,7 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    name_local_folder(spark).sparkContext.setLogLevel("ERROR")
     finish(REGISTRY["u1_union_tables"].build(tables(spark, folder))).collect()
 
     wanted = sys.argv[1:] or HEADLINE

@@ -7,6 +7,8 @@ and gives Spark the true file size, so its own broadcast threshold decides join
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,15 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only for a local session that names none."""
+    """Folder named by ``spark.checkpoint.dir``, which every executor must reach."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="emberwatch-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return named.rstrip("/")
+
+
+def name_local_folder(spark: SparkSession) -> SparkSession:
+    """For sessions on one machine that name no folder, as in tests: names one that is removed when Python ends."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.split("[")[0] == "local":
+        folder = tempfile.mkdtemp(prefix="emberwatch-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return spark
 
 
 def fresh_folder(spark: SparkSession, label: str = "table") -> str:

@@ -10,6 +10,7 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import SparkSession
 
+from emberwatch.plans.durable import name_local_folder
 from emberwatch.queries.catalog import oracle_sql, queries
 
 TABLES = (
@@ -98,7 +99,7 @@ def main(folder: str, *wanted: str) -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("OFF")
+    name_local_folder(spark).sparkContext.setLogLevel("OFF")
     con = connect(folder)
     for name in queries():
         if wanted and not any(name.startswith(w) for w in wanted):

@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from emberwatch.plans.durable import name_local_folder  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -18,7 +20,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
+    name_local_folder(session).sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
 
