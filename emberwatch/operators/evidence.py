@@ -15,6 +15,21 @@ from emberwatch.config import EvidenceConfig
 from emberwatch.functions.columns import half_even, null_if_nan
 from emberwatch.plans.blocks import AUTO, Layout, home_rows, series
 
+# Wording of the recommended actions, by component and by a word in the feature's name.
+GENERAL_ACTIONS = [
+    ("failure_probability", "Escalate to on-call: high failure probability detected"),
+    ("error_rate", "Check downstream dependencies and circuit breakers"),
+    ("error_rate", "Review recent deployments for regression"),
+    ("latency_trend", "Scale horizontally: add replicas to reduce queue depth"),
+    ("latency_trend", "Enable request shedding for non-critical paths"),
+    ("memory_growth", "Trigger heap dump and memory profile analysis"),
+    ("memory_growth", "Consider rolling restart to reclaim memory"),
+]
+FEATURE_ACTIONS = [
+    ("memory", "Investigate ", " growth - possible leak"),
+    ("latency", "Profile ", " - check for contention or slow queries"),
+    ("error", "Analyze ", " - correlate with upstream errors"),
+]
 COMPONENTS = ("failure_probability", "error_rate", "latency_trend", "memory_growth", "anomaly_score")
 
 
@@ -178,32 +193,16 @@ def recommended_actions(components: dict[str, Column], top_features: Column) ->
     def high(name: str) -> Column:
         return F.coalesce(components[name], F.lit(0.0)) > 0.7
 
-    # Wording of the recommended actions.
-    general = [
-        F.when(high("failure_probability"), "Escalate to on-call: high failure probability detected"),
-        F.when(high("error_rate"), "Check downstream dependencies and circuit breakers"),
-        F.when(high("error_rate"), "Review recent deployments for regression"),
-        F.when(high("latency_trend"), "Scale horizontally: add replicas to reduce queue depth"),
-        F.when(high("latency_trend"), "Enable request shedding for non-critical paths"),
-        F.when(high("memory_growth"), "Trigger heap dump and memory profile analysis"),
-        F.when(high("memory_growth"), "Consider rolling restart to reclaim memory"),
-    ]
+    general = [F.when(high(component), text) for component, text in GENERAL_ACTIONS]
     rising = F.filter(F.slice(top_features, 1, 3), lambda f: f["direction"] == "up")
 
     def texts(feature: Column) -> Column:
         name = feature["feature"]
-        lowered = F.lower(name)
-        return F.array(
-            F.when(lowered.contains("memory"), F.concat(F.lit("Investigate "), name, F.lit(" growth - possible leak"))),
-            F.when(
-                lowered.contains("latency"),
-                F.concat(F.lit("Profile "), name, F.lit(" - check for contention or slow queries")),
-            ),
-            F.when(
-                lowered.contains("error"),
-                F.concat(F.lit("Analyze "), name, F.lit(" - correlate with upstream errors")),
-            ),
-        )
+        made = [
+            F.when(F.lower(name).contains(word), F.concat(F.lit(before), name, F.lit(after)))
+            for word, before, after in FEATURE_ACTIONS
+        ]
+        return F.array(*made)
 
     specific = F.flatten(F.transform(rising, texts))
     return F.array_distinct(F.array_compact(F.concat(F.array(*general), specific)))

@@ -244,6 +244,7 @@ def validate(
     incident_count = incidents.agg(count.alias("n"))
     n_incidents = incident_count.select("n").scalar()
 
+    # Names of the checks.
     checks = [
         schema_check("metrics_schema", metrics, METRIC_TABLE),
         schema_check("logs_schema", logs, LOG_TABLE),

@@ -94,11 +94,14 @@ def score_risk(
 ) -> DataFrame:
     """``df`` with the components, ``risk_score``, ``risk_level`` and ``risk`` (0/1).
 
-    Spark compares column names without case, so a feature named like a component (``Error_rate``) gives way to it.
+    Spark compares column names without case, so a feature named like a component (``Error_rate``) gives its place to it;
+    it stays available, under its own name, in the struct ``inputs``.
     """
     signals = signal_percentiles(df, reference, config, anomaly)
     named = {c.lower() for c in (*config.weights, *signals.columns)} - set(KEYS)
-    joined = df.drop(*[c for c in df.columns if c.lower() in named]).join(signals, KEYS, "left")
+    clashing = [c for c in df.columns if c.lower() in named]
+    kept = df.withColumn("inputs", F.struct(*clashing)) if clashing else df
+    joined = kept.drop(*clashing).join(signals, KEYS, "left")
     probability = mean_available(probabilities) if probabilities else F.lit(None).cast("double")
     joined = joined.withColumn("failure_probability", probability)
     available = ["failure_probability", *[c for c in signals.columns if c not in KEYS]]

@@ -47,6 +47,7 @@ FEATURE_TOKENS = {
     "network_partition": ["network_in", "network_out"],
     "disk_fill": ["disk", "disk_growth"],
 }
+# Wording of the probable causes.
 SUMMARIES = {
     "memory_leak": "Sustained memory growth and GC pressure consistent with a memory leak in the service runtime.",
     "connection_pool_exhaustion": "Connection pool exhaustion: demand exceeded available downstream connections, causing acquire timeouts.",
@@ -57,6 +58,7 @@ SUMMARIES = {
     "traffic_spike": "Unusual traffic surge overwhelming current capacity.",
     "unknown": "No single dominant signal; further investigation required.",
 }
+# Wording of the recommended actions.
 ACTIONS = {
     "memory_leak": "Trigger a heap dump and memory-profile analysis; roll the service if confirmed.",
     "connection_pool_exhaustion": "Increase or tune the connection pool limit and check downstream latency; restart pools.",

@@ -142,23 +142,10 @@ def _(x: Tables):
     )
 
 
-GENERAL = [
-    ("failure_probability", "Escalate to on-call: high failure probability detected"),
-    ("error_rate", "Check downstream dependencies and circuit breakers"),
-    ("error_rate", "Review recent deployments for regression"),
-    ("latency_trend", "Scale horizontally: add replicas to reduce queue depth"),
-    ("latency_trend", "Enable request shedding for non-critical paths"),
-    ("memory_growth", "Trigger heap dump and memory profile analysis"),
-    ("memory_growth", "Consider rolling restart to reclaim memory"),
-]
-SPECIFIC = [
-    ("memory", "'Investigate ' || feature || ' growth - possible leak'"),
-    ("latency", "'Profile ' || feature || ' - check for contention or slow queries'"),
-    ("error", "'Analyze ' || feature || ' - correlate with upstream errors'"),
-]
+SPECIFIC = [(word, f"'{before}' || feature || '{after}'") for word, before, after in evd.FEATURE_ACTIONS]
 block(
     "advice",
-    " UNION ALL ".join(f"SELECT service, ts, {i} AS o, '{text}' AS action FROM pack WHERE {c} > 7e-1" for i, (c, text) in enumerate(GENERAL))
+    " UNION ALL ".join(f"SELECT service, ts, {i} AS o, '{text}' AS action FROM pack WHERE {c} > 7e-1" for i, (c, text) in enumerate(evd.GENERAL_ACTIONS))
     + " UNION ALL "
     + " UNION ALL ".join(
         f"SELECT service, ts, 100 + nr * 10 + {i}, {text} FROM top5 JOIN pack USING (service, ts) WHERE nr <= 3 AND z > 0 AND contains(lower(feature), '{word}')"
@@ -874,14 +861,21 @@ def _(x: Tables):
     return found.groupBy("service", "start_ts").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query("g5_stream_risk", with_blocks(f"SELECT {ids()} FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ts DESC) AS nr FROM ds) WHERE nr = 1", "ds"))
+@query(
+    "g5_stream_risk",
+    with_blocks(
+        f"SELECT {ids()}, {r('(4e-1 * p_rows + 15e-2 * error_rate + 1e-1 * latency_trend + 1e-1 * memory_growth) / 75e-2', 'risk_score')} "
+        "FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ts DESC) AS nr FROM comp) WHERE nr = 1",
+        "comp",
+    ),
+)
 def _(x: Tables):
     """Newest risk per service after the whole table has streamed by."""
     rows = x.probed.drop("healthy")
     stream = jobs.stream_table(x.spark, as_files(rows, x, "g5_in"), rows.schema, per_batch=2 * FILES)
     out = fresh_folder(x.spark, "g5_out")
     jobs.risk_in_batches(stream, x.reference, out, fresh_folder(x.spark, "g5_ck"), adapter.RISK, ["p_rows"]).awaitTermination()
-    return latest_by_service(x.spark.read.parquet(out)).select(*KEYS)
+    return latest_by_service(x.spark.read.parquet(out)).select(*KEYS, "risk_score")
 
 
 @query("g6_stream_drift")
