@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.llm.common import byte_words, components, mix, pick
@@ -178,9 +178,27 @@ def _pairs_within(members: DataFrame, key: str, different: str | None = None) ->
     return (pairs.where("l_a != l_b") if different else pairs).select("a", "b")
 
 
-def _prefix_length(percent: int) -> Column:
-    """Two sets of similarity s share an element among their first n - ceil(s n) + 1, in any common order."""
-    return F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+def _prefixes(heavy: np.ndarray, holders: np.ndarray, percent: int):
+    """The first n - ceil(s n) + 1 elements of every set, rare ones first: in any common order two sets of similarity s
+    share one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cids, comps = (batch.column(c).to_numpy() for c in ("cid", "comp"))
+            sets = batch.column("items")
+            found = []
+            for k in range(batch.num_rows):
+                items = sets[k].values.to_numpy()
+                at = np.minimum(np.searchsorted(heavy, items), max(len(heavy) - 1, 0))
+                weight = np.where(heavy[at] == items, holders[at], 0) if len(heavy) else np.zeros(len(items), np.int64)
+                first = len(items) + -len(items) * percent // 100 + 1
+                found.append(items[np.lexsort((items, weight))[:first]])
+            sizes = [len(x) for x in found]
+            items = np.concatenate(found) if found else np.empty(0, np.int64)
+            columns = [pa.array(x) for x in (items, np.repeat(cids, sizes), np.repeat(comps, sizes))]
+            yield pa.RecordBatch.from_arrays(columns, ["item", "cid", "comp"])
+
+    return run
 
 
 def _block_links(percent: int):
@@ -217,17 +235,15 @@ def _hidden_links(hot: DataFrame, sets: DataFrame, classes: DataFrame, comps: Da
         .select("cid", "n", "items", F.coalesce("comp", "cid").alias("comp")),
         "near-hot",
     )
-    postings = held.select("cid", "n", "comp", F.explode("items").alias("item"))
+    postings = held.select(F.explode("items").alias("item"))
     many = held.agg(F.greatest(F.count("*") / RARE, F.lit(2)).alias("least"))
     heavy = (
         postings.groupBy("item").agg(F.count("*").alias("holders")).join(F.broadcast(many))
         .where(F.col("holders") >= F.col("least")).select("item", "holders")
     )
-    order = Window.partitionBy("cid").orderBy(F.coalesce("holders", F.lit(0)), "item")
-    prefix = (
-        postings.join(F.broadcast(heavy), "item", "left").withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= _prefix_length(percent)).select("item", "cid", "comp")
-    )
+    rows = sorted((r["item"], r["holders"]) for r in heavy.collect())  # at most RARE x mean set size
+    common = np.array(rows, np.int64).reshape(-1, 2)
+    prefix = held.mapInArrow(_prefixes(common[:, 0], common[:, 1], percent), "item long, cid long, comp long")
     prefix = durable(prefix, "near-prefix")
     open_items = (
         prefix.groupBy("item")
