@@ -1,35 +1,13 @@
-"""Slices of a table by an integer key, for work in key order without one task that sees all rows.
-
-Like a range partitioner's, the borders follow the cluster's number of partitions, not the data.
-"""
+"""Numbering within groups of any size, by slices of the key."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES_PER_PARTITION = 4
-
-
-def borders(df: DataFrame, key: str = "doc_id") -> list[int]:
-    """Smallest key of each slice of about equal size; empty if no row has a key."""
-    count = SLICES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marks = [i / count for i in range(1, count)]
-    row = df.agg(F.min(key), F.percentile_approx(key, marks, max(10_000, 20 * count))).first()
-    return sorted({x for x in [row[0], *(row[1] or [])] if x is not None})
-
+from emberwatch.plans.slices import borders, slice_of
 
-def slice_of(key: Column, cuts: list[int]) -> Column:
-    """Number of the slice: first among groups of borders, then within the group. Rows without key are in the last."""
-    if not cuts:
-        return F.lit(0)
-    width = max(1, int(len(cuts) ** 0.5))
-    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    within = lambda edges: F.size(F.filter(edges, lambda c: c <= key))
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    group = within(longs([g[0] for g in groups])) - 1
-    inner = within(F.element_at(F.array(*[longs(g) for g in groups]), F.greatest(group, F.lit(0)) + 1))
-    return F.when(key.isNull(), F.lit(len(cuts) - 1)).otherwise(group * width + inner - 1)
+__all__ = ["borders", "numbered", "slice_of"]
 
 
 def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
