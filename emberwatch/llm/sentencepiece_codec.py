@@ -6,7 +6,7 @@ library is verified for every row.
 
 A BPE model's pieces carry scores instead of merges: each way to make a piece of two others becomes a merge, best score
 first. sentencepiece takes the leftmost of equal scores, so longer left sides, which only leftmost merges have, go first.
-Text is cut before runs of the marker where no piece crosses such a cut, so words are cached.
+A text is not cut into words first: merging it as a whole is faster here than looking its words up.
 
 Null and empty texts have no ids and decode to the empty text. Repeated rows are encoded each.
 """
@@ -100,7 +100,7 @@ def _merges(model: PieceModel, ids: dict[str, int]) -> list[tuple[str, str]]:
 
 def build(model: PieceModel):
     """The model as a tokenizer of the tokenizers library."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
     ids = {p: i for i, (p, _, _) in enumerate(model.pieces)}
     unknown = next(i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN)
@@ -126,8 +126,6 @@ def build(model: PieceModel):
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
     out.normalizer = normalizers.Sequence(steps)
-    if model.kind == BPE and not any(MARK in p.lstrip(MARK) for p, _, _ in model.pieces):
-        out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
     out.add_tokens([AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER_DEFINED])
     back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     out.decoder = decoders.Sequence(back + ([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []))
@@ -152,6 +150,28 @@ def default_model() -> str:
 GROUP = 64  # texts encoded together
 
 
+@lru_cache(maxsize=4)
+def piece_bytes(path: str) -> tuple[list[bytes], bool]:
+    """What each id stands for in UTF-8, and whether texts get a blank in front."""
+    with open(path, "rb") as f:
+        model = parse_model(f.read())
+    raw = lambda p, kind: bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode()
+    return [raw(p, kind) for p, _, kind in model.pieces], model.dummy_prefix
+
+
+def decode_ids(rows: list[list[int]], path: str, threads: int = 1) -> list[str]:
+    """Texts of ids. Bytes that are no UTF-8 are left to the tokenizer's decoder, which replaces them one by one."""
+    pieces, blank = piece_bytes(path)
+    out = []
+    for ids in rows:
+        raw = b"".join(map(pieces.__getitem__, ids))
+        try:
+            out.append((raw[1:] if blank and raw[:1] == b" " else raw).decode())
+        except UnicodeDecodeError:
+            out.append(codec(path, threads).decode(ids, skip_special_tokens=False))
+    return out
+
+
 def _encoded(path: str, threads: int, parity: bool, keep: tuple[str, ...] = ("doc_id",)):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
@@ -183,9 +203,8 @@ def decode(encoded: DataFrame, model: str | None = None, threads: int = 1) -> Da
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, threads)
         for batch in batches:
-            texts = own.decode_batch([x or [] for x in batch.column("ids").to_pylist()], skip_special_tokens=False)
+            texts = decode_ids([x or [] for x in batch.column("ids").to_pylist()], path, threads)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     rows = pick(encoded, "doc_id", "ids").select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
@@ -200,10 +219,9 @@ def codec_digests(docs: DataFrame, model: str | None = None, threads: int = 1) -
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, threads)
         for batch in _encoded(path, threads, True, ("doc_id", "text"))(batches):
             ids = batch.column("ids").to_pylist()
-            texts = own.decode_batch(ids, skip_special_tokens=False)
+            texts = decode_ids(ids, path, threads)
             crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
             back = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts]
             longs = [pa.array(x, pa.int64()) for x in (list(map(len, ids)), crc, back)]

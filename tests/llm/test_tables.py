@@ -337,6 +337,14 @@ def test_unigram_scores_and_byte_fallback():
         assert own.decode(ids, skip_special_tokens=False) == t
 
 
+def test_bytes_that_are_no_text():
+    import sentencepiece
+
+    other = sentencepiece.SentencePieceProcessor(model_file=sc.default_model())
+    lone = [other.piece_to_id("<0xE2>"), other.piece_to_id("<0x82>"), other.piece_to_id("▁a")]
+    assert sc.decode_ids([lone, []], sc.default_model())[0].endswith(" a")
+
+
 def test_bpe_parity_on_random_strings():
     import sentencepiece
 
@@ -345,3 +353,4 @@ def test_bpe_parity_on_random_strings():
     for _ in range(500):
         t = "".join(rng.choice("ab the,.\n\t   éß漢😀▁<>/s1") for _ in range(rng.randrange(60)))
         assert own.encode(t, add_special_tokens=False).ids == other.encode(t), repr(t)
+        assert sc.decode_ids([other.encode(t)], sc.default_model()) == [other.decode(other.encode(t))]
