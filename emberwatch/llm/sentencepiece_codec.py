@@ -172,30 +172,32 @@ def decode_ids(rows: list[list[int]], path: str, threads: int = 1) -> list[str]:
     return out
 
 
-def _encoded(path: str, threads: int, parity: bool, keep: tuple[str, ...] = ("doc_id",)):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        own = codec(path, threads)
-        other = sentencepiece.SentencePieceProcessor(model_file=path) if parity else None
-        for batch in batches:
-            for lo in range(0, batch.num_rows, GROUP):
-                part = batch.slice(lo, GROUP)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
-                same = [a == b for a, b in zip(ids, other.encode(texts, num_threads=threads))] if parity else [None] * len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [*map(part.column, keep), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
-                    [*keep, "ids", "parity"],
-                )
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, threads: int, parity: bool):
+    """Slices of the batches with their texts, the ids of each text, and whether sentencepiece gives the same ids."""
+    import sentencepiece
 
-    return run
+    own = codec(path, threads)
+    other = sentencepiece.SentencePieceProcessor(model_file=path) if parity else None
+    for batch in batches:
+        for lo in range(0, batch.num_rows, GROUP):
+            part = batch.slice(lo, GROUP)
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            ids = [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+            same = [a == b for a, b in zip(ids, other.encode(texts, num_threads=threads))] if parity else [None] * len(ids)
+            yield part, texts, ids, same
 
 
 def encode(docs: DataFrame, model: str | None = None, threads: int = 1, parity: bool = True) -> DataFrame:
     """``doc_id, ids, parity`` per row of ``docs(doc_id, text)``; parity: sentencepiece gives the same ids."""
+    path = model or default_model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, ids, same in _encoded(batches, path, threads, parity):
+            columns = [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "parity"])
+
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_encoded(model or default_model(), threads, parity), "doc_id long, ids array<int>, parity boolean")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, parity boolean")
 
 
 def decode(encoded: DataFrame, model: str | None = None, threads: int = 1) -> DataFrame:
@@ -219,15 +221,14 @@ def codec_digests(docs: DataFrame, model: str | None = None, threads: int = 1) -
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _encoded(path, threads, True, ("doc_id", "text"))(batches):
-            ids = batch.column("ids").to_pylist()
-            texts = decode_ids(ids, path, threads)
+        for part, texts, ids, same in _encoded(batches, path, threads, True):
+            back = decode_ids(ids, path, threads)
             crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
-            back = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts]
-            longs = [pa.array(x, pa.int64()) for x in (list(map(len, ids)), crc, back)]
-            whole = pa.array([a == b for a, b in zip(texts, batch.column("text").to_pylist())], pa.bool_())
+            again = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in back]
+            longs = [pa.array(x, pa.int64()) for x in (list(map(len, ids)), crc, again)]
+            whole = pa.array([a == b for a, b in zip(texts, back)], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *longs, whole, batch.column("parity")],
+                [part.column("doc_id"), *longs, whole, pa.array(same, pa.bool_())],
                 ["doc_id", "n_tokens", "ids_crc32", "decoded_crc32", "round_trip", "parity"],
             )
 
