@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import read
-from emberwatch.llm.near_dedup import near_duplicates
+from emberwatch.llm.common import WORD, read
+from emberwatch.llm.near_dedup import survivors, text_sha
 from emberwatch.llm.packing import pack_documents
 from emberwatch.llm.quality_classifier import fit_quality, held_out, keep_scored
 from emberwatch.llm.quality_rules import keep_good
@@ -29,12 +29,15 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id, and of rows with that doc_id one."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    alone = kept.distinct().withColumnRenamed("doc_id", "__id")
-    rows = docs.join(alone, docs["doc_id"].eqNullSafe(alone["__id"]), "left_semi")
-    # Only repeated doc_ids have more than one row here.
-    return rows.dropDuplicates(["doc_id"])
+    """One row of each group of near-duplicates, and every row without words.
+
+    Groups are made of texts, so rows of one doc_id or of none stay apart unless their texts are near. ``survivors`` defines
+    the doc_id and text that stay; of rows equal in both the first by the remaining columns, nulls first.
+    """
+    chosen = survivors(docs).select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"))
+    same = docs["doc_id"].cast("long").eqNullSafe(chosen["__id"]) & (text_sha() == chosen["__sha"])
+    rows = docs.join(chosen, same).groupBy("__id", "__sha").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return rows.union(docs.where(~F.coalesce("text", F.lit("")).rlike(WORD)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.llm.common import byte_words, components, mix, pick
@@ -106,9 +106,9 @@ def _sketches(width: int):
                 keys.append(xxhash.xxh3_128_hexdigest(items.tobytes()) if len(items) else None)
                 rows.append(sketch(items) if len(items) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()),
+                [batch.column("doc_id"), batch.column("sha"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()),
                  pa.array(rows, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "k", "sketch"],
+                ["doc_id", "sha", "n_shingles", "k", "sketch"],
             )
 
     return run
@@ -266,19 +266,25 @@ def _hidden_links(hot: DataFrame, sets: DataFrame, classes: DataFrame, comps: Da
     return small.union(large.groupBy("item", "i", "j").applyInPandas(_block_links(percent), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per row of ``docs(doc_id, text)``.
+def text_sha(text: str = "text") -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.sha2(F.col(text).cast("binary"), 256)
 
-    component_id is the smallest doc_id reachable over links of at least ``percent``; kept where it is the own one.
+
+def _named_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, n_shingles, k`` and classes ``k, first, comp``.
+
+    k is the class of equal sets, null for an empty set; first is the least ``(no_id, doc_id, sha)`` of the rows of a class,
+    those without doc_id last; comp numbers the components.
     """
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.withColumn("sha", text_sha())
     rows = durable(
-        docs.mapInArrow(_sketches(width), "doc_id long, n_shingles long, k string, sketch array<long>"), "near-rows"
+        docs.mapInArrow(_sketches(width), "doc_id long, sha string, n_shingles long, k string, sketch array<long>"), "near-rows"
     )
     classes = rows.where("k is not null").groupBy("k")
-    classes = classes.agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
-    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha"))
+    classes = classes.agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
 
     posts = classes.select("cid", F.posexplode("sketch").alias("band", "key")).where("key != -1")
@@ -295,8 +301,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     hot = large.select("cid").distinct()
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).union(hot).distinct()
-    wanted = classes.join(wanted, "cid").select("cid", "k", "rep")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "k", "text")
+    wanted = classes.join(wanted, "cid").select("cid", "k", F.col("first.doc_id").alias("rep"), F.col("first.sha").alias("of"))
+    # By text as well: rows without doc_id would all meet each other.
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"]) & (docs["sha"] == wanted["of"])).select("cid", "k", "text")
     sets = durable(texts.mapInArrow(_sets(width), "cid long, n long, items array<long>"), "near-sets")
 
     links = durable(verified(pairs, sets, percent), "near-links")
@@ -306,11 +313,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         comps = components(links.union(hidden), "near")
 
     named = classes.join(comps, F.col("cid") == F.col("id"), "left")
-    named = durable(named.select("k", "rep", F.coalesce("comp", "cid").alias("comp")), "near-named")
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    return rows, durable(named.select("k", "first", F.coalesce("comp", "cid").alias("comp")), "near-named")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` per row of ``docs(doc_id, text)``.
+
+    component_id is the smallest doc_id reachable over links of at least ``percent``; kept where it is the own one.
+    """
+    rows, named = _named_classes(docs, width, percent)
+    least = named.groupBy("comp").agg(F.min("first.doc_id").alias("component_id"))
     named = durable(named.join(least, "comp").select("k", "component_id"), "near-named")
     out = rows.join(named, "k", "left")
     component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
+
+
+def survivors(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, sha`` of one row per component: of the smallest doc_id, rows without one last, then of the smallest class
+    key, then of the smallest ``text_sha``. Rows with an empty set are in no component."""
+    _, named = _named_classes(docs, width, percent)
+    order = F.struct("first.no_id", "first.doc_id", "k", "first.sha")
+    return named.groupBy("comp").agg(F.min(order).alias("w")).select("w.doc_id", "w.sha")

@@ -59,3 +59,25 @@ def test_pipeline_run_equals_its_stages(spark):
 def test_near_dedup_keeps_rows_without_doc_id(spark):
     docs = spark.createDataFrame([(None, "a b c d e f g"), (1, "a b c d e f g"), (2, "other words here")], "doc_id long, text string")
     assert sorted(r.doc_id for r in cp.near_dedup(spark, docs, FOLDER).collect()) == [1, 2]
+
+
+def near_dedup_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    return sorted((tuple(r) for r in cp.near_dedup(spark, docs, FOLDER).collect()), key=str)
+
+
+def test_near_dedup_keeps_different_texts_without_doc_id(spark):
+    rows = [(None, "a b c d e f g", "x"), (None, "other words are in here", "x"), (None, "A b c d e f g", "x"), (None, None, "x")]
+    got = near_dedup_of(spark, rows)
+    assert len(got) == 3 and {r[1] for r in got} >= {None, "other words are in here"}
+    assert got == near_dedup_of(spark, rows[::-1])
+
+
+def test_near_dedup_decides_per_text_of_a_doc_id(spark):
+    """Of doc 5 the first text stays, the second is a copy of doc 1, and the repeated row comes once."""
+    rows = [
+        (1, "a b c d e f g", "x"), (5, "quite another text of its own", "y"), (5, "a b c d e f g", "x"),
+        (5, "quite another text of its own", "x"), (5, "quite another text of its own", "y"), (5, " ", "x"), (5, " ", "x"),
+    ]
+    want = [(1, "a b c d e f g", "x"), (5, " ", "x"), (5, " ", "x"), (5, "quite another text of its own", "x")]
+    assert near_dedup_of(spark, rows) == want
