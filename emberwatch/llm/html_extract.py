@@ -30,6 +30,11 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# Elements without markup inside and what may end them; in scripts, comments can hold whole script elements.
+_RAW_END = {
+    t: re.compile(rf"(?P<end></{t}(?=[\s/>]))" + (r"|<!--|-->|<script(?=[\s/>])" if t == "script" else ""), re.I)
+    for t in ("script", "style", "title", "textarea", "iframe")
+}
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Kinds of HTML elements.
 HIDDEN = set("script style title template noscript svg math iframe object canvas select textarea audio video".split())
@@ -85,6 +90,25 @@ def _element_cost(tag: str, attrs: str, in_content: bool) -> float:
     return cost
 
 
+def _after_raw(page: str, tag: str, at: int) -> int:
+    """Place behind the end tag of a raw-text element whose content begins at ``at``; the page's end if there is none."""
+    commented = nested = False
+    while found := _RAW_END[tag].search(page, at):
+        at = found.end()
+        if found["end"]:
+            if not nested:
+                return _TOKEN.match(page, found.start()).end()
+            nested = False
+        elif found[0] == "<!--":
+            if not commented:
+                commented, at = True, at - 2  # its dashes may belong to the end
+        elif found[0] == "-->":
+            commented = nested = False
+        else:
+            nested = commented
+    return len(page)
+
+
 def blocks(page: str) -> tuple[list[str], list[float], list[int]]:
     """Texts, costs and parents (numbers of elements) of the blocks of a page, in page order."""
     texts: list[str] = []
@@ -108,7 +132,8 @@ def blocks(page: str) -> tuple[list[str], list[float], list[int]]:
                 parents.append(stack[-2][3] if tag in OWN else own)
         words_in_links = 0
 
-    for token in _TOKEN.finditer(page):
+    tokens = _TOKEN.finditer(page)
+    while token := next(tokens, None):
         tag = token["tag"]
         if tag is None:
             text = token[0]
@@ -120,6 +145,10 @@ def blocks(page: str) -> tuple[list[str], list[float], list[int]]:
                 words_in_links += len(text.split())
             continue
         tag = tag.lower()
+        raw = not token["end"] and tag in _RAW_END and not (token["attrs"] or "").endswith("/")
+        if raw and hidden not in ("svg", "math"):
+            tokens = _TOKEN.finditer(page, _after_raw(page, tag, token.end()))
+            continue
         if hidden:
             if token["end"] and tag == hidden:
                 hidden = ""

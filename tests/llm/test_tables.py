@@ -209,6 +209,21 @@ def test_pages_without_content(page):
     assert he.main_text(page) == ""
 
 
+@pytest.mark.parametrize(
+    "head",
+    [
+        "<script>for(var i=0;i<n;i++){f(i)}</script>", "<SCRIPT async>if(i<n)g('<p>no')</Script >", "<style>a<b{}</style>",
+        "<title>a<b and c</title>", "<textarea>x<y</textarea>", "<script>s='</scripts>';i<n</script\n>",
+        "<script><!-- w('<script>i<n</script>'); --></script>", "<script><!-->i<n</script>", "<script><!-- i<n</script>",
+        "<noscript><style>a<b{}</style></noscript>", "<template><script>i<n</script>x</template>", "<svg><title>t</title></svg>",
+        "<svg><style/></svg>", '<script src="x"/>',
+    ],
+)
+def test_raw_text_ends_at_its_own_end_tag(head):
+    page = f"<html><body>{head}<article><p>The text that has to stay, all of it.</p></article><script>1</script></body></html>"
+    assert he.main_text(page) == "The text that has to stay, all of it."
+
+
 def test_hostile_pages_end_soon():
     for page in ('<a href="' * 20_000, "<a " * 50_000, "<div>" * 20_000 + "x", "<b>" * 20_000 + "x<hr>" * 2_000, "<p>one two" * 20_000):
         he.main_text(page)
