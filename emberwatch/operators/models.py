@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.operators.evaluation import best_threshold, class_weights, evaluate_at
 from emberwatch.operators.sequences import build_sequences, with_vector
+from emberwatch.plans.durable import shared_folder
 from emberwatch.plans.ranking import numbered
 
 SEED = 42
@@ -62,6 +63,12 @@ def classifier(name: str, label: str, rows: int, params: dict | None = None):
     raise ValueError(f"unknown model: {name}")
 
 
+def name_checkpoints(spark: SparkSession) -> None:
+    """Boosting writes its predictions every ten rounds, and so survives lost executors, if the context names a folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def train(
     train_rows: DataFrame,
     val_rows: DataFrame,
@@ -71,6 +78,8 @@ def train(
     params: dict | None = None,
 ) -> Trained:
     """Fit on the training rows and pick the F1-optimal threshold on the validation rows."""
+    if name == "gradient_boosting":
+        name_checkpoints(train_rows.sparkSession)
     rows, w = weighted(train_rows, label, balanced=name != "gradient_boosting")
     assembler = VectorAssembler(inputCols=list(features), outputCol="raw", handleInvalid="keep")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
@@ -131,6 +140,7 @@ def tune(
     parallelism: int = 4,
 ) -> tuple[Trained, list[dict]]:
     """Randomised search for the boosted trees by cross-validated ROC-AUC on stratified folds."""
+    name_checkpoints(train_rows.sparkSession)
     rows, w = weighted(train_rows, label, balanced=False)
     assembled = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     prepared = assembled.transform(stratified_folds(rows, label, folds, ["service", "timestamp"]))

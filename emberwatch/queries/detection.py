@@ -614,13 +614,12 @@ def _(x: Tables):
 
 @query("d12_gradient_boosting")
 def _(x: Tables):
-    return models.evaluate(trained(x, "gradient_boosting", {"maxIter": 15, "maxDepth": 4}), x.split, LABEL, ["split"])
+    return models.evaluate(trained(x, "gradient_boosting"), x.split, LABEL, ["split"])
 
 
 @query("d13_randomised_search")
 def _(x: Tables):
-    space = {"maxIter": [5, 10], "maxDepth": [2, 3], "stepSize": [0.1, 0.3]}
-    best, results = models.tune(x.part("train"), x.part("val"), FEATURES, LABEL, space, trials=2, folds=3)
+    best, results = models.tune(x.part("train"), x.part("val"), FEATURES, LABEL)
     return models.evaluate(best, x.split, LABEL, ["split"]).withColumn("trials", F.lit(len(results)))
 
 

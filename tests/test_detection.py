@@ -186,3 +186,31 @@ def test_sequence_classifier_and_length_choice(spark):
     scored = models.predict_sequences(best, df, "y", seq_len)
     assert scored.count() == 2 * (200 - seq_len + 1)
     assert ranking_metrics(scored.withColumn("k", F.lit(1)), "y", "probability", ["k"]).first()["roc_auc"] > 0.9
+
+
+@pytest.mark.parametrize(("name", "called"), [("d12_gradient_boosting", "train"), ("d13_randomised_search", "tune")])
+def test_boosting_is_registered_with_the_operators_defaults(monkeypatch, name, called):
+    """Neither fewer rounds nor fewer draws: what is not given takes its default."""
+    from types import SimpleNamespace
+
+    from emberwatch.queries.base import REGISTRY
+    from emberwatch.queries.detection import FEATURES as columns
+
+    calls = []
+
+    def record(*args, **named):
+        calls.append((args, named))
+        raise InterruptedError
+
+    monkeypatch.setattr(models, called, record)
+    import emberwatch.queries.detection as registered
+
+    with pytest.raises(InterruptedError):
+        REGISTRY[name].build(SimpleNamespace(part=lambda p: p, split="split", spark=None))
+    given = ("train", "val", columns, registered.LABEL)
+    assert calls == [((*given, "gradient_boosting", None) if called == "train" else given, {})]
+
+
+def test_boosting_names_a_checkpoint_folder(spark):
+    models.name_checkpoints(spark)
+    assert spark.sparkContext.getCheckpointDir().startswith(("file:" + spark.conf.get("spark.checkpoint.dir")))
