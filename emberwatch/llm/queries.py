@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.llm import sql
+from emberwatch.llm.bpe_codec import bpe_digests
 from emberwatch.llm.chat_format import conversation_digests, format_windows
 from emberwatch.llm.common import pick, read
 from emberwatch.llm.fingerprints import document_fingerprints, neighbour_counts
 from emberwatch.llm.html_extract import extract_pages
 from emberwatch.llm.license_scan import scan_licenses
+from emberwatch.llm.merkle import build_manifest, prove, without_line_feeds
 from emberwatch.llm.near_dedup import near_duplicates
 from emberwatch.llm.packing import pack_documents
+from emberwatch.llm.prefix_trie import conversation_trie
 from emberwatch.llm.quality_classifier import fit_quality, held_out, score_quality
 from emberwatch.llm.quality_rules import quality_rules
 from emberwatch.llm.sentencepiece_codec import codec_digests
@@ -76,11 +79,23 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("licenses", F.array_join("licenses", ","))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(read(spark, folder, "conversations"))
+
+
+def op12_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_digests(read(spark, folder, "documents"))
+
+
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return prove(build_manifest(read(spark, folder, "documents"), without_line_feeds()))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_quality_classifier, op3_sharding, op4_quality_rules, op5_fingerprints, op6_html_extract,
-        op7_near_dedup, op8_packing, op9_sentencepiece, op10_license_scan,
+        op7_near_dedup, op8_packing, op9_sentencepiece, op10_license_scan, op11_prefix_trie, op12_bpe_codec, op13_merkle,
     )
 }
 
@@ -89,6 +104,8 @@ ORACLE: dict[str, str] = {
     "op3_sharding": sql.SHARDING,
     "op4_quality_rules": sql.QUALITY_RULES,
     "op7_near_dedup": sql.NEAR_DEDUP,
+    "op11_prefix_trie": sql.PREFIX_TRIE,
+    "op13_merkle": sql.MERKLE,
 }
 
 

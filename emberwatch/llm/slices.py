@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberwatch.plans.durable import durable
 from emberwatch.plans.slices import borders, slice_of
 
-__all__ = ["borders", "numbered", "slice_of"]
+__all__ = ["borders", "numbered", "ranged", "slice_of"]
+
+
+def ranged(df: DataFrame, order: list[str], label: str) -> DataFrame:
+    """Written table of ``df`` with a column ``slice`` that never falls in ``order`` (nulls first).
+
+    Slices hold about equally many rows however the values lie: a value with most of the rows, null too, is spread, and
+    rows that are equal in ``order`` are split by their place in the table. ``df`` is read twice.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(count, *order, "__place")
+    return durable(rows.drop("__place").withColumn("slice", F.spark_partition_id()), label)
 
 
 def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:

@@ -158,3 +158,100 @@ FROM crc JOIN shard{shards} a USING (doc_id) JOIN shard{shards + 1} b USING (doc
 
 
 SHARDING = sharding(8)
+
+
+# Checksums of decimal numbers, from the table of the usual byte-wise CRC-32.
+_CRC_TABLE = """
+crc_table AS (
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def _crc(number: str) -> str:
+    """Where ``crc_table`` is joined."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+        regexp_extract_all(hex(encode({number}::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+PREFIX_TRIE = f"""
+WITH {_CRC_TABLE},
+turns AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+    WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+rebuilt AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY part, rn) AS pos FROM (
+        SELECT c.conv_id, 0 AS part, t.rn, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.rn <= c.h
+        UNION ALL
+        SELECT c.conv_id, 1, t.rn, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.rn > c.h)),
+paths AS (
+    SELECT conv_id, pos AS depth, length(text) AS chars, list(struct_pack(r := role, t := text)) OVER (
+        PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS prefix FROM rebuilt
+    UNION ALL SELECT conv_id, 0, 0, [] FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS turns FROM paths GROUP BY conv_id),
+nodes AS (
+    SELECT depth, prefix, min(p.conv_id) AS node, count(*) AS n_convs, max(chars) AS chars,
+        bool_and(depth = turns) AS childless,
+        sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (depth = turns), '')) AS ends_sha256
+    FROM paths p JOIN lengths USING (conv_id) GROUP BY depth, prefix),
+steps AS (SELECT p.conv_id, p.depth, n.node FROM paths p JOIN nodes n ON n.depth = p.depth AND n.prefix = p.prefix),
+own AS (SELECT node AS conv_id, depth, n_convs, childless, ends_sha256, (n_convs - 1) * chars AS saved FROM nodes),
+sums AS (
+    SELECT s.node AS conv_id, s.depth, sum(childless::INT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+    FROM own o JOIN steps s ON s.conv_id = o.conv_id AND s.depth <= o.depth GROUP BY ALL),
+parents AS (SELECT o.conv_id, o.depth, s.node AS parent FROM own o JOIN steps s ON s.conv_id = o.conv_id AND s.depth = o.depth - 1),
+children AS (SELECT parent AS conv_id, depth - 1 AS depth, count(*) AS n FROM parents GROUP BY ALL)
+SELECT conv_id, depth, parent AS parent_conv_id, n_convs, coalesce(n, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM own JOIN sums USING (conv_id, depth) LEFT JOIN parents USING (conv_id, depth) LEFT JOIN children USING (conv_id, depth)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR))::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+
+
+def _levels(name: str, start: str) -> str:
+    """Levels of trees: ``name(tree, level, i, n, digest)`` above ``start(tree, i, n, digest)``."""
+    return f"""
+{name} AS (
+    SELECT tree, 0 AS level, i, n, digest FROM {start}
+    UNION ALL
+    SELECT tree, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY i))
+    FROM {name} WHERE n > 1 GROUP BY tree, level, i // 3, n)"""
+
+
+def _walk(name: str, start: str, nodes: str) -> str:
+    """Ways from leaves to the tops of their trees: the digest folded so far, and the siblings met."""
+    return f"""
+{name} AS (
+    SELECT tree, leaf, top, i, n, folded, proof, 0 AS level FROM ({start}) s(tree, leaf, top, i, n, folded, proof)
+    UNION ALL
+    SELECT w.tree, w.leaf, w.top, w.i // 3, (w.n + 2) // 3,
+        sha256(string_agg(CASE WHEN m.i = w.i THEN w.folded ELSE m.digest END, '' ORDER BY m.i)),
+        w.proof || coalesce(string_agg(m.digest, '' ORDER BY m.i) FILTER (m.i <> w.i), ''), w.level + 1
+    FROM {name} w JOIN {nodes} m ON m.tree = w.top AND m.level = w.level AND m.i // 3 = w.i // 3
+    WHERE w.n > 1 GROUP BY w.tree, w.leaf, w.top, w.i, w.n, w.proof, w.level)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE {_CRC_TABLE},
+rows AS (
+    SELECT doc_id, coalesce('s' || source, '') AS tree, {_leaf("text")} AS leaf, {_leaf("altered")} AS other FROM (
+        SELECT *, CASE WHEN {_crc("doc_id")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS altered FROM documents, crc_table)),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS i,
+        count(*) OVER (PARTITION BY tree) AS n FROM rows),
+starts AS (SELECT tree, i, n, leaf AS digest FROM placed),
+{_levels("nodes", "starts")},
+tops AS (SELECT '' AS tree, tree AS source, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n, digest FROM nodes WHERE n = 1),
+{_levels("upper", "tops")},
+{_walk("walk", "SELECT tree, i AS leaf, tree AS top, i, n, other AS folded, '' AS proof FROM placed", "nodes")},
+{_walk("climb", "SELECT w.tree, w.leaf, '', t.i, t.n, w.folded, w.proof FROM walk w JOIN tops t ON t.source = w.tree WHERE w.n = 1", "upper")},
+root AS (SELECT digest AS root FROM upper WHERE n = 1)
+SELECT p.doc_id, p.leaf, t.digest AS subroot, root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = root AS verified
+FROM placed p JOIN tops t ON t.source = p.tree JOIN climb w ON w.tree = p.tree AND w.leaf = p.i AND w.n = 1, root"""
