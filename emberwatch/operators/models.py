@@ -8,34 +8,24 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberwatch.operators.boosting import NODES, SPACE, BoostedTrees, fit_boosted, search
 from emberwatch.operators.evaluation import best_threshold, class_weights, evaluate_at
 from emberwatch.operators.sequences import build_sequences, with_vector
 from emberwatch.plans.durable import shared_folder
 from emberwatch.plans.ranking import numbered
 
 SEED = 42
-
-# Search space of the boosted trees; names follow pyspark.ml.
-GBT_SPACE = {
-    "maxIter": [200, 300, 400, 500],
-    "maxDepth": [4, 5, 6, 7, 8],
-    "stepSize": [0.01, 0.03, 0.05, 0.08, 0.1],
-    "subsamplingRate": [0.7, 0.8, 0.9, 1.0],
-    "minInstancesPerNode": [1, 3, 5, 7],
-}
-
+KEYS = ["service", "timestamp"]
 
 @dataclass
 class Trained:
     name: str
-    model: PipelineModel
+    model: PipelineModel | BoostedTrees
     features: list[str]
     threshold: float
 
@@ -77,19 +67,30 @@ def train(
     name: str = "logistic_regression",
     params: dict | None = None,
 ) -> Trained:
-    """Fit on the training rows and pick the F1-optimal threshold on the validation rows."""
+    """Fit on the training rows and pick the F1-optimal threshold on the validation rows.
+
+    ``histogram_boosting`` is fitted on a bounded choice of rows (see ``boosting``), all others on every row.
+    """
+    if name == "histogram_boosting":
+        return with_threshold(name, fit_boosted(train_rows, features, label, KEYS, params), val_rows, features, label)
     if name == "gradient_boosting":
         name_checkpoints(train_rows.sparkSession)
     rows, w = weighted(train_rows, label, balanced=name != "gradient_boosting")
     assembler = VectorAssembler(inputCols=list(features), outputCol="raw", handleInvalid="keep")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
     model = Pipeline(stages=[assembler, scaler, classifier(name, label, w["rows"], params)]).fit(rows)
+    return with_threshold(name, model, val_rows, features, label)
+
+
+def with_threshold(name: str, model, val_rows: DataFrame, features: Sequence[str], label: str) -> Trained:
     threshold = best_threshold(predict(model, val_rows), label, "probability").first()["threshold"]
     return Trained(name, model, list(features), float(threshold))
 
 
-def predict(model: PipelineModel, df: DataFrame, name: str = "probability") -> DataFrame:
+def predict(model: PipelineModel | BoostedTrees, df: DataFrame, name: str = "probability") -> DataFrame:
     """Rows with the probability of the positive class in ``name``."""
+    if isinstance(model, BoostedTrees):
+        return model.predict(df, name)
     kept = df.columns
     scored = model.transform(df)
     return scored.select(*kept, vector_to_array(F.col("probability"))[1].alias(name))
@@ -101,9 +102,12 @@ def evaluate(trained: Trained, df: DataFrame, label: str, keys: Sequence[str] =
 
 def importance(trained: Trained, spark: SparkSession) -> DataFrame:
     """Features ranked by absolute coefficient or impurity decrease; one row per feature of the model."""
-    last = trained.model.stages[-1]
-    values = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
-    rows = list(zip(trained.features, [float(v) for v in values.toArray()], strict=True))
+    if isinstance(trained.model, BoostedTrees):
+        values = trained.model.importance()
+    else:
+        last = trained.model.stages[-1]
+        values = (last.coefficients if hasattr(last, "coefficients") else last.featureImportances).toArray()
+    rows = list(zip(trained.features, [float(v) for v in values], strict=True))
     table = spark.createDataFrame(rows, "feature string, importance double")
     return table.orderBy(F.abs("importance").desc(), "feature")
 
@@ -137,24 +141,14 @@ def tune(
     space: dict[str, list] | None = None,
     trials: int = 30,
     folds: int = 3,
-    parallelism: int = 4,
 ) -> tuple[Trained, list[dict]]:
-    """Randomised search for the boosted trees by cross-validated ROC-AUC on stratified folds."""
-    name_checkpoints(train_rows.sparkSession)
-    rows, w = weighted(train_rows, label, balanced=False)
-    assembled = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    prepared = assembled.transform(stratified_folds(rows, label, folds, ["service", "timestamp"]))
-    estimator = classifier("gradient_boosting", label, w["rows"])
-    combos = draws(space or GBT_SPACE, trials)
-    grid = [{estimator.getParam(k): v for k, v in combo.items()} for combo in combos]
-    evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-    search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism
-    ).fit(prepared)
-    model = PipelineModel([assembled, search.bestModel])
-    threshold = best_threshold(predict(model, val_rows), label, "probability").first()["threshold"]
-    results = [{**c, "roc_auc": float(a)} for c, a in zip(combos, search.avgMetrics, strict=True)]
-    return Trained("gradient_boosting", model, list(features), float(threshold)), results
+    """Randomised search for the boosted trees by cross-validated ROC-AUC on stratified folds.
+
+    The results have a row per draw: its settings, ``draw``, mean ``roc_auc``, and ``chosen`` for the best.
+    """
+    rows = stratified_folds(train_rows, label, folds, KEYS)
+    model, results = search(rows, features, label, KEYS, draws(space or SPACE, trials))
+    return with_threshold("histogram_boosting", model, val_rows, features, label), results
 
 
 def train_sequences(
@@ -200,7 +194,10 @@ def tune_sequences(
 
 def save(trained: Trained, path: str, spark: SparkSession) -> None:
     """Model under ``path/model``, name, threshold and feature columns as a one-row table under ``path/meta``."""
-    trained.model.write().overwrite().save(f"{path}/model")
+    if isinstance(trained.model, BoostedTrees):
+        spark.createDataFrame(trained.model.nodes, NODES).write.mode("overwrite").parquet(f"{path}/model")
+    else:
+        trained.model.write().overwrite().save(f"{path}/model")
     meta = spark.createDataFrame(
         [(trained.name, trained.threshold, trained.features)], "name string, threshold double, features array<string>"
     )
@@ -209,4 +206,9 @@ def save(trained: Trained, path: str, spark: SparkSession) -> None:
 
 def load(path: str, spark: SparkSession) -> Trained:
     meta = spark.read.parquet(f"{path}/meta").first()
-    return Trained(meta["name"], PipelineModel.load(f"{path}/model"), list(meta["features"]), meta["threshold"])
+    features = list(meta["features"])
+    if meta["name"] == "histogram_boosting":
+        model = BoostedTrees(spark.read.parquet(f"{path}/model").toPandas(), features)
+    else:
+        model = PipelineModel.load(f"{path}/model")
+    return Trained(meta["name"], model, features, meta["threshold"])

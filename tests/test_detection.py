@@ -153,7 +153,7 @@ def learnable(spark, ticks=300):
 
 @pytest.mark.parametrize(
     ("name", "params"),
-    [("logistic_regression", {}), ("random_forest", {"numTrees": 10, "maxDepth": 4}), ("gradient_boosting", {"maxIter": 5, "maxDepth": 3})],
+    [("logistic_regression", {}), ("random_forest", {"numTrees": 10, "maxDepth": 4}), ("gradient_boosting", {"maxIter": 5, "maxDepth": 3}), ("histogram_boosting", {"rounds": 40, "depth": 3})],
 )
 def test_classifiers_learn_and_persist(spark, tmp_path, name, params):
     df = learnable(spark)
@@ -174,8 +174,8 @@ def test_folds_are_stratified(spark):
 
 
 def test_draws_are_distinct_and_repeatable():
-    a = models.draws(models.GBT_SPACE, 30)
-    assert a == models.draws(models.GBT_SPACE, 30) and len({tuple(c.items()) for c in a}) == 30
+    a = models.draws(models.SPACE, 30)
+    assert a == models.draws(models.SPACE, 30) and len({tuple(c.items()) for c in a}) == 30
     assert len(models.draws({"x": [1, 2]}, 30)) == 2
 
 
@@ -208,7 +208,7 @@ def test_boosting_is_registered_with_the_operators_defaults(monkeypatch, name, c
     with pytest.raises(InterruptedError):
         REGISTRY[name].build(SimpleNamespace(part=lambda p: p, split="split", spark=None))
     given = ("train", "val", columns, registered.LABEL)
-    assert calls == [((*given, "gradient_boosting", None) if called == "train" else given, {})]
+    assert calls == [((*given, "histogram_boosting", None) if called == "train" else given, {})]
 
 
 def test_boosting_names_a_checkpoint_folder(spark):
