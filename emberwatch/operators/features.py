@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -60,12 +62,18 @@ def require_metrics(metrics: DataFrame) -> None:
 
 
 def build_features(
-    metrics: DataFrame, config: FeatureConfig = FeatureConfig(), layout: Layout = AUTO
+    metrics: DataFrame,
+    config: FeatureConfig = FeatureConfig(),
+    layout: Layout = AUTO,
+    also: Callable[[WindowSpec], list[Column]] = lambda window: [],
 ) -> DataFrame:
-    """timestamp, service, the generated features and the pass-through columns present in ``metrics``."""
+    """timestamp, service, the generated features and the pass-through columns present in ``metrics``.
+
+    ``also`` adds columns over the window of a series; their frames reach back ``lookback`` rows at most.
+    """
     require_metrics(metrics)
     kept = [c for c in config.passthrough if c in metrics.columns]
     rows, keys, window = series(metrics, layout, config.lookback)
     extra = [c for c in (*keys, "_home") if c in rows.columns and c != "service"]
-    featured = rows.select("timestamp", "service", *feature_columns(config, window), *kept, *extra)
+    featured = rows.select("timestamp", "service", *feature_columns(config, window), *also(window), *kept, *extra)
     return home_rows(featured)

@@ -794,14 +794,20 @@ def with_silence(sql: str) -> str:
     ),
 )
 def _(x: Tables):
-    """All row-frame features micro-batch by micro-batch, over a series with a long gap."""
+    """All row-frame features micro-batch by micro-batch, over a series with a long gap. Rows arrive up to forty ticks late,
+    which is more than a frame holds, and one in eight arrives twice."""
     first = x.metrics.agg(F.min("timestamp")).first()[0]
     hours = (F.unix_micros("timestamp") - F.unix_micros(F.lit(first))) / 3_600_000_000
     rows = x.metrics.where(~((F.col("service") == "svc-1") & hours.between(300, 500)))
-    stream = jobs.stream_table(x.spark, as_files(rows, x, "g3_in", parts=6), rows.schema, per_batch=FILES)
+    dice = F.pmod(F.xxhash64("service", "timestamp"), F.lit(64))
+    late = F.when(dice == 0, 1).when(dice == 1, adapter.FEATURES.lookback - 1).when(dice == 2, 40).otherwise(0)
+    rows = rows.withColumn("arrival", F.col("timestamp") + F.make_interval(hours=late))
+    again = rows.where(dice >= 56).withColumn("arrival", F.col("arrival") + F.make_interval(hours=F.lit(100)))
+    source = as_files(rows.unionByName(again), x, "g3_in", "arrival", parts=6)
+    stream = jobs.stream_table(x.spark, source, x.metrics.schema, per_batch=FILES)
     out = fresh_folder(x.spark, "g3_out")
-    jobs.features_in_batches(stream, fresh_folder(x.spark, "g3_tail"), out, fresh_folder(x.spark, "g3_ck"), adapter.FEATURES).awaitTermination()
-    return x.spark.read.parquet(out).select(*KEYS, *FEATURES)
+    jobs.features_in_batches(stream, fresh_folder(x.spark, "g3_store"), out, fresh_folder(x.spark, "g3_ck"), adapter.FEATURES).awaitTermination()
+    return jobs.streamed_features(x.spark, out).select(*KEYS, *FEATURES)
 
 
 def incident_events(x: Tables):

@@ -22,7 +22,9 @@ from emberwatch.operators.drift import dataset_drift, feature_drift
 from emberwatch.operators.features import build_features
 from emberwatch.operators.intervals import points_in_intervals
 from emberwatch.operators.risk import latest_by_service, score_risk
+from emberwatch.plans.durable import durable
 from emberwatch.sources.sinks import hour_partition
+from emberwatch.streaming.history import History
 
 LATENESS = "10 minutes"
 DRAIN = {"availableNow": True}  # trigger of a bounded run; a service passes e.g. {"processingTime": "30 seconds"}
@@ -71,41 +73,43 @@ def rolling_means(
 
 def features_in_batches(
     stream: DataFrame,
-    tail_path: str,
+    store: str,
     out_path: str,
     checkpoint: str,
     config: FeatureConfig = FeatureConfig(),
     trigger: dict = DRAIN,
 ):
-    """Row-frame features on a stream, equal to the batch result whatever gaps the series have.
+    """Row-frame features on a stream, equal to the batch result whatever gaps the series have and however late rows are.
 
-    The last ``lookback`` rows of every service are kept as a table, so a frame is complete however long a service was
-    silent. A micro-batch is computed together with that tail and only its own rows are written; a row whose key is in
-    the tail already is a duplicate. A late row gets its own features, but rows already written are not revised. Two
-    folders take turns, so a replayed epoch finds the tail it started from.
+    Rows go to a history (see ``history``), from which a micro-batch takes the ``lookback`` rows before its own, also those
+    of a late row, and the ``lookback`` rows after them, whose features a late row changes. New rows are written below
+    ``out_path/rows``, changed ones below ``out_path/revised``; ``streamed_features`` reads the newest of each. A row whose
+    key came before is a duplicate and is left out.
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        columns = batch.columns
-        fresh = batch.dropDuplicates(["timestamp", "service"])
-        if epoch > 0:
-            tail = spark.read.schema(batch.schema).parquet(f"{tail_path}/turn={(epoch - 1) % 2}")
-            fresh = fresh.join(tail.select("timestamp", "service"), ["timestamp", "service"], "left_anti").select(*columns)
-            both = tail.withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)))
-        else:
-            both = fresh.withColumn("_new", F.lit(True))
-        both = both.persist()
-        rows = build_features(both, replace(config, passthrough=(*config.passthrough, "_new")))
-        rows.where("_new").drop("_new").write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
-        newest = W.partitionBy("service").orderBy(F.col("timestamp").desc())
-        kept = both.withColumn("_nr", F.row_number().over(newest)).where(F.col("_nr") <= config.lookback)
-        kept.select(*columns).write.mode("overwrite").parquet(f"{tail_path}/turn={epoch % 2}")
-        both.unpersist()
+        history = History(batch.sparkSession, store, batch.schema)
+        known = history.fences(epoch)
+        own = history.append(batch, epoch, known)
+        rows = history.around(epoch, known, own, config.lookback)
+        changed = lambda window: [F.max("_new").over(window.rowsBetween(-config.lookback, 0)).alias("_changed")]
+        featured = build_features(rows, replace(config, passthrough=(*config.passthrough, "_new")), also=changed)
+        featured = durable(featured.where("_changed").drop("_changed"), "features")
+        for name, wanted in (("rows", "_new"), ("revised", "not _new")):
+            featured.where(wanted).drop("_new").write.mode("overwrite").parquet(f"{out_path}/{name}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def streamed_features(spark: SparkSession, out_path: str) -> DataFrame:
+    """Newest features of every key that ``features_in_batches`` wrote; a shuffle carries revised rows only."""
+    keys = ["service", "timestamp"]
+    rows, revised = (spark.read.parquet(f"{out_path}/{name}") for name in ("rows", "revised"))
+    newest = F.max_by(F.struct(*[c for c in revised.columns if c not in keys]), "epoch")
+    newest = revised.groupBy(*keys).agg(newest.alias("row")).select(*keys, "row.*").select(*rows.columns)
+    return rows.join(revised.select(*keys).distinct(), keys, "left_anti").select(*rows.columns).unionByName(newest).drop("epoch")
+
+
 INCIDENT_EVENTS = "service string, event string, start_ts timestamp, end_ts timestamp"
 INCIDENT_STATE = "open_start long, last_bad long, times array<long>, healthy array<boolean>"
 

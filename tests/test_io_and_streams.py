@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from emberwatch.plans.durable import durable, shared_folder
 from emberwatch.schemas import INCIDENT_TABLE, LOG_TABLE, METRIC_TABLE
 from emberwatch.sources.readers import load_dataset, load_raw, read_logs, read_metrics
 from emberwatch.sources.sinks import FeatureStore, Journal, append_incidents, append_logs, append_metrics
-from emberwatch.streaming import jobs
+from emberwatch.streaming import history, jobs
 from tests.frames import START, metrics, series_frame, tick
 
 
@@ -137,7 +139,7 @@ def test_stream_features_equal_batch(spark, tmp_path):
     stream = jobs.stream_table(spark, in_slices(df, f"{tmp_path}/in", parts=4), METRIC_TABLE, per_batch=1)
     jobs.features_in_batches(stream, f"{tmp_path}/hist", f"{tmp_path}/out", f"{tmp_path}/ck", FeatureConfig()).awaitTermination()
     batch = build_features(df)
-    got = spark.read.parquet(f"{tmp_path}/out").select(*batch.columns)
+    got = jobs.streamed_features(spark, f"{tmp_path}/out").select(*batch.columns)
     assert got.orderBy("service", "timestamp").collect() == batch.orderBy("service", "timestamp").collect()
 
 
@@ -150,8 +152,44 @@ def test_stream_features_after_a_silence_equal_batch(spark, tmp_path):
     stream = jobs.stream_table(spark, source, METRIC_TABLE, per_batch=1)
     jobs.features_in_batches(stream, f"{tmp_path}/tail", f"{tmp_path}/out", f"{tmp_path}/ck", FeatureConfig()).awaitTermination()
     batch = build_features(df)
-    got = spark.read.parquet(f"{tmp_path}/out").select(*batch.columns)
+    got = jobs.streamed_features(spark, f"{tmp_path}/out").select(*batch.columns)
+    assert got.orderBy("service", "timestamp").collect() == batch.orderBy("service", "timestamp").collect()
+
+
+def test_late_rows_of_streamed_features_equal_batch(spark, tmp_path, monkeypatch):
+    """Rows late by 1, lookback - 1, lookback and far more ticks, the first row last of all, and a duplicate of an old one."""
+    monkeypatch.setattr(history, "FOLD", 3)
+    back = FeatureConfig().lookback
+    df = metrics(spark, 2 * back + 150, ("a", "b"), lambda s, i: {"cpu_util_pct": float(i * 31 % 97), "latency_ms": float(i)})
+    i = ((F.unix_micros("timestamp") - F.unix_micros(F.lit(tick(0)))) / 30_000_000).cast("int")
+    late = {3: 140 + 2 * back, 20: 100, 70: 1, 75: back - 1, 90: back, 91: back, 110: 2 * back}
+    delay = F.coalesce(*[F.when((i == k) & (F.col("service") == "a"), F.lit(d)) for k, d in late.items()], F.lit(0))
+    order = df.withColumn("arrival", i + delay)
+    order = order.unionByName(order.where((i == 5) | (i == 60)).withColumn("arrival", i + 130))
+    stream = jobs.stream_table(spark, in_slices(order, f"{tmp_path}/in", "arrival", 9), METRIC_TABLE, per_batch=1)
+    jobs.features_in_batches(stream, f"{tmp_path}/store", f"{tmp_path}/out", f"{tmp_path}/ck", FeatureConfig()).awaitTermination()
+    batch = build_features(df)
+    got = jobs.streamed_features(spark, f"{tmp_path}/out").select(*batch.columns)
     assert got.orderBy("service", "timestamp").collect() == batch.orderBy("service", "timestamp").collect()
+    rows = spark.read.parquet(f"{tmp_path}/out/rows")
+    assert rows.count() == rows.select("service", "timestamp").distinct().count() == df.count()
+    assert 0 < spark.read.parquet(f"{tmp_path}/out/revised").count() < 10 * back
+
+
+def test_history_opens_only_the_hours_it_needs(spark, tmp_path):
+    """A late row before a silence of weeks reads the hours around it, not those between."""
+    schema = "service string, timestamp timestamp, v int"
+    at = lambda h: tick(0) + dt.timedelta(hours=h)
+    rows = [("a", at(h), h) for h in [*range(10), *range(900, 910)]] + [("b", at(h), h) for h in range(10)]
+    stored = history.History(spark, str(tmp_path), spark.createDataFrame([], schema).schema)
+    stored.append(spark.createDataFrame(rows, schema), 0, stored.fences(0))
+    known = stored.fences(1)
+    late = spark.createDataFrame([("a", at(904.5), -1), ("a", at(904), -2)], schema)
+    own = stored.append(late, 1, known)
+    assert [(r.service, r.rows) for r in own.collect()] == [("a", 1)]
+    got = stored.around(1, known, own, 2)
+    assert sorted(r.v for r in got.collect()) == [-1, *range(902, 907)] and [r.v for r in got.where("_new").collect()] == [-1]
+    assert {r.service for r in got.collect()} == {"a"}
 
 
 def test_stream_incidents_equal_batch(spark, tmp_path):
