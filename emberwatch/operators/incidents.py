@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,9 +53,10 @@ def duration_mismatch(schedule: DataFrame, incidents: DataFrame, interval_sec: i
     return paired.where(F.abs(F.col("actual_min") - F.col("duration_min")) > tolerance)
 
 
-def missing_types(expected: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Expected scenario types that never occurred."""
-    return expected.select("scenario_type").distinct().join(incidents, "scenario_type", "left_anti")
+def missing_types(expected: DataFrame, incidents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Expected scenario types that never occurred, or not in the same group of ``by``."""
+    keys = [*by, "scenario_type"]
+    return expected.select(*keys).distinct().join(incidents, keys, "left_anti")
 
 
 def overlapping(incidents: DataFrame, layout: SeriesLayout = SeriesLayout()) -> DataFrame:

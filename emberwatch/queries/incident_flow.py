@@ -65,13 +65,13 @@ def _(x: Tables):
     return described.where(F.size("top_anomalous_features") > 0).select(*KEYS, names.alias("features"))
 
 
-def change(metric: str) -> str:
+def change(place: int, metric: str) -> str:
     before = f'lag("{metric}", 19) OVER (PARTITION BY service ORDER BY ts)'
-    return f"""SELECT service, ts, '{metric}' AS metric, CASE WHEN {before} <> 0 THEN round_even(round(("{metric}" - {before}) / {before} * 100, 9), 1)
+    return f"""SELECT service, ts, {place} AS place, '{metric}' AS metric, CASE WHEN {before} <> 0 THEN round_even(round(("{metric}" - {before}) / {before} * 100, 9), 1)
     ELSE round_even(round("{metric}" - {before}, 9), 1) END AS delta FROM ds"""
 
 
-block("deltas", " UNION ALL ".join(change(m) for m in adapter.EVIDENCE.delta_metrics), "ds")
+block("deltas", " UNION ALL ".join(change(i, m) for i, m in enumerate(adapter.EVIDENCE.delta_metrics)), "ds")
 
 
 @query("w13_metric_deltas", with_blocks(f"SELECT {ids()}, metric, {r('delta', 'delta')} FROM deltas WHERE delta IS NOT NULL", "deltas"))
@@ -125,9 +125,20 @@ block(
 )
 
 
+# Of numbers with more than ten digits, which stem from division by almost nothing, the first ten are compared.
+LONG_NUMBER = r"(\d{10})\d+\.\d+"
+
+
 @query(
     "i1_evidence",
-    with_blocks(f"SELECT {ids()}, {r('risk_score', 'risk_score')}, risk_level, features, directions, messages FROM pack", "pack"),
+    with_blocks(
+        f"SELECT {ids()}, {r('risk_score', 'risk_score')}, risk_level, features, directions, messages, deltas, "
+        + ", ".join(r(c, c) for c in evd.COMPONENTS)
+        + " FROM pack LEFT JOIN (SELECT service, ts, list(regexp_replace(metric || '=' || printf('%.1f', delta + 0e0), '" + LONG_NUMBER + "', '\\1') ORDER BY place) AS deltas FROM deltas "
+        "WHERE delta IS NOT NULL GROUP BY service, ts) d USING (service, ts)",
+        "pack",
+        "deltas",
+    ),
 )
 def _(x: Tables):
     """All evidence packages, from the tables to logs."""
@@ -139,6 +150,8 @@ def _(x: Tables):
         F.transform("top_anomalous_features", lambda f: f["feature"]).alias("features"),
         F.transform("top_anomalous_features", lambda f: f["direction"]).alias("directions"),
         F.transform("correlated_logs", lambda e: e["message"]).alias("messages"),
+        F.when(F.size("metrics_deltas") > 0, F.transform(F.map_entries("metrics_deltas"), lambda e: F.regexp_replace(F.format_string("%s=%.1f", e["key"], e["value"]), LONG_NUMBER, "$1"))).alias("deltas"),
+        *[F.col("components")[c].alias(c) for c in evd.COMPONENTS],
     )
 
 
@@ -250,19 +263,35 @@ def _(x: Tables):
     return rca.classify(packages(x)).select(*KEYS, "probable_root_cause", "recommended_action")
 
 
+block(
+    "snip",
+    """SELECT service, ts, list_slice([s FOR s IN
+        ['component ' || c.k || ' = ' || printf('%.3f', c.v + 1e-9) FOR c IN [
+            {'k': 'failure_probability', 'v': failure_probability}, {'k': 'error_rate', 'v': error_rate}, {'k': 'latency_trend', 'v': latency_trend},
+            {'k': 'memory_growth', 'v': memory_growth}, {'k': 'anomaly_score', 'v': anomaly_score}]]
+        || coalesce(d.deltas, []) || coalesce(f.features, []) || ['log: ' || m FOR m IN list_slice(messages, 1, 4)] IF s IS NOT NULL], 1, 8) AS evidence
+    FROM pack LEFT JOIN (SELECT service, ts, list('metric ' || metric || ' delta = ' || printf('%.1f', delta + 0e0) ORDER BY place) AS deltas FROM (
+            SELECT *, row_number() OVER (PARTITION BY service, ts ORDER BY place) AS nr FROM deltas WHERE delta IS NOT NULL) WHERE nr <= 4 GROUP BY service, ts) d USING (service, ts)
+        LEFT JOIN (SELECT service, ts, list('feature ' || feature || ' z=' || printf('%.2f', round_even(round(z, 9), 2)) || CASE WHEN z > 0 THEN ' (up)' ELSE ' (down)' END ORDER BY nr) AS features
+            FROM top5 WHERE nr <= 4 GROUP BY service, ts) f USING (service, ts)""",
+    "pack",
+    "deltas",
+    "top5",
+)
+
+
 @query(
     "i6_evidence_snippets",
     with_blocks(
-        f"""SELECT {ids()}, list_slice([s FOR s IN [
-        'component failure_probability = ' || printf('%.3f', failure_probability + 1e-9), 'component error_rate = ' || printf('%.3f', error_rate + 1e-9),
-        'component latency_trend = ' || printf('%.3f', latency_trend + 1e-9), 'component memory_growth = ' || printf('%.3f', memory_growth + 1e-9),
-        'component anomaly_score = ' || printf('%.3f', anomaly_score + 1e-9)] IF s IS NOT NULL], 1, 5) AS components FROM pack""",
-        "pack",
+        f"SELECT {ids()}, CASE WHEN len(evidence) > 0 THEN list_transform(evidence, lambda s: regexp_replace(s, '{LONG_NUMBER}', '\\1')) "
+        "ELSE ['no structured evidence available'] END AS evidence FROM snip",
+        "snip",
     ),
 )
 def _(x: Tables):
-    """The leading component lines of the evidence snippets; the rest is covered by tests."""
-    return rca.classify(packages(x)).select(*KEYS, F.slice("evidence", 1, 5).alias("components"))
+    """All evidence snippets: components, metric changes, features and log lines."""
+    lines = F.transform("evidence", lambda s: F.regexp_replace(s, LONG_NUMBER, "$1"))
+    return rca.classify(packages(x)).select(*KEYS, lines.alias("evidence"))
 
 
 def answers(x: Tables):

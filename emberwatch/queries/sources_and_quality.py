@@ -163,18 +163,17 @@ def _(x: Tables):
 @query(
     "s13_journal_tail",
     with_blocks(
-        f"SELECT event_id, {t('ts')}, service, level FROM (SELECT * FROM log WHERE level = 'ERROR' ORDER BY ts DESC, event_id DESC LIMIT 50)",
+        f"SELECT event_id, {t('ts')}, service, level FROM (SELECT * FROM log ORDER BY ts DESC, event_id DESC LIMIT 50)",
         "log",
     ),
 )
 def _(x: Tables):
-    """All error lines appended to a JSON-lines journal in two batches; the newest fifty are read back."""
+    """All log lines appended to a JSON-lines journal in two batches; the newest fifty are read back."""
     schema = "timestamp timestamp, service string, level string, message string, event_id bigint"
     journal = Journal(x.spark, fresh_folder(x.spark, "s13"), schema)
-    errors = x.logs.where("level = 'ERROR'")
-    journal.append(errors.where("service < 'svc-2'"))
-    journal.append(errors.where("service >= 'svc-2'"))
-    return journal.tail(50, "timestamp", "event_id").select("event_id", "timestamp", "service", "level")
+    journal.append(x.logs.where("service < 'svc-2'"))
+    journal.append(x.logs.where("service >= 'svc-2'"))
+    return journal.tail(50, "event_id").select("event_id", "timestamp", "service", "level")
 
 
 @query(
@@ -459,15 +458,17 @@ def _(x: Tables):
 @query(
     "j9_missing_types",
     with_blocks(
-        "SELECT DISTINCT scenario_type FROM incidents WHERE scenario_type NOT IN (SELECT scenario_type FROM incidents WHERE start_ts >= (SELECT max(start_ts) FROM incidents) - INTERVAL 12 HOUR)",
+        "SELECT strftime(week, '%Y-%m-%d %H:%M:%S') AS week, scenario_type FROM ("
+        "SELECT date_trunc('week', start_ts) + INTERVAL 7 DAY AS week, scenario_type FROM incidents "
+        "EXCEPT SELECT date_trunc('week', start_ts), scenario_type FROM incidents)",
         "incidents",
     ),
 )
 def _(x: Tables):
-    """Types that occurred, but not in the twelve hours before the newest incident."""
-    newest = x.incidents.agg(F.max("start_ts").alias("newest"))
-    recent = x.incidents.join(F.broadcast(newest)).where("start_ts >= newest - INTERVAL 12 HOURS").drop("newest")
-    return windows.missing_types(x.incidents, recent)
+    """Types expected in each week, because they occurred in the week before, that did not occur in it."""
+    weekly = x.incidents.withColumn("week", F.date_trunc("week", "start_ts"))
+    expected = weekly.withColumn("week", F.col("week") + F.expr("INTERVAL 7 DAYS"))
+    return windows.missing_types(expected, weekly, ["week"])
 
 
 @query(

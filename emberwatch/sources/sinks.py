@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,25 +97,62 @@ class FeatureStore:
 
 
 class Journal:
-    """Append-only JSON-lines log: diagnoses, remediation, recovery, experiments."""
+    """Append-only JSON-lines log: diagnoses, remediation, recovery, experiments.
 
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path, schema
+    Every append is a segment of files, each of a narrow span of time, and an index row per file: its records with a time,
+    and the first and last of these times. The newest records are found through the index, so a tail opens the few files
+    that can hold them, however long the journal is. Records without time count as oldest.
+    """
 
-    def append(self, df: DataFrame) -> None:
-        df.write.mode("append").json(self.path)
+    def __init__(self, spark: SparkSession, path: str, schema, time: str = "timestamp"):
+        self.spark, self.path, self.schema, self.time = spark, path.rstrip("/"), schema, time
 
-    def read(self) -> DataFrame:
+    def append(self, df: DataFrame) -> None:
+        segment = uuid.uuid4().hex
+        df.repartitionByRange(F.col(self.time)).write.json(f"{self.path}/data/{segment}")
+        rows = self.spark.read.schema(self.schema).json(f"{self.path}/data/{segment}")
+        time = F.col(self.time)
+        files = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+            F.count(time).alias("records"), F.min(time).alias("first"), F.max(time).alias("last")
+        )
+        files.coalesce(1).write.parquet(f"{self.path}/index/{segment}")
+
+    def _read(self, read: Callable[[], DataFrame], schema) -> DataFrame:
         try:
-            return self.spark.read.schema(self.schema).json(self.path)
+            return read()
         except AnalysisException as error:
             if "PATH_NOT_FOUND" in str(error):
-                return self.spark.createDataFrame([], self.schema)
+                return self.spark.createDataFrame([], schema)
             raise
 
-    def tail(self, limit: int, time: str = "timestamp", *tie_breakers: str) -> DataFrame:
+    def read(self) -> DataFrame:
+        reader = self.spark.read.schema(self.schema).option("recursiveFileLookup", True)
+        return self._read(lambda: reader.json(f"{self.path}/data"), self.schema)
+
+    def index(self) -> DataFrame:
+        reader = self.spark.read.schema(JOURNAL_INDEX).option("recursiveFileLookup", True)
+        return self._read(lambda: reader.parquet(f"{self.path}/index"), JOURNAL_INDEX)
+
+    def since(self, first) -> DataFrame:
+        """Records of time ``first`` and later; files that end before it are not opened."""
+        files = [r["file"] for r in self.index().where(F.col("last") >= F.lit(first)).select("file").collect()]
+        rows = self.spark.read.schema(self.schema)
+        rows = rows.json(files) if files else self.spark.createDataFrame([], self.schema)
+        return rows.where(F.col(self.time) >= F.lit(first))
+
+    def tail(self, limit: int, *tie_breakers: str) -> DataFrame:
         """The newest ``limit`` records, oldest first. Sort-and-limit keeps ``limit`` rows per task."""
-        return newest(self.read(), limit, time, *tie_breakers)
+        # The newest files by their first record hold `limit` records or more, as none is empty: no older one can matter.
+        held = self.index().where("records > 0").orderBy(F.col("first").desc()).limit(max(limit, 0)).select("records", "first").collect()
+        total = 0
+        for row in held:
+            total += row["records"]
+            if total >= limit:
+                return newest(self.since(row["first"]), limit, self.time, *tie_breakers)
+        return newest(self.read(), limit, self.time, *tie_breakers)
+
+
+JOURNAL_INDEX = "file string, records long, first timestamp, last timestamp"
 
 
 def newest(df: DataFrame, limit: int, time: str = "timestamp", *tie_breakers: str) -> DataFrame:

@@ -84,6 +84,21 @@ def test_journal_tail(spark, tmp_path):
     for i in (2, 0, 1):
         journal.append(spark.createDataFrame([(tick(i), i)], journal.schema))
     assert [r["n"] for r in journal.tail(2).collect()] == [1, 2] and journal.tail(0).count() == 0
+    assert [r["n"] for r in journal.tail(9).collect()] == [0, 1, 2]
+
+
+def test_journal_tail_opens_few_files(spark, tmp_path):
+    """Of forty appends, some of which overlap in time or lack it, the newest records come from the files that can hold them."""
+    journal = Journal(spark, str(tmp_path / "j"), "timestamp timestamp, n int")
+    rows = [(tick(i), i) for i in range(200)]
+    for k in range(40):
+        journal.append(spark.createDataFrame(rows[5 * k : 5 * k + 5], journal.schema).coalesce(1))
+    journal.append(spark.createDataFrame([(tick(0), -1), (tick(199), 500), (None, -2)], journal.schema))
+    tail = journal.tail(20, "n")
+    assert [r["n"] for r in tail.collect()] == [*range(181, 200), 500]
+    assert len(tail.inputFiles()) <= 10 and len(journal.read().inputFiles()) > 40
+    assert [r["n"] for r in journal.tail(300, "n").collect()][:3] == [-2, -1, 0]
+    assert [r["n"] for r in journal.since(tick(198)).orderBy("n").collect()] == [198, 199, 500]
 
 
 def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
