@@ -1,7 +1,8 @@
 """Corpus pipeline over documents: quality classifier, quality rules, near-duplicates, packing.
 
 Each stage works on all rows that its predecessor kept, and all but the last return the columns of documents. Between
-stages the rows are written to the shared folder and read back.
+stages the rows are written to the shared folder and read back. Columns are found by their exact names and kept by their
+places, so further columns may have any names.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import WORD, read
+from emberwatch.llm.common import WORD, by_place, read
 from emberwatch.llm.near_dedup import survivors, text_sha
 from emberwatch.llm.packing import pack_documents
 from emberwatch.llm.quality_classifier import fit_quality, held_out, keep_scored
@@ -34,10 +35,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Groups are made of texts, so rows of one doc_id or of none stay apart unless their texts are near. ``survivors`` defines
     the doc_id and text that stay; of rows equal in both the first by the remaining columns, nulls first.
     """
+    rows, (doc_id, text) = by_place(docs, "doc_id", "text")
     chosen = survivors(docs).select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"))
-    same = docs["doc_id"].cast("long").eqNullSafe(chosen["__id"]) & (text_sha() == chosen["__sha"])
-    rows = docs.join(chosen, same).groupBy("__id", "__sha").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return rows.union(docs.where(~F.coalesce("text", F.lit("")).rlike(WORD)))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (text_sha(text) == F.col("__sha"))
+    kept = rows.join(chosen, same).groupBy("__id", "__sha").agg(F.min(F.struct(*rows.columns)).alias("row")).select("row.*")
+    return kept.union(rows.where(~F.coalesce(text, F.lit("")).rlike(WORD))).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,9 +18,18 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, found by their exact names; the first of several wins and other spellings do no harm."""
+    plain, found = by_place(df, *names)
+    return plain.select(*[F.col(c).alias(n) for c, n in zip(found, names)])
+
+
+def by_place(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns called c0, c1 and so on, and what the named ones are called there.
+
+    Names are matched exactly and the first of several wins, so names that differ in case only, or that an operator makes
+    itself, do no harm; ``toDF(*df.columns)`` gives the old names back.
+    """
     columns = df.columns
-    plain = df.toDF(*[f"c{i}" for i in range(len(columns))])
-    return plain.select(*[F.col(f"c{columns.index(n)}").alias(n) for n in names])
+    return df.toDF(*[f"c{i}" for i in range(len(columns))]), [f"c{columns.index(n)}" for n in names]
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:

@@ -5,7 +5,9 @@ than a sequence, goes to the driver. Lengths are placed longest first, each into
 are one pattern with a count, so the number of patterns is bounded by the sequence length too. Patterns are joined back to
 pieces by their rank within a length.
 
-Null and empty texts are the closing id alone. Repeated rows are packed each.
+Null and empty texts are the closing id alone. Repeated rows are packed each. Pieces of equal length are ordered by doc_id
+(missing first), start, checksum and tokens and spread by all four, so no doc_id, also none, is one task. Columns are found by
+their exact names; others are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.llm.common import pick
-from emberwatch.llm.slices import borders, numbered, slice_of
+from emberwatch.llm.slices import numbered, ranged
 from emberwatch.plans.durable import durable
 
 LENGTH = 1024
@@ -54,15 +56,33 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=4)
+def library(vocabulary: str):
+    """The file as a tokenizer of its own library, for texts that the faster one refuses."""
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(vocabulary)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
+def token_ids(text: str, vocabulary: str) -> list[int]:
+    """tiktoken's pattern gives up on runs of about a million blanks; its library's own does not."""
+    try:
+        return encoder(vocabulary).encode(text, allowed_special="all")
+    except ValueError:
+        return library(vocabulary).encode(text, add_special_tokens=False).ids
+
+
 def _pieces(vocabulary: str, length: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 source, starts, sizes, sums, totals, kept = [], [], [], [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
-                    ids = np.array([*encode(text or "", allowed_special="all"), CLOSING], np.uint32)
+                    ids = np.array([*token_ids(text or "", vocabulary), CLOSING], np.uint32)
                     for start in range(0, len(ids), length):
                         piece = ids[start : start + length]
                         source.append(i)
@@ -145,9 +165,10 @@ def _placer(packs: list[tuple[int, dict[int, int]]]):
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` per piece of ``docs(doc_id, text)``."""
     pieces = token_pieces(docs, vocabulary, length, keep_ids=False).drop("ids")
-    pieces = durable(pieces.withColumn("slice", slice_of(F.col("doc_id"), borders(docs))), "pack-pieces")
+    order = ["doc_id", "start", "ids_crc32", "doc_tokens"]
+    pieces = ranged(durable(pieces, "pack-ids"), order, "pack-pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `length` rows
-    ranked = numbered(pieces, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"], "rank")
+    ranked = numbered(pieces, "length", order, "rank")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return ranked.mapInArrow(_placer(patterns(histogram, length)), ", ".join(f"{n} long" for n in names))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import pick
+from emberwatch.llm.common import by_place, pick
 from emberwatch.llm.quality_rules import STOP_WORDS, SYMBOLS
 
 TRAINING_ROWS = 20_000  # labelled rows that a fit takes at most, chosen by the hash of doc_id
@@ -122,10 +122,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -
     return fit(x, rows["quality"].to_numpy(int)[order])
 
 
-def _scores(model: Discriminant):
+def _scores(model: Discriminant, text: str = "text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t) for t in batch.column("text").to_pylist()], float).reshape(-1, len(NAMES))
+            x = np.array([statistics(t) for t in batch.column(text).to_pylist()], float).reshape(-1, len(NAMES))
             columns = [batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(model.score(x), pa.float64())], [*batch.schema.names, "__score"]
@@ -150,7 +150,8 @@ def held_out():
 
 
 def keep_scored(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` with at least ``threshold``, with the columns of ``docs``."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __score double"
-    scored = docs.mapInArrow(_scores(model), schema)
-    return scored.where(F.col("__score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of ``docs`` with at least ``threshold``, with the columns of ``docs``, whatever else these are called."""
+    rows, (text,) = by_place(docs, "text")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", __score double"
+    scored = rows.mapInArrow(_scores(model, text), schema)
+    return scored.where(F.col("__score") >= threshold).select(*rows.columns).toDF(*docs.columns)

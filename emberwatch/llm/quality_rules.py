@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import GAP, pick
+from emberwatch.llm.common import GAP, by_place, pick
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -117,6 +117,7 @@ def quality_rules(docs: DataFrame, base: list[Rule] = BASE_RULES, rules: list[Ru
 
 
 def keep_good(docs: DataFrame, base: list[Rule] = BASE_RULES, rules: list[Rule] = RULES) -> DataFrame:
-    """Rows of ``docs`` that fail no rule, with the columns of ``docs``."""
-    out = measured(docs, "__rule_").where(F.size(failures([*base, *rules], "__rule_")) == 0)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of ``docs`` that fail no rule, with the columns of ``docs``, whatever else these are called."""
+    rows, (text,) = by_place(docs, "text")
+    out = measured(rows.withColumn("text", F.col(text)), "__rule_").where(F.size(failures([*base, *rules], "__rule_")) == 0)
+    return out.select(*rows.columns).toDF(*docs.columns)

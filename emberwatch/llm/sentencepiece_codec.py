@@ -8,7 +8,8 @@ A BPE model's pieces carry scores instead of merges: each way to make a piece of
 first. sentencepiece takes the leftmost of equal scores, so longer left sides, which only leftmost merges have, go first.
 A text is not cut into words first: merging it as a whole is faster here than looking its words up.
 
-Null and empty texts have no ids and decode to the empty text. Repeated rows are encoded each.
+Null and empty texts have no ids and decode to the empty text. Repeated rows are encoded each. Columns are found by their exact
+names; others are not looked at.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -127,7 +129,8 @@ def build(model: PieceModel):
         steps.append(normalizers.Prepend(MARK))
     out.normalizer = normalizers.Sequence(steps)
     out.add_tokens([AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER_DEFINED])
-    back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    # The library's own decoder of marks would drop all marks of the first token.
+    back = [decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " ")]
     out.decoder = decoders.Sequence(back + ([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []))
     return out
 
@@ -141,6 +144,14 @@ def codec(path: str, threads: int = 1):
         return build(parse_model(f.read()))
 
 
+@lru_cache(maxsize=4)
+def checker(path: str):
+    """The sentencepiece library's own codec."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -150,34 +161,14 @@ def default_model() -> str:
 GROUP = 64  # texts encoded together
 
 
-@lru_cache(maxsize=4)
-def piece_bytes(path: str) -> tuple[list[bytes], bool]:
-    """What each id stands for in UTF-8, and whether texts get a blank in front."""
-    with open(path, "rb") as f:
-        model = parse_model(f.read())
-    raw = lambda p, kind: bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode()
-    return [raw(p, kind) for p, _, kind in model.pieces], model.dummy_prefix
-
-
-def decode_ids(rows: list[list[int]], path: str, threads: int = 1) -> list[str]:
-    """Texts of ids. Bytes that are no UTF-8 are left to the tokenizer's decoder, which replaces them one by one."""
-    pieces, blank = piece_bytes(path)
-    out = []
-    for ids in rows:
-        raw = b"".join(map(pieces.__getitem__, ids))
-        try:
-            out.append((raw[1:] if blank and raw[:1] == b" " else raw).decode())
-        except UnicodeDecodeError:
-            out.append(codec(path, threads).decode(ids, skip_special_tokens=False))
-    return out
+def task_threads(df: DataFrame) -> int:
+    """Cores of a task."""
+    return int(df.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, threads: int, parity: bool):
     """Slices of the batches with their texts, the ids of each text, and whether sentencepiece gives the same ids."""
-    import sentencepiece
-
-    own = codec(path, threads)
-    other = sentencepiece.SentencePieceProcessor(model_file=path) if parity else None
+    own, other = codec(path, threads), checker(path) if parity else None
     for batch in batches:
         for lo in range(0, batch.num_rows, GROUP):
             part = batch.slice(lo, GROUP)
@@ -187,9 +178,12 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, threads: int, parity:
             yield part, texts, ids, same
 
 
-def encode(docs: DataFrame, model: str | None = None, threads: int = 1, parity: bool = True) -> DataFrame:
-    """``doc_id, ids, parity`` per row of ``docs(doc_id, text)``; parity: sentencepiece gives the same ids."""
-    path = model or default_model()
+def encode(docs: DataFrame, model: str | None = None, threads: int | None = None, parity: bool = True) -> DataFrame:
+    """``doc_id, ids, parity`` per row of ``docs(doc_id, text)``; parity: sentencepiece gives the same ids.
+
+    ``threads``: by default as many as a task has cores.
+    """
+    path, threads = model or default_model(), threads or task_threads(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, ids, same in _encoded(batches, path, threads, parity):
@@ -200,30 +194,36 @@ def encode(docs: DataFrame, model: str | None = None, threads: int = 1, parity:
     return rows.mapInArrow(run, "doc_id long, ids array<int>, parity boolean")
 
 
-def decode(encoded: DataFrame, model: str | None = None, threads: int = 1) -> DataFrame:
+def decode(encoded: DataFrame, model: str | None = None, threads: int | None = None) -> DataFrame:
     """``doc_id, text`` per row of ``encoded(doc_id, ids)``; null ids: empty text."""
-    path = model or default_model()
+    path, threads = model or default_model(), threads or task_threads(encoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, threads)
         for batch in batches:
-            texts = decode_ids([x or [] for x in batch.column("ids").to_pylist()], path, threads)
+            texts = own.decode_batch([x or [] for x in batch.column("ids").to_pylist()], skip_special_tokens=False)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     rows = pick(encoded, "doc_id", "ids").select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
     return rows.mapInArrow(run, "doc_id long, text string")
 
 
-def codec_digests(docs: DataFrame, model: str | None = None, threads: int = 1) -> DataFrame:
+def codec_digests(docs: DataFrame, model: str | None = None, threads: int | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_crc32, decoded_crc32, round_trip, parity`` per document, from one pass over the texts.
 
-    ids_crc32 covers the ids as little-endian 32-bit numbers; round_trip: decoding gives the text back.
+    ids_crc32 covers the ids as little-endian 32-bit numbers; round_trip: decoding gives the text back; parity: ids and
+    decoded text are those of sentencepiece.
     """
-    path = model or default_model()
+    path, threads = model or default_model(), threads or task_threads(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, other = codec(path, threads), checker(path)
         for part, texts, ids, same in _encoded(batches, path, threads, True):
-            back = decode_ids(ids, path, threads)
-            crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+            back = own.decode_batch(ids, skip_special_tokens=False)
+            same = [a and b == c for a, b, c in zip(same, back, other.decode(ids, num_threads=threads))]
+            flat = np.fromiter(chain.from_iterable(ids), "<u4", sum(map(len, ids))).tobytes()
+            ends = np.cumsum([0, *map(len, ids)]) * 4
+            crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends, ends[1:])]
             again = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in back]
             longs = [pa.array(x, pa.int64()) for x in (list(map(len, ids)), crc, again)]
             whole = pa.array([a == b for a, b in zip(texts, back)], pa.bool_())

@@ -2,7 +2,8 @@
 
 The shard of a row follows from its key and the number of shards alone; there is no ring table. Adding shards moves the
 necessary fraction only, and only into the new shards. Rows without key behave like rows with key -1; repeated keys share a
-shard. Slots number the rows of a shard from 0 by key (without key: last), checksum and size.
+shard. Slots number the rows of a shard from 0 by key (without key: first), checksum and size; rows are spread by all three, so
+no key, also none, is one task. Columns are found by their exact names; others are not looked at.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.llm.common import pick, unsigned
-from emberwatch.llm.slices import borders, numbered, slice_of
+from emberwatch.llm.slices import numbered, ranged
 from emberwatch.plans.durable import durable
 
 # Fixed values of the published algorithm: multiplier of its generator, and the bits it draws from.
@@ -54,8 +55,8 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         unsigned(F.col("text")).alias("text_crc32"),
         shard_of(F.col("doc_id"), shards).alias("shard"), shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"),
     )
-    rows = durable(rows.withColumn("slice", slice_of(F.col("doc_id"), borders(docs))), "shard-rows")
-    placed = numbered(rows, "shard", ["doc_id", "text_crc32", "size"], "slot")
+    order = ["doc_id", "text_crc32", "size"]
+    placed = numbered(ranged(durable(rows, "shard-sizes"), order, "shard-rows"), "shard", order, "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

@@ -23,7 +23,7 @@ def ranged(df: DataFrame, order: list[str], label: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """Adds ``name``: places from 0 without gaps within each ``group``, by slice and then by ``order``.
+    """Adds ``name``: places from 0 without gaps within each ``group``, by slice and then by ``order`` (nulls first).
 
     ``df`` has a column ``slice`` and is read twice, so it should be a written table. Rows are numbered within (group,
     slice); counts per slice give the offsets, so a group with most of the rows is spread over all slices.
@@ -31,6 +31,6 @@ def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFram
     counts = df.groupBy(group, "slice").agg(F.count("*").alias("rows"))
     before = Window.partitionBy(group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(group, "slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy(group, "slice").orderBy(*[F.col(c).asc_nulls_last() for c in order]))
+    within = F.row_number().over(Window.partitionBy(group, "slice").orderBy(*[F.col(c).asc_nulls_first() for c in order]))
     out = df.withColumn("within", within).join(offsets, [group, "slice"])
     return out.withColumn(name, F.col("before") + F.col("within") - 1).drop("within", "before")

@@ -153,7 +153,7 @@ shard{n} AS (SELECT doc_id, max(cur) AS s FROM jump{n} GROUP BY doc_id)"""
     return f"""
 WITH RECURSIVE {_CRC}, {jump(shards)}, {jump(shards + 1)}
 SELECT doc_id, size, text_crc32, 'key' AS law, a.s::INTEGER AS shard,
-    row_number() OVER (PARTITION BY a.s ORDER BY doc_id, text_crc32, size) - 1 AS slot, b.s::INTEGER AS grown_shard
+    row_number() OVER (PARTITION BY a.s ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, b.s::INTEGER AS grown_shard
 FROM crc JOIN shard{shards} a USING (doc_id) JOIN shard{shards + 1} b USING (doc_id)"""
 
 

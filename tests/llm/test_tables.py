@@ -18,7 +18,7 @@ from emberwatch.llm import sentencepiece_codec as sc
 from emberwatch.llm import sharding as sh
 from emberwatch.llm.common import pick
 from emberwatch.llm.license_templates import TEMPLATES
-from emberwatch.llm.slices import borders, numbered, slice_of
+from emberwatch.llm.slices import numbered, ranged
 
 
 def jump(key, shards):
@@ -63,13 +63,18 @@ def test_shards_are_written_as_folders(spark, docs, tmp_path):
 def test_numbers_within_groups(spark):
     rows = [(k % 3, None if k % 50 == 9 else k * k) for k in range(400)]
     df = spark.createDataFrame(rows, "g int, doc_id long")
-    cuts = borders(df)
-    out = numbered(df.withColumn("slice", slice_of(df["doc_id"], cuts)), "g", ["doc_id"], "n").collect()
+    out = numbered(ranged(df, ["doc_id"], "test"), "g", ["doc_id"], "n").collect()
     for g in range(3):
         mine = sorted((r.n, r.doc_id) for r in out if r.g == g)
         assert [n for n, _ in mine] == list(range(len(mine)))
         keys = [k for _, k in mine if k is not None]
-        assert keys == sorted(keys) and mine[len(keys) :] == [(n, None) for n in range(len(keys), len(mine))]
+        assert keys == sorted(keys) and [k for _, k in mine] == [None] * (len(mine) - len(keys)) + keys
+
+
+def test_slices_split_equal_keys_and_missing_ones(spark, many_slices):
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k,) for k in range(3000)]
+    sizes = ranged(spark.createDataFrame(rows, "doc_id long").repartition(5), ["doc_id"], "test").groupBy("slice").count().collect()
+    assert max(r["count"] for r in sizes) < 1000 and sum(r["count"] for r in sizes) == 3000
 
 
 # -- packing
@@ -107,6 +112,20 @@ def test_packing_is_lossless(docs, corpus, tokenizer):
     assert {r.sequence_id: len(r.ids) for r in whole} == {k: sum(n for _, n in v) for k, v in by.items()}
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a\t\t" * 400_000, "x" + " " * 1_200_000 + "y"])
+def test_long_runs_of_blanks_are_encoded(tokenizer, text):
+    assert pk.token_ids(text, pk.default_vocabulary()) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_long_runs_of_blanks(spark):
+    rows = [(1, " " * 1_000_000), (2, "short"), (3, "\n" * 1_000_000)]
+    placed = pk.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in placed} == {1, 2, 3}
+    for d in (1, 2, 3):
+        mine = [r for r in placed if r.doc_id == d]
+        assert sum(r.length for r in mine) == mine[0].doc_tokens
+
+
 def test_packing_without_rows(empty, nothing):
     assert pk.pack_documents(empty).collect() == []
     assert sorted((r.length, r.doc_tokens, r.offset) for r in pk.pack_documents(nothing).collect()) == [(1, 1, 0), (1, 1, 1)]
@@ -357,7 +376,7 @@ def test_bytes_that_are_no_text():
 
     other = sentencepiece.SentencePieceProcessor(model_file=sc.default_model())
     lone = [other.piece_to_id("<0xE2>"), other.piece_to_id("<0x82>"), other.piece_to_id("▁a")]
-    assert sc.decode_ids([lone, []], sc.default_model())[0].endswith(" a")
+    assert sc.codec(sc.default_model()).decode_batch([lone, []], skip_special_tokens=False)[0].endswith(" a")
 
 
 def test_bpe_parity_on_random_strings():
@@ -368,4 +387,4 @@ def test_bpe_parity_on_random_strings():
     for _ in range(500):
         t = "".join(rng.choice("ab the,.\n\t   éß漢😀▁<>/s1") for _ in range(rng.randrange(60)))
         assert own.encode(t, add_special_tokens=False).ids == other.encode(t), repr(t)
-        assert sc.decode_ids([other.encode(t)], sc.default_model()) == [other.decode(other.encode(t))]
+        assert own.decode(other.encode(t), skip_special_tokens=False) == other.decode(other.encode(t))
