@@ -14,7 +14,8 @@ one. Four registers make a band and fit one long. Two sets of similarity 0.8 mis
   are done; small ones give pairs, larger ones are compared in blocks by a matrix product that emits links only.
 
 Null text, empty text and text without words have an empty set and are linked with nothing. Repeated rows come back as
-often as they came. Rows without doc_id take part, but never name a component unless all its rows lack one.
+often as they came. Rows without doc_id take part, but never name a component unless all its rows lack one. Columns are found by
+their exact names; others are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.llm.common import byte_words, components, mix, pick
@@ -35,7 +36,9 @@ REGISTERS, PER_BAND, MANTISSA = 128, 4, 10
 EMPTY = 0xFFFF
 SMALL = 32  # members of a bucket up to which all pairs are looked at: at most 15.5 pairs a member
 BLOCK = 1024  # side of the blocks in which larger groups are compared
-RARE = 1000  # a shingle held by more than one in so many sets is sorted last; there are at most RARE x mean set size
+BLOCK_ITEMS = 1 << 22  # shingles of a block
+COLUMNS = 4096  # shingles multiplied at once
+HEAVY = 200_000  # shingles held by more than one in so many of all postings are sorted last, so there are at most as many
 MEMORY_WORDS = 500_000
 _EDGES = (np.arange(REGISTERS, dtype=np.uint64) << np.uint64(57)).astype(np.uint64)
 
@@ -195,8 +198,9 @@ def _prefixes(heavy: np.ndarray, holders: np.ndarray, percent: int):
                 found.append(items[np.lexsort((items, weight))[:first]])
             sizes = [len(x) for x in found]
             items = np.concatenate(found) if found else np.empty(0, np.int64)
-            columns = [pa.array(x) for x in (items, np.repeat(cids, sizes), np.repeat(comps, sizes))]
-            yield pa.RecordBatch.from_arrays(columns, ["item", "cid", "comp"])
+            whole = np.array([len(sets[k]) for k in range(batch.num_rows)], np.int64)
+            columns = [pa.array(x) for x in (items, *(np.repeat(c, sizes) for c in (cids, comps, whole)))]
+            yield pa.RecordBatch.from_arrays(columns, ["item", "cid", "comp", "n"])
 
     return run
 
@@ -213,11 +217,17 @@ def _block_links(percent: int):
             new = np.cumsum(shared) - 1
             keep = shared[column]
             at = np.repeat(np.arange(len(rows)), sizes)[keep]
-            dense = np.zeros((len(rows), int(shared.sum())), np.float32)
-            dense[at, new[column[keep]]] = 1
+            column = new[column[keep]]
+            order = np.argsort(column, kind="stable")
+            at, column = at[order], column[order]
             ids, comp, side = (rows[c].to_numpy() for c in ("cid", "comp", "side"))
             left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-            both = dense[left] @ dense[right].T
+            both = np.zeros((len(left), len(right)), np.float32)
+            for low in range(0, int(shared.sum()), COLUMNS):  # so that the memory does not grow with the sets
+                some = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+                dense = np.zeros((len(rows), COLUMNS), np.float32)
+                dense[at[some], column[some] - low] = 1
+                both += dense[left] @ dense[right].T
             union = sizes[left][:, None] + sizes[right][None, :] - both
             hit = (100 * both >= percent * union) & (comp[left][:, None] != comp[right][None, :])
             for i, j in zip(*np.nonzero(hit)):
@@ -236,25 +246,25 @@ def _hidden_links(hot: DataFrame, sets: DataFrame, classes: DataFrame, comps: Da
         "near-hot",
     )
     postings = held.select(F.explode("items").alias("item"))
-    many = held.agg(F.greatest(F.count("*") / RARE, F.lit(2)).alias("least"))
+    many = held.agg(F.greatest(F.sum("n") / HEAVY, F.lit(2)).alias("least"))
     heavy = (
         postings.groupBy("item").agg(F.count("*").alias("holders")).join(F.broadcast(many))
         .where(F.col("holders") >= F.col("least")).select("item", "holders")
     )
-    rows = sorted((r["item"], r["holders"]) for r in heavy.collect())  # at most RARE x mean set size
+    rows = sorted((r["item"], r["holders"]) for r in heavy.collect())  # at most HEAVY
     common = np.array(rows, np.int64).reshape(-1, 2)
-    prefix = held.mapInArrow(_prefixes(common[:, 0], common[:, 1], percent), "item long, cid long, comp long")
+    prefix = held.mapInArrow(_prefixes(common[:, 0], common[:, 1], percent), "item long, cid long, comp long, n long")
     prefix = durable(prefix, "near-prefix")
     open_items = (
         prefix.groupBy("item")
-        .agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        .agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         .where("low != high")
     )
-    open_items = durable(prefix.join(open_items.select("item", "members"), "item"), "near-open")
+    open_items = durable(prefix.join(open_items.select("item", "members", "weight"), "item"), "near-open")
     few = _pairs_within(open_items.where(F.col("members") <= SMALL), "item", "comp")
     small = verified(durable(likely_pairs(few, classes, percent), "near-pairs"), sets, percent)
     # Larger groups: every member goes to the blocks that meet its own; side -1 / 1 tells rows of the two blocks apart.
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("weight") / BLOCK_ITEMS)).cast("int")
     large = open_items.where(F.col("members") > SMALL).withColumn("of", blocks)
     large = large.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("of")).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
@@ -289,8 +299,8 @@ def _named_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame
 
     posts = classes.select("cid", F.posexplode("sketch").alias("band", "key")).where("key != -1")
     posts = posts.select("cid", F.xxhash64("band", "key").alias("bucket"))
-    posts = posts.withColumn("members", F.count("*").over(Window.partitionBy("bucket"))).where("members > 1")
-    posts = durable(posts, "near-buckets")
+    filled = posts.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    posts = durable(posts.join(durable(filled, "near-filled"), "bucket"), "near-buckets")
     large = posts.where(F.col("members") > SMALL)
     shared = posts.groupBy("cid").agg(F.sum("members").alias("shared"))
     pivots = large.join(shared, "cid").groupBy("bucket").agg(F.max_by("cid", F.struct("shared", "cid")).alias("pivot"))
