@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from emberwatch.functions.columns import as_long, ratio, total_of
 from emberwatch.operators.incidents import duration_mismatch, missing_types, overlapping
 from emberwatch.operators.intervals import points_in_intervals
+from emberwatch.plans.asof import counts_up_to
 from emberwatch.plans.blocks import AUTO, Layout, home_rows, series
 from emberwatch.plans.durable import durable
 from emberwatch.plans.ranking import exact_quantiles
@@ -144,14 +145,23 @@ def recovery_after(
 
 
 def correlated_incidents(logs: DataFrame, incidents: DataFrame, match_service: bool = True) -> DataFrame:
-    """Incidents with at least one WARNING or ERROR log inside ``[start, end]``."""
+    """Incidents with at least one WARNING or ERROR log inside ``[start, end]``; one without an end has none.
+
+    More serious instants up to the end than before the start prove a match, so no match is enumerated.
+    """
     keys = ["service"] if match_service else []
-    serious = logs.where(F.col("level").isin("WARNING", "ERROR")).select("timestamp", *keys)
-    # one row per instant is enough to prove a match, however many lines were written
-    serious = serious.distinct()
-    windows = incidents.select("incident_id", *keys, "start_ts", "end_ts")
-    hits = points_in_intervals(serious, windows, keys, "start_ts", "end_ts", closed=True)
-    return hits.select("incident_id").distinct()
+    serious = logs.where(F.col("level").isin("WARNING", "ERROR")).select(*keys, F.col("timestamp").alias("at")).distinct()
+    edges = F.explode(
+        F.array(
+            F.struct(F.col("start_ts").alias("at"), F.lit(False).alias("inclusive")),
+            F.struct(F.col("end_ts").alias("at"), F.lit(True).alias("inclusive")),
+        )
+    )
+    asked = incidents.select("incident_id", *keys, edges.alias("edge")).select("incident_id", *keys, "edge.*")
+    counts = counts_up_to(serious, asked, keys).groupBy("incident_id").agg(
+        F.max(F.when(F.col("inclusive"), F.col("n_before"))).alias("upto"), F.max(F.when(~F.col("inclusive"), F.col("n_before"))).alias("before")
+    )
+    return counts.where("upto > before").select("incident_id")
 
 
 def incident_types(incidents: DataFrame) -> DataFrame:

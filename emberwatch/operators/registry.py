@@ -96,20 +96,55 @@ def backfill(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     return assign_versions(fresh, existing)
 
 
+LANES = 8  # of 32 bits each, together a SHA-256 digest
+
+
+def row_text(df: DataFrame, digits: int = 6) -> Column:
+    """One text per row that no other row has: every value with its length in front, ``-`` for null.
+
+    Doubles are counted in units of ``digits`` decimals and times in microseconds, so that the text depends neither on how an
+    engine prints them nor on a session's zone.
+    """
+    parts = []
+    for field in df.schema.fields:
+        value = F.col(f"`{field.name}`")
+        if field.dataType.typeName() in ("double", "float"):
+            value = F.when(F.isnan(value), "nan").otherwise(F.round(value * F.lit(float(10**digits))).cast("decimal(38,0)").cast("string"))
+        elif field.dataType.typeName() == "timestamp":
+            value = F.unix_micros(value).cast("string")  # no zone of a session in it
+        else:
+            value = value.cast("string")
+        parts.append(F.coalesce(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("-")))
+    return F.concat(*parts)
+
+
 def content_hash(df: DataFrame) -> DataFrame:
-    """Order-insensitive fingerprint of a table: row count, xor and sum of row hashes."""
-    row = F.xxhash64(*df.columns)
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.bit_xor(row).alias("row_xor"),
-        F.sum(row.cast("decimal(38,0)")).cast("string").alias("row_sum"),
-    )
+    """Order-insensitive fingerprint of a table: row count, and the lane-wise sums of the rows' SHA-256 digests.
+
+    Sums are modulo 2^32, so fingerprints of parts add up to that of the whole and can be taken off again; see
+    ``merge_content``. A row that occurs twice counts twice.
+    """
+    digest = F.sha2(row_text(df).cast("binary"), 256)
+    lane = lambda k: F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")
+    sums = [(F.coalesce(F.sum(lane(k)), F.lit(0)) % F.lit(1 << 32)).cast("long").alias(f"lane_{k}") for k in range(LANES)]
+    return df.agg(F.count(F.lit(1)).alias("rows"), *sums)
+
+
+def merge_content(hashes: DataFrame) -> DataFrame:
+    """Fingerprint of the rows of all ``hashes``; those with a negative ``sign`` are taken off."""
+    sign = F.col("sign") if "sign" in hashes.columns else F.lit(1)
+    sums = [F.pmod(F.sum(F.col(f"lane_{k}") * sign), F.lit(1 << 32)).alias(f"lane_{k}") for k in range(LANES)]
+    return hashes.agg(F.sum(F.col("rows") * sign).alias("rows"), *sums)
 
 
 def dataset_version(df: DataFrame, facts: Sequence[Column] = ()) -> DataFrame:
     """``ds-`` and 12 hex characters over the content hash and further facts such as split sizes."""
-    parts = [F.col("rows"), F.col("row_xor"), F.col("row_sum"), *facts]
-    return content_hash(df).select(F.concat(F.lit("ds-"), stable_id(*parts)).alias("dataset_version"), "rows")
+    return version_of(content_hash(df), facts)
+
+
+def version_of(content: DataFrame, facts: Sequence[Column] = ()) -> DataFrame:
+    parts = [F.col("rows"), *[F.col(f"lane_{k}") for k in range(LANES)], *facts]
+    return content.select(F.concat(F.lit("ds-"), stable_id(*parts)).alias("dataset_version"), "rows")
 
 
 def table_metadata(

@@ -10,10 +10,10 @@ from emberwatch.functions.columns import iso, parse_time
 from emberwatch.operators import incidents as windows
 from emberwatch.operators.features import build_features, growth_rate, rolling_mean
 from emberwatch.operators.labels import build_labels, join_labels
-from emberwatch.operators.registry import dataset_version, table_metadata
+from emberwatch.operators.registry import LANES, dataset_version, table_metadata
 from emberwatch.operators.splits import split_borders, split_report, time_split
 from emberwatch.plans.blocks import home_rows, series
-from emberwatch.queries.base import EVENT_LAYOUT, FEATURES, GRID, LABEL, Tables, query
+from emberwatch.queries.base import EVENT_LAYOUT, FEATURES, GRID, LABEL, Tables, comparable, query
 from emberwatch.queries.sqlbase import r, t, with_blocks
 from emberwatch.schemas import METRIC_NAMES
 from emberwatch.sources import adapter
@@ -305,10 +305,27 @@ def _(x: Tables):
     )
 
 
-@query("i21_dataset_version")
+def content_sql(texts: list[str], source: str) -> str:
+    """Version of the rows of ``source``, whose columns are given as texts."""
+    row = " || ".join(f"coalesce(octet_length(encode({x}))::VARCHAR || ':' || {x}, '-')" for x in texts)
+    lanes = [f"sum(('0x' || substr(d, {1 + 8 * k}, 8))::BIGINT)::HUGEINT % 4294967296" for k in range(LANES)]
+    parts = " || '|' || ".join(f"({x})::VARCHAR" for x in ["count(*)", *lanes])
+    return f"SELECT 'ds-' || substr(sha256({parts}), 1, 12) AS dataset_version, count(*) AS rows FROM (SELECT sha256({row}) AS d FROM {source})"
+
+
+@query(
+    "i21_dataset_version",
+    with_blocks(
+        content_sql(
+            ["epoch_us(ts)::VARCHAR", "service", "split", f"{LABEL}::VARCHAR", *[f"(round(({r(f'"{c}"')}) * 1e6))::HUGEINT::VARCHAR" for c in FEATURES]],
+            "split",
+        ),
+        "split",
+    ),
+)
 def _(x: Tables):
-    """Fingerprint of the split dataset; row hashes differ between engines, so there is no SQL for it."""
-    return dataset_version(x.split)
+    """Fingerprint of the split dataset."""
+    return dataset_version(x.split.select(*KEYS, "split", LABEL, *[comparable(F.col(c)).alias(c) for c in FEATURES]))
 
 
 @query(

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from emberwatch.config import DriftConfig
 from emberwatch.operators import drift as dr
 from emberwatch.operators import evaluation as ev
+from emberwatch.operators.quality import correlated_incidents
+from emberwatch.operators.registry import content_hash, dataset_version, merge_content
+from emberwatch.plans.asof import counts_up_to
 from emberwatch.plans.ranking import exact_quantiles, numbered, percentile_ranks, running_totals
+from tests.frames import tick
 
 FEW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 VALUES = st.lists(st.integers(-5, 5).map(lambda v: v / 2), min_size=3, max_size=40)
@@ -224,3 +228,46 @@ def test_level_distribution_lists_every_level(spark):
 def test_class_weights(spark):
     row = ev.class_weights(spark.createDataFrame([(0,)] * 6 + [(1,)] * 2, "y int"), "y").first()
     assert (row["positive_weight"], row["balanced_0"], row["balanced_1"]) == (3.0, 8 / 12, 2.0)
+
+
+def test_counts_up_to_equal_counting(spark, many_slices):
+    rng = np.random.default_rng(3)
+    keys, times = ["a", "b", None], [tick(int(k)) for k in rng.integers(0, 40, 120)]
+    points = [(keys[k % 3 if k % 7 else 0], times[k]) for k in range(120)]
+    asked = [(k, keys[k % 2], times[(k * 7) % 120] if k % 9 else None, bool(k % 4 < 2)) for k in range(100)] + [(100, "c", tick(3), True)]
+    p = spark.createDataFrame(points, "service string, at timestamp")
+    q = spark.createDataFrame(asked, "id int, service string, at timestamp, inclusive boolean")
+    for by in (["service"], []):
+        got = {r.id: r.n_before for r in counts_up_to(p, q, by).collect()}
+        same = lambda a, b: a == b or not by
+        want = {
+            i: sum(same(s, service) and (t < at or (t == at and upto)) for s, t in points) for i, service, at, upto in asked if at is not None
+        }
+        assert got == want
+    assert counts_up_to(p.limit(0), q, ["service"]).agg({"n_before": "max"}).first()[0] == 0
+    assert counts_up_to(p, q.limit(0), []).count() == 0
+
+
+def test_log_correlation_counts_borders_and_open_incidents(spark):
+    logs = spark.createDataFrame([(tick(5), "a", "ERROR"), (tick(9), "a", "INFO"), (tick(20), "b", "WARNING")], "timestamp timestamp, service string, level string")
+    rows = [(1, "a", tick(5), tick(6)), (2, "a", tick(3), tick(5)), (3, "a", tick(6), tick(30)), (4, "b", tick(0), None), (5, "b", tick(6), tick(30))]
+    incidents = spark.createDataFrame(rows, "incident_id int, service string, start_ts timestamp, end_ts timestamp")
+    ids = lambda df: sorted(r.incident_id for r in df.collect())
+    assert ids(correlated_incidents(logs, incidents)) == [1, 2, 5] and ids(correlated_incidents(logs, incidents, False)) == [1, 2, 3, 5]
+    plan = correlated_incidents(logs, incidents, False)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_content_hash_adds_up(spark):
+    rows = [("a", k * 0.1, None if k % 3 else k, tick(k)) for k in range(50)] + [("b", float("nan"), 1, None), (None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "s string, v double, n int, t timestamp")
+    whole = content_hash(df).first()
+    assert content_hash(df.repartition(7)).first() == whole and whole.rows == 54
+    parts = content_hash(df.where("n is null")).unionByName(content_hash(df.where("n is not null")))
+    assert merge_content(parts).first() == whole
+    signed = content_hash(df).withColumn("sign", F.lit(1)).unionByName(content_hash(df.where("s = 'b'")).withColumn("sign", F.lit(-1)))
+    assert merge_content(signed).first() == content_hash(df.where("s is distinct from 'b'")).first()
+    assert content_hash(df.dropDuplicates()).first() != whole and content_hash(df.limit(0)).first().rows == 0
+    swapped = spark.createDataFrame([("ab", "c"), ("a", "bc")], "x string, y string")
+    one, two = (dataset_version(swapped.where(w)).first()[0] for w in ("x = 'ab'", "x = 'a'"))
+    assert one != two
