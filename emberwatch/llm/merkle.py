@@ -222,7 +222,8 @@ def build_manifest(docs: DataFrame, tampered: Column | None = None, levels: int
 
     A task derives ``levels`` levels of a tree from a block of 3 ** levels nodes.
     """
-    rows = durable(numbered_leaves(leaves(docs, tampered), ["doc_id", "leaf", "other"]), "merkle-placed")
+    digests = durable(leaves(docs, tampered), "merkle-digests")  # texts are read once
+    rows = durable(numbered_leaves(digests, ["doc_id", "leaf", "other"]), "merkle-placed")
     most = rows.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     nodes = build_trees(rows.select("tree", "i", "n", F.col("leaf").alias("digest")), most, levels)
     places = nodes.where("n = 1").select(F.lit("").alias("tree"), F.col("tree").alias("of"), "digest")
