@@ -238,4 +238,5 @@ def prefix_trie(turns: DataFrame, convs: DataFrame, height: int = HEIGHT) -> Dat
 
 def conversation_trie(turns: DataFrame, height: int = HEIGHT) -> DataFrame:
     """Trie of the rebuilt conversations of ``turns(conv_id, turn, role, text)``."""
-    return prefix_trie(*rebuilt_turns(turn_digests(turns)), height)
+    digests = durable(turn_digests(turns), "trie-digests")  # texts are read once
+    return prefix_trie(*rebuilt_turns(digests), height)
