@@ -44,9 +44,12 @@ def tile_schedule(schedule: DataFrame, repeats: int, period_min: float) -> DataF
 
 
 def duration_mismatch(schedule: DataFrame, incidents: DataFrame, interval_sec: int) -> DataFrame:
-    """Incidents whose length differs from the schedule of their service and type by more than six intervals."""
+    """Incidents whose length differs from the schedule of their service and type by more than six intervals.
+
+    An incident meets each length that is scheduled for them once, however often it is.
+    """
     actual = (F.unix_micros("end_ts") - F.unix_micros("start_ts")) / F.lit(60_000_000.0)
-    paired = schedule.select("service", "scenario_type", "duration_min").join(
+    paired = schedule.select("service", "scenario_type", "duration_min").distinct().join(
         incidents.withColumn("actual_min", actual), ["service", "scenario_type"]
     )
     tolerance = 6 * interval_sec / 60.0

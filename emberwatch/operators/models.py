@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberwatch.functions.columns import null_if_nan
 from emberwatch.operators.boosting import NODES, SPACE, BoostedTrees, fit_boosted, search
 from emberwatch.operators.evaluation import best_threshold, class_weights, evaluate_at
 from emberwatch.operators.sequences import build_sequences, with_vector
@@ -38,11 +39,15 @@ def weighted(df: DataFrame, label: str, balanced: bool) -> tuple[DataFrame, dict
     return df.withColumn("weight", F.when(F.col(label) == 1, float(positive)).otherwise(float(negative))), w
 
 
-def classifier(name: str, label: str, rows: int, params: dict | None = None):
-    """Estimator by name; ``rows`` scales the regularisation of the logistic model to C = 1."""
+def total_weight(rows: DataFrame) -> float:
+    return rows.agg(F.sum("weight")).first()[0] or 1.0
+
+
+def classifier(name: str, label: str, total: float, params: dict | None = None):
+    """Estimator by name; the ``total`` weight of the rows scales the regularisation of the logistic model to C = 1."""
     common = {"featuresCol": "features", "labelCol": label, "weightCol": "weight"}
     if name == "logistic_regression":
-        settings = {"regParam": 1.0 / max(rows, 1), "maxIter": 1000, "standardization": False, **(params or {})}
+        settings = {"regParam": 1.0 / max(total, 1.0), "maxIter": 1000, "standardization": False, **(params or {})}
         return LogisticRegression(**common, **settings)
     if name == "random_forest":
         settings = {"numTrees": 200, "maxDepth": 12, "minInstancesPerNode": 4, "seed": SEED, **(params or {})}
@@ -75,13 +80,23 @@ def train(
         return with_threshold(name, fit_boosted(train_rows, features, label, KEYS, params), val_rows, features, label)
     if name == "gradient_boosting":
         name_checkpoints(train_rows.sparkSession)
-    rows, w = weighted(train_rows, label, balanced=name != "gradient_boosting")
-    assembler = VectorAssembler(inputCols=list(features), outputCol="raw", handleInvalid="keep")
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    model = Pipeline(stages=[assembler, scaler, classifier(name, label, w["rows"], params)]).fit(rows)
+    rows, _ = weighted(train_rows, label, balanced=name != "gradient_boosting")
+    stages = [*filled(rows, features), StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)]
+    model = Pipeline(stages=[*stages, classifier(name, label, total_weight(rows), params)]).fit(rows)
     return with_threshold(name, model, val_rows, features, label)
 
 
+def filled(rows: DataFrame, features: Sequence[str]) -> list:
+    """Stages that put the features into the vector ``raw``, missing ones (null or NaN) as the mean of the training rows, or
+    as 0 where no training row has a value."""
+    known = rows.agg(*[F.count(null_if_nan(F.col(f).cast("double"))).alias(f) for f in features]).first()
+    some = [f for f in features if known[f]]
+    imputer = Imputer(inputCols=some, outputCols=[f"{f}__filled" for f in some], strategy="mean")
+    none = [f"CAST(0 AS DOUBLE) AS {f}__filled" for f in features if not known[f]]
+    zeros = [SQLTransformer(statement=f"SELECT *, {', '.join(none)} FROM __THIS__")] if none else []
+    return [*([imputer] if some else []), *zeros, VectorAssembler(inputCols=[f"{f}__filled" for f in features], outputCol="raw")]
+
+
 def with_threshold(name: str, model, val_rows: DataFrame, features: Sequence[str], label: str) -> Trained:
     threshold = best_threshold(predict(model, val_rows), label, "probability").first()["threshold"]
     return Trained(name, model, list(features), float(threshold))
@@ -162,10 +177,10 @@ def train_sequences(
     """Classifier over flattened windows of the last ``seq_len`` rows; the recurrent net's place is taken by a linear
     model on the same windows."""
     windows = with_vector(build_sequences(train_rows, features, label, seq_len), name="raw")
-    rows, w = weighted(windows, label, balanced=False)
+    rows, _ = weighted(windows, label, balanced=False)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
     settings = {"maxIter": 100, **(params or {})}
-    model = Pipeline(stages=[scaler, classifier("logistic_regression", label, w["rows"], settings)]).fit(rows)
+    model = Pipeline(stages=[scaler, classifier("logistic_regression", label, total_weight(rows), settings)]).fit(rows)
     val = with_vector(build_sequences(val_rows, features, label, seq_len), name="raw")
     threshold = best_threshold(predict(model, val), label, "probability").first()["threshold"]
     return Trained("sequence_classifier", model, list(features), float(threshold))

@@ -932,3 +932,32 @@ def _(x: Tables):
     """Events arriving k minutes after they happened, counted as late from 50 minutes on."""
     arrived = x.events.withColumn("arrival", F.col("timestamp") + F.make_interval(mins=F.col("k")))
     return jobs.late_rows(arrived, 50 * 60 - 1)
+
+
+LATE_SLICES = 8
+
+
+@query(
+    "g8_stream_lateness",
+    with_blocks(
+        f"""SELECT service, count(*) AS rows, count(*) FILTER (WHERE late) AS late, count(*) FILTER (WHERE NOT late) AS kept FROM (
+            SELECT e.service, coalesce(epoch_us(e.ts) <= w.latest - 20 * 3600000000, false) AS late FROM (
+                SELECT *, least(((epoch_us(ts) + k * 3600000000 - lo) * {LATE_SLICES}) // (hi - lo), {LATE_SLICES} - 1) AS batch FROM ev,
+                (SELECT min(epoch_us(ts) + k * 3600000000) AS lo, max(epoch_us(ts) + k * 3600000000) AS hi FROM ev)) e
+            JOIN (SELECT batch, max(latest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM (
+                SELECT least(((epoch_us(ts) + k * 3600000000 - lo) * {LATE_SLICES}) // (hi - lo), {LATE_SLICES} - 1) AS batch, max(epoch_us(ts)) AS latest FROM ev,
+                (SELECT min(epoch_us(ts) + k * 3600000000) AS lo, max(epoch_us(ts) + k * 3600000000) AS hi FROM ev) GROUP BY 1)) w USING (batch))
+        GROUP BY service""",
+        "ev",
+    ),
+)
+def _(x: Tables):
+    """Events arriving k hours after they happened, in batches of arrival; rows the stream keeps and rows it takes out."""
+    rows = x.events.withColumn("arrival", F.col("timestamp") + F.make_interval(hours=F.col("k"))).select(*KEYS, "arrival")
+    stream = jobs.stream_table(x.spark, as_files(rows, x, "g8_in", "arrival", LATE_SLICES), rows.schema, per_batch=FILES)
+    out, late = fresh_folder(x.spark, "g8_out"), fresh_folder(x.spark, "g8_late")
+    jobs.split_late(stream, fresh_folder(x.spark, "g8_store"), out, late, fresh_folder(x.spark, "g8_ck"), 20 * 3600).awaitTermination()
+    read = lambda path, name: x.spark.read.schema(rows.schema).parquet(path).groupBy("service").agg(F.count(F.lit(1)).alias(name))
+    both = read(out, "kept").join(read(late, "late"), "service", "full")
+    kept, gone = (F.coalesce(c, F.lit(0)) for c in ("kept", "late"))
+    return both.select("service", (kept + gone).alias("rows"), gone.alias("late"), kept.alias("kept"))

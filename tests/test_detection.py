@@ -167,6 +167,16 @@ def test_classifiers_learn_and_persist(spark, tmp_path, name, params):
     assert models.evaluate(again, df, "y").first() == metrics
 
 
+def test_missing_features_take_the_training_mean(spark):
+    """A missing value spoils neither the fit nor the scores of other rows."""
+    df = learnable(spark).withColumn("f2", F.when(F.col("f2") > 12, None).when(F.col("f2") > 11.5, float("nan")).otherwise(F.col("f2")))
+    df = df.withColumn("f3", F.lit(None).cast("double"))
+    trained = models.train(df, df, FEATURES, "y", "logistic_regression")
+    assert models.evaluate(trained, df, "y").first()["roc_auc"] > 0.9
+    scores = [r.probability for r in models.predict(trained.model, df).collect()]
+    assert len(scores) == df.count() and all(0 <= s <= 1 for s in scores)
+
+
 def test_folds_are_stratified(spark):
     folds = models.stratified_folds(learnable(spark), "y", 3, ["service", "timestamp"])
     rates = [r["r"] for r in folds.groupBy("fold").agg(F.avg("y").alias("r")).collect()]

@@ -225,6 +225,30 @@ def test_stream_incidents_equal_batch(spark, tmp_path):
     assert sorted(r.start_ts for r in events.where("event = 'start'").collect()) == sorted(r.start_ts for r in batch.collect())
 
 
+def test_late_rows_are_taken_out_and_counted(spark, tmp_path):
+    """Kept and late rows are all rows; late are those at or below the watermark of the batches before."""
+    rows = [(tick(i), "a", i) for i in range(90)] + [(None, "b", 90)]
+    late = {5: 31, 6: 70, 40: 45, 41: 80, 50: 52}  # row: after which row it arrives
+    df = spark.createDataFrame(rows, "timestamp timestamp, service string, n int")
+    arrival = F.coalesce(*[F.when(F.col("n") == k, F.lit(v + 0.5)) for k, v in late.items()], F.col("n") * 1.0)
+    source = in_slices(df.withColumn("arrival", arrival), f"{tmp_path}/in", "arrival", 9)
+    stream = jobs.stream_table(spark, source, df.schema, per_batch=1)
+    jobs.split_late(stream, f"{tmp_path}/s", f"{tmp_path}/out", f"{tmp_path}/late", f"{tmp_path}/ck", 10 * 30).awaitTermination()
+    taken = sorted(r.n for r in spark.read.schema(df.schema).parquet(f"{tmp_path}/late").collect())
+    kept = sorted(r.n for r in spark.read.schema(df.schema).parquet(f"{tmp_path}/out").collect())
+    order, want, latest = sorted(range(91), key=lambda n: late.get(n, n - 0.5)), [], None
+    for k in range(0, 91, 11):
+        batch = order[k : k + 11]
+        want += [n for n in batch if n == 90 or (latest is not None and n <= latest - 10)]
+        latest = max([latest or 0, *[n for n in batch if n < 90]])
+    assert taken == sorted(want) and len(taken) > 3 and sorted(taken + kept) == list(range(91))
+    again = jobs.stream_table(spark, f"{tmp_path}/out", df.schema, per_batch=1)
+    query = jobs.deduplicate(again.where("timestamp is not null"), "5 minutes").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/ck2")
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"]) == 0
+
+
 def test_rolling_means_on_event_time(spark, tmp_path):
     df = metrics(spark, 60, ("a",), lambda s, i: {"latency_ms": float(i)})
     stream = jobs.stream_table(spark, in_slices(df, f"{tmp_path}/in"), METRIC_TABLE, per_batch=1)
