@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from math import log1p
 
@@ -115,6 +115,7 @@ def blocks(page: str) -> tuple[list[str], list[float], list[int]]:
     costs: list[float] = []
     parents: list[int] = []
     stack: list[tuple[str, float, bool, int]] = [("", 0.0, False, 0)]  # tag, cost so far, inside article, number
+    opened: Counter[str] = Counter()  # elements of the stack by tag, so that an end tag without partner costs no search
     parts: list[str] = []
     words_in_links = links_open = number = 0
     hidden = ""
@@ -159,11 +160,12 @@ def blocks(page: str) -> tuple[list[str], list[float], list[int]]:
             if tag in INLINE:
                 continue
             flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    links_open = 0
-                    break
+            if opened[tag]:
+                last = ""
+                while last != tag:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                links_open = 0
             continue
         attrs = token["attrs"] or ""
         if tag in VOID:
@@ -181,11 +183,12 @@ def blocks(page: str) -> tuple[list[str], list[float], list[int]]:
         links_open = 0
         # A paragraph ends where a block begins, an item where the next begins.
         if stack[-1][0] == "p" or (stack[-1][0] == tag and tag in CLOSES_ITSELF):
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         _, cost, inside, _ = stack[-1]
         number += 1
         cost = min(cost + _element_cost(tag, attrs, inside), MOST_ABOVE)
         stack.append((tag, cost, inside or tag in ("article", "main"), number))
+        opened[tag] += 1
     flush()
     return texts, costs, parents
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -246,6 +247,14 @@ def test_raw_text_ends_at_its_own_end_tag(head):
 def test_hostile_pages_end_soon():
     for page in ('<a href="' * 20_000, "<a " * 50_000, "<div>" * 20_000 + "x", "<b>" * 20_000 + "x<hr>" * 2_000, "<p>one two" * 20_000):
         he.main_text(page)
+    began = time.process_time()
+    he.main_text("<div>" * 20_000 + "x" + "</b></p>" * 20_000)
+    assert time.process_time() - began < 5
+
+
+def test_end_tags_without_partner_close_nothing():
+    texts, _, parents = he.blocks("<div><p>one two</section>three four</li></p></div><p>five</p>")
+    assert texts == ["one two", "three four", "five"] and parents[0] == parents[1] != parents[2]
 
 
 def test_extraction_rows(spark):
