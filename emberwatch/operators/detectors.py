@@ -20,9 +20,11 @@ from emberwatch.functions.columns import as_long, greatest_of, total_of
 from emberwatch.operators.evaluation import binary_metrics, decide, level_distribution, mean_lead_time, ranking_metrics
 from emberwatch.plans.blocks import AUTO, Layout, home_rows, series
 from emberwatch.plans.durable import durable
-from emberwatch.plans.ranking import exact_quantiles, percentile_ranks, weighted_quantiles
+from emberwatch.plans.quantiles import column_quantiles, merged, quantiles, sketches
+from emberwatch.plans.ranking import percentile_ranks
 
 STATISTICAL = ("zscore", "iqr", "rolling_iqr")
+QUARTILES = {"q1": 0.25, "q3": 0.75}
 
 
 def normal_rows(df: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -55,10 +57,7 @@ def _widen(quartiles: DataFrame, features: Sequence[str], keys: Sequence[str]) -
 
 def quartiles(train: DataFrame, features: Sequence[str], keys: Sequence[str] = ("service",)) -> DataFrame:
     """Exact quartiles per (keys, feature), long form."""
-    rows = as_long(train, keys, features, "feature", "value") if keys else train.unpivot(
-        [], list(features), "feature", "value"
-    )
-    return exact_quantiles(rows, [*keys, "feature"], "value", {"q1": 0.25, "q3": 0.75})
+    return quantiles(train, keys, features, QUARTILES)
 
 
 @dataclass
@@ -80,14 +79,11 @@ def fit_zscore(train: DataFrame, features: Sequence[str], eps: float = 1e-9) ->
 
 
 def fit_iqr(train: DataFrame, features: Sequence[str]) -> Fitted:
-    """Quartiles per service and over all services, both from the counts of equal values, which are made once."""
-    rows = as_long(train, ["service"], features, "feature", "value")
-    clean = rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = durable(clean.groupBy("service", "feature", "value").agg(F.count(F.lit(1)).alias("n")), "iqr-counts")
-    probs = {"q1": 0.25, "q3": 0.75}
-    fitted = durable(_widen(weighted_quantiles(counts, ["service", "feature"], "value", "n", probs), features, ["service"]), "iqr")
-    overall = _widen(weighted_quantiles(counts, ["feature"], "value", "n", probs), features, []).first().asDict()
-    return Fitted(fitted, overall)
+    """Quartiles per service and over all services, both bracketed by the sketches of the services, which are made once."""
+    sketched = durable(sketches(train, ["service"], features), "iqr-sketches")
+    by_service = quantiles(train, ["service"], features, QUARTILES, sketched)
+    everywhere = quantiles(train, [], features, QUARTILES, merged(sketched, features))
+    return Fitted(durable(_widen(by_service, features, ["service"]), "iqr"), _widen(everywhere, features, []).first().asDict())
 
 
 def zscore_column(features: Sequence[str]) -> Column:
@@ -152,7 +148,7 @@ def calibrate(scores: DataFrame, config: AnomalyConfig = AnomalyConfig()) -> Dat
     """
     warning, anomalous, critical = config.severity_quantiles
     c = config.contamination
-    q = exact_quantiles(
+    q = column_quantiles(
         scores,
         ["model"],
         "score",

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from emberwatch.operators.detectors import normal_rows
 from emberwatch.operators.sequences import assemble_features, build_sequences, with_vector
-from emberwatch.plans.ranking import exact_quantiles
+from emberwatch.plans.durable import durable
+from emberwatch.plans.quantiles import column_quantiles
 
 NORMAL_LABELS = ("in_failure", "failure_in_next_10min")
 
@@ -45,7 +46,7 @@ def _error(df: DataFrame, net: Bottleneck, name: str) -> DataFrame:
 
 
 def _threshold(scores: DataFrame, contamination: float) -> float:
-    return exact_quantiles(scores.select("score"), [], "score", {"t": 1.0 - contamination}).first()["t"]
+    return column_quantiles(durable(scores.select("score"), "errors"), [], "score", {"t": 1.0 - contamination}).first()["t"]
 
 
 def fit_rows(

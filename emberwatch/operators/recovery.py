@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.config import RecoveryConfig
 from emberwatch.functions.columns import half_even
-from emberwatch.plans.ranking import exact_quantiles
+from emberwatch.plans.quantiles import column_quantiles
 
 
 def snapshot(df: DataFrame, config: RecoveryConfig = RecoveryConfig()) -> DataFrame:
@@ -53,7 +53,7 @@ def check_metrics(before: DataFrame, after: DataFrame, config: RecoveryConfig =
 def median_time(df: DataFrame) -> DataFrame:
     """Median tick per service in microseconds."""
     times = df.select("service", F.unix_micros("timestamp").cast("double").alias("us"))
-    return exact_quantiles(times, ["service"], "us", {"mid": 0.5})
+    return column_quantiles(times, ["service"], "us", {"mid": 0.5})
 
 
 def verify(

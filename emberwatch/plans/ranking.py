@@ -1,8 +1,8 @@
 """Order statistics without a single-task sort.
 
 ``running_totals`` is the one primitive: rows are first combined per distinct value, then range-partitioned by value so
-that each task owns one contiguous slice, and per-slice totals supply the offset of every slice. Exact quantiles,
-percentile ranks, ROC / PR curves and the two-sample KS statistic all read from its output. A value shared by a third of
+that each task owns one contiguous slice, and per-slice totals supply the offset of every slice. Percentile ranks, ROC / PR
+curves, the two-sample KS statistic and the last step of exact quantiles all read from its output. A value shared by a third of
 all rows is a single row here, and a key holding a third of all rows spans many slices.
 """
 
@@ -39,7 +39,7 @@ def running_totals(
     descending: bool = False,
 ) -> DataFrame:
     """One row per (keys, value) with, for each weight ``w``: its sum ``w``, inclusive running sum ``cum_w`` in value
-    order and key total ``total_w``. NULL values must be dropped by the caller."""
+    order (NULL is the least value) and key total ``total_w``."""
     keys = list(keys)
     direction = F.col(value).desc() if descending else F.col(value).asc()
     combined = df.groupBy(*keys, value).agg(*[F.sum(w).alias(n) for n, w in weights.items()])
@@ -92,18 +92,13 @@ def quantile_columns(value: str, probs: dict[str, float], count: str = "n") -> l
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """One row per key with exact quantiles; linear interpolation between closest ranks."""
+    """One row per key with exact quantiles; linear interpolation between closest ranks. Suits values that repeat, which are
+    combined first; ``plans/quantiles.py`` does not sort values that do not."""
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     totals = running_totals(clean, keys, value, {"n": F.lit(1)})
     return totals.groupBy(*keys).agg(*quantile_columns(value, probs))
 
 
-def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: str, probs: dict[str, float]) -> DataFrame:
-    """``exact_quantiles`` of a table in which every value counts ``weight`` times."""
-    totals = running_totals(df, keys, value, {"n": F.col(weight)})
-    return totals.groupBy(*keys).agg(*quantile_columns(value, probs))
-
-
 def percentile_ranks(rows: DataFrame, reference: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Adds ``percentile`` = share of the key's reference values that are <= the row's value (NULL without one)."""
     keys = list(keys)

@@ -14,6 +14,7 @@ from emberwatch.operators import evaluation as ev
 from emberwatch.operators.quality import correlated_incidents
 from emberwatch.operators.registry import content_hash, dataset_version, merge_content
 from emberwatch.plans.asof import counts_up_to
+from emberwatch.plans.quantiles import column_quantiles, merged, quantiles, sketches
 from emberwatch.plans.ranking import exact_quantiles, numbered, percentile_ranks, running_totals
 from tests.frames import tick
 
@@ -32,6 +33,46 @@ def test_quantiles_equal_numpy(spark, many_slices, values):
     assert [row["a"], row["b"], row["c"]] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.9])))
 
 
+def numbers(spark):
+    """Two keys and NULL, 12,000 rows: spread values, a value of a third of all rows, gaps and an empty column."""
+    nr = F.col("id")
+    key = F.when(nr % 7 == 0, "b").when(nr % 1000 != 1, "a")
+    hot = F.when(nr % 3 == 0, 5.0).when(nr % 11 == 0, F.lit(float("nan"))).when(nr % 13 != 0, (nr * 37 % 997) / 8)
+    return spark.range(12_000).select(
+        key.alias("k"), (nr * 7919 % 12_007).alias("spread"), hot.alias("hot"), F.lit(None).cast("double").alias("void")
+    )
+
+
+PROBS = {"least": 0.0, "q1": 0.25, "mid": 0.5, "high": 0.975, "most": 1.0}
+
+
+def by_hand(rows, key, column):
+    values = [r[column] for r in rows if key in (..., r["k"]) and r[column] is not None and not math.isnan(r[column])]
+    return pytest.approx(list(np.quantile(values, list(PROBS.values()))))
+
+
+@pytest.mark.parametrize("margin, size", [(0.01, 1000), (0.0, 8)])
+def test_bracketed_quantiles_equal_numpy(spark, many_slices, margin, size):
+    """Also when poor sketches without margin miss: those keys are ranked over all values."""
+    df, columns = numbers(spark), ["spread", "hot", "void"]
+    rows = df.collect()
+    sketched = sketches(df.where("k is not null"), ["k"], columns, size)
+    found = quantiles(df, ["k"], columns, PROBS, sketched, margin).collect()
+    assert sorted((r["k"], r["feature"]) for r in found) == [(k, c) for k in "ab" for c in ("hot", "spread")]
+    for r in found:
+        assert [r[name] for name in PROBS] == by_hand(rows, r["k"], r["feature"])
+    everywhere = quantiles(df, [], columns, PROBS, merged(sketches(df, ["k"], columns, size), columns), margin).collect()
+    assert sorted(r["feature"] for r in everywhere) == ["hot", "spread"]
+    for r in everywhere:
+        assert [r[name] for name in PROBS] == by_hand(rows, ..., r["feature"])
+
+
+def test_quantiles_without_values(spark):
+    empty = numbers(spark).limit(0)
+    assert quantiles(empty, ["k"], ["spread", "hot"], PROBS).collect() == []
+    assert column_quantiles(empty, [], "hot", {"mid": 0.5}).collect() == [(None,)]
+
+
 @FEW
 @given(VALUES, VALUES)
 def test_percentile_ranks_equal_searchsorted(spark, many_slices, reference, queries):
