@@ -43,7 +43,6 @@ def run(
     approved: bool = False,
     per_service: bool = True,
     after: DataFrame | None = None,
-    interval_sec: int = 30,
     layout: Layout = AUTO,
 ) -> IncidentRun:
     """Runs every stage. The scored table is written once because ranking and evidence both read it.
@@ -52,7 +51,7 @@ def run(
     features observed after remediation; the flagged services are verified against it.
     """
     scored = durable(score_risk(features, reference, risk, probabilities, anomaly), "scored")
-    packages = top_per_service(assemble(features, scored, feature_columns, logs, evidence, interval_sec, layout))
+    packages = top_per_service(assemble(features, scored, feature_columns, logs, evidence, layout))
     if not per_service:
         packages = packages.orderBy(F.col("risk_score").desc(), "service").limit(1)
     packages = durable(packages, "packages")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from emberwatch.config import EvidenceConfig
 from emberwatch.functions.columns import half_even, null_if_nan
 from emberwatch.plans.blocks import AUTO, Layout, home_rows, series
+from emberwatch.plans.slices import borders, slice_of
 
 # Wording of the recommended actions, by component and by a word in the feature's name.
 GENERAL_ACTIONS = [
@@ -132,59 +134,63 @@ def describe_ticks(
     return home_rows(described.drop("_seen", "_found"))
 
 
-def _cell(time: Column, interval_sec: int) -> Column:
-    return F.floor(F.unix_micros(time) / F.lit(interval_sec * 1_000_000)).cast("long")
-
-
-def _serious(logs: DataFrame, interval_sec: int) -> DataFrame:
-    """WARNING and ERROR lines with their interval; ``_log`` sorts newest first, then by level, message and id."""
+def _serious(logs: DataFrame) -> DataFrame:
+    """WARNING and ERROR lines that have a service and a time; ``_log`` sorts newest first, then by level, message and id."""
     last = F.col("event_id") if "event_id" in logs.columns else F.lit(0)
-    return logs.where(F.col("level").isin("WARNING", "ERROR")).select(
+    known = F.col("service").isNotNull() & F.col("timestamp").isNotNull()
+    return logs.where(F.col("level").isin("WARNING", "ERROR") & known).select(
         "service",
-        _cell(F.col("timestamp"), interval_sec).alias("_cell"),
-        F.struct((-F.unix_micros("timestamp")).alias("age"), "level", "message", last.alias("id"), "timestamp").alias("_log"),
+        F.unix_micros("timestamp").alias("_at"),
+        F.struct((-F.unix_micros("timestamp")).alias("age"), "level", "message", last.alias("id")).alias("_log"),
     )
 
 
-def recent_logs(logs: DataFrame, config: EvidenceConfig, interval_sec: int) -> DataFrame:
-    """The last few WARNING / ERROR lines per service and interval.
+def recent_logs(lines: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """The last few lines per group.
 
     ``row_number() <= k`` keeps k lines per group on the map side before anything is shuffled.
     """
-    newest = W.partitionBy("service", "_cell").orderBy("_log")
-    return (
-        _serious(logs, interval_sec)
-        .withColumn("_nr", F.row_number().over(newest))
-        .where(F.col("_nr") <= config.log_limit)
-        .drop("_nr")
-    )
+    newest = W.partitionBy(*keys).orderBy("_log")
+    return lines.withColumn("_nr", F.row_number().over(newest)).where(F.col("_nr") <= limit).drop("_nr")
 
 
-def correlated_logs(
-    flagged: DataFrame, logs: DataFrame, config: EvidenceConfig = EvidenceConfig(), interval_sec: int = 30
-) -> DataFrame:
+def _lines_before(rows: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
+    """Rows without a line, with ``_found``: the last ``limit`` lines that ``order`` puts before them in their group."""
+    over = f"(PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)}, _log DESC)"
+    earlier = [F.expr(f"lag(_log, {i}) IGNORE NULLS OVER {over}") for i in range(1, limit + 1)]
+    return rows.withColumn("_found", F.array_compact(F.array(*earlier))).where(F.col("_log").isNull()).drop("_log")
+
+
+def correlated_logs(flagged: DataFrame, logs: DataFrame, config: EvidenceConfig = EvidenceConfig()) -> DataFrame:
     """(timestamp, service, correlated_logs): the last ``log_limit`` serious lines in ``[t - window, t]``, newest first.
 
-    Ticks may lie anywhere. Each looks up the few pre-reduced intervals that end before it, so the join multiplies rows
-    by a constant however many lines were logged; of the interval it lies in, only lines up to the tick count, so those
-    are ranked per tick.
+    Ticks may lie anywhere. Ticks and the last lines of every instant are sorted together in slices of time, and each tick
+    takes the lines just before it; a slice also receives the last lines of the slices before it. No tick meets a line in
+    a join, so rows move once however many lines lie in a window, and neither a service nor an instant is one task.
     """
     limit = config.log_limit
-    begin = F.unix_micros("timestamp") - F.lit(int(round(config.log_window_min * 60_000_000)))
-    ticks = flagged.select("service", "timestamp").distinct().withColumn("_own", _cell(F.col("timestamp"), interval_sec))
-    first = F.floor(begin / F.lit(interval_sec * 1_000_000)).cast("long")
-    before = ticks.withColumn("_cell", F.explode(F.filter(F.sequence(first, F.col("_own")), lambda c: c < F.col("_own"))))
-    whole = before.join(recent_logs(logs, config, interval_sec), ["service", "_cell"])
-    partial = ticks.withColumnRenamed("_own", "_cell").join(_serious(logs, interval_sec), ["service", "_cell"])
-    partial = partial.where(F.col("_log.timestamp") <= F.col("timestamp"))
-    ranked = F.row_number().over(W.partitionBy("service", "timestamp").orderBy("_log"))
-    partial = partial.withColumn("_nr", ranked).where(F.col("_nr") <= limit)
-    hits = whole.select("service", "timestamp", "_log").union(partial.select("service", "timestamp", "_log"))
-    hits = hits.where(-F.col("_log.age") >= begin)
-    # at most (intervals of the window + 1) * log_limit lines
-    newest = F.slice(F.array_sort(F.collect_list("_log")), 1, limit)
-    lines = F.transform(newest, lambda x: F.struct(x["timestamp"].alias("timestamp"), x["level"].alias("level"), x["message"].alias("message")))
-    return hits.groupBy("timestamp", "service").agg(F.reverse(F.array_sort(lines)).alias("correlated_logs"))
+    window = int(round(config.log_window_min * 60_000_000))
+    known = flagged.where(F.col("service").isNotNull() & F.col("timestamp").isNotNull())
+    ticks, lines = known.select("service", F.unix_micros("timestamp").alias("_at")), _serious(logs)
+    cut = slice_of(F.col("_at"), borders(ticks.select("_at").union(lines.select("_at")), "_at"))
+    ticks, lines = ticks.withColumn("_slice", cut).distinct(), lines.withColumn("_slice", cut)
+    group, no_line = ["service", "_slice"], F.lit(None).cast(lines.schema["_log"].dataType).alias("_log")
+    # at most log_limit lines and one tick per service and slice
+    last = recent_logs(lines, group, limit).select(*group, F.lit(1).alias("_order"), "_log")
+    asked = ticks.select(*group).distinct().select(*group, F.lit(0).alias("_order"), no_line)
+    carried = _lines_before(last.union(asked), ["service"], ["_slice", "_order"], limit)
+    carried = carried.select(*group, F.explode("_found").alias("_log"))
+    rows = [
+        recent_logs(lines, [*group, "_at"], limit).select(*group, "_at", F.lit(0).alias("_order"), "_log"),
+        carried.select(*group, (-F.col("_log.age")).alias("_at"), F.lit(0).alias("_order"), "_log"),
+        ticks.select(*group, "_at", F.lit(1).alias("_order"), no_line),
+    ]
+    found = _lines_before(reduce(DataFrame.union, rows), group, ["_at", "_order"], limit)
+    near = F.filter("_found", lambda x: -x["age"] >= F.col("_at") - F.lit(window))
+    lines_of = F.transform(near, lambda x: F.struct(F.timestamp_micros(-x["age"]).alias("timestamp"), x["level"].alias("level"), x["message"].alias("message")))
+    return found.where(F.size(near) > 0).select(
+        F.timestamp_micros("_at").alias("timestamp"), "service", F.reverse(F.array_sort(lines_of)).alias("correlated_logs")
+    )
 
 
 def recommended_actions(components: dict[str, Column], top_features: Column) -> Column:
@@ -214,7 +220,6 @@ def assemble(
     features: Sequence[str],
     logs: DataFrame | None = None,
     config: EvidenceConfig = EvidenceConfig(),
-    interval_sec: int = 30,
     layout: Layout = AUTO,
 ) -> DataFrame:
     """One evidence package per row of ``scored`` whose risk reaches the threshold; ``table`` holds the features."""
@@ -228,7 +233,7 @@ def assemble(
             "correlated_logs", F.lit(None).cast("array<struct<timestamp:timestamp,level:string,message:string>>")
         )
     else:
-        packed = described.join(correlated_logs(flagged, logs, config, interval_sec), ["timestamp", "service"], "left")
+        packed = described.join(correlated_logs(flagged, logs, config), ["timestamp", "service"], "left")
     components = {c: F.col(c) for c in present}
     for name in COMPONENTS:
         components.setdefault(name, F.lit(None).cast("double"))

@@ -101,14 +101,14 @@ block("near", LOG_CHOICE, "risk", "log")
 def _(x: Tables):
     """Ticks are the times of all errors, which lie anywhere between the borders of the grid."""
     ticks = x.logs.where("level = 'ERROR'").select(*KEYS).distinct()
-    logs = evd.correlated_logs(ticks, x.logs, adapter.EVIDENCE, adapter.HOUR)
+    logs = evd.correlated_logs(ticks, x.logs, adapter.EVIDENCE)
     return logs.select(*KEYS, F.transform("correlated_logs", lambda e: e["message"]).alias("messages"))
 
 
 def packages(x: Tables):
     if not hasattr(x, "_packages"):
         x._packages = durable(
-            evd.assemble(x.dataset, x.risk, FEATURES, x.logs, adapter.EVIDENCE, adapter.HOUR, GRID), "packages"
+            evd.assemble(x.dataset, x.risk, FEATURES, x.logs, adapter.EVIDENCE, GRID), "packages"
         )
     return x._packages
 
@@ -142,7 +142,7 @@ LONG_NUMBER = r"(\d{10})\d+\.\d+"
 )
 def _(x: Tables):
     """All evidence packages, from the tables to logs."""
-    made = evd.assemble(x.dataset, x.risk, FEATURES, x.logs, adapter.EVIDENCE, adapter.HOUR, GRID)
+    made = evd.assemble(x.dataset, x.risk, FEATURES, x.logs, adapter.EVIDENCE, GRID)
     return made.select(
         *KEYS,
         "risk_score",
@@ -586,7 +586,6 @@ def incident_run(x: Tables, **options):
         adapter.EVIDENCE,
         POLICY,
         adapter.RECOVERY,
-        interval_sec=adapter.HOUR,
         layout=GRID,
         **options,
     )

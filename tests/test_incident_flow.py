@@ -120,6 +120,29 @@ def test_logs_before_a_tick_off_the_grid(spark):
     assert [e["message"] for e in few] == ["m0", "m5", "m35"]
 
 
+def test_log_correlation_makes_no_pairs(spark, many_slices):
+    """Ticks and lines are sorted together and never joined; carries reach over empty slices, copies of lines count."""
+    rng = np.random.default_rng(5)
+    at = [START + dt.timedelta(seconds=int(s)) for s in rng.integers(0, 1500, 400)]
+    level = rng.choice(["ERROR", "WARNING", "INFO"], 400)
+    rows = [(t, "ab"[i % 2], str(level[i]), None if i % 50 == 0 else f"m{i % 7}", i % 90) for i, t in enumerate(at)]
+    rows += rows[:60] + [(START, "c", "ERROR", "lone", 1), (None, "a", "ERROR", "x", 2), (at[0], None, "ERROR", "x", 3)]
+    logs = spark.createDataFrame(rows, "timestamp timestamp, service string, level string, message string, event_id long")
+    asked = [(t, s) for t in at[::3] for s in "abcd"] + [(at[0], "a"), (None, "a"), (at[0], None)]
+    ticks = spark.createDataFrame(asked, "timestamp timestamp, service string")
+    found = evd.correlated_logs(ticks, logs)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    expected = {}
+    for t, s in {x for x in asked if None not in x}:
+        seen = [r for r in rows if r[0] and r[1] == s and r[2] != "INFO" and t - dt.timedelta(minutes=10) <= r[0] <= t]
+        best = sorted(seen, key=lambda r: (START - r[0], r[2], r[3] or "", r[4]))[:3]
+        if best:
+            expected[(t, s)] = sorted([(r[0], r[2], r[3]) for r in best], key=lambda r: (r[0], r[1], r[2] or ""), reverse=True)
+    got = found.collect()
+    assert len(got) == len(expected) and ("c" in {s for _, s in expected})
+    assert {(r["timestamp"], r["service"]): [tuple(e) for e in r["correlated_logs"]] for r in got} == expected
+
+
 def test_assembled_package(spark):
     df = jumpy(spark)
     scored = df.select("timestamp", "service").withColumns(
