@@ -388,6 +388,29 @@ def test_bytes_that_are_no_text():
     assert sc.codec(sc.default_model()).decode_batch([lone, []], skip_special_tokens=False)[0].endswith(" a")
 
 
+def test_only_bytes_of_longer_characters_need_the_library_to_decode(monkeypatch):
+    path = sc.default_model()
+    own, asked = sc.codec(path), []
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(own, name)
+
+        def decode_batch(self, ids, **options):
+            asked.extend(ids)
+            return own.decode_batch(ids, **options)
+
+    monkeypatch.setattr(sc, "codec", lambda *_: Watched())
+    sc.texts_of_ids.cache_clear()
+    texts = ["plain words", "  two\n\nlines \x00\t", "", " ", "\u2581 mark", "<s> <0x41>", "\ufffd", "smile \U0001F600 \u0a85"]
+    ids = [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+    b = {x: own.token_to_id(f"<0x{x:02X}>") for x in (0x0A, 0x41, 0xE2, 0x96, 0x81)}
+    lone = [[b[0x0A], b[0x41]], [b[0x0A], b[0xE2], b[0x41]], [b[0xE2], b[0x96], b[0x81]], [1, 2, 0], [99_999, ids[0][0]]]
+    assert sc._decoded(ids + lone, path, 1) == own.decode_batch(ids + lone, skip_special_tokens=False)
+    assert not [x for x in ids[:4] if x in asked] and ids[-1] in asked
+    sc.texts_of_ids.cache_clear()
+
+
 def test_bpe_parity_on_random_strings():
     import sentencepiece
 
