@@ -142,21 +142,27 @@ def load(path: str) -> PieceModel:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str, threads: int = 1):
-    """Tokenizer of a model file, once per Python worker."""
+def codec(path: str, threads: int = 1, marked: bool = False):
+    """Tokenizer of a model file, once per Python worker; ``marked``: for texts from ``mark``."""
+    from tokenizers import normalizers
+
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-    return build(load(path))
+    out = build(load(path))
+    if marked:
+        out.normalizer = normalizers.Sequence([])
+    return out
 
 
-@lru_cache(maxsize=4)
-def texts_of_ids(path: str, threads: int = 1) -> dict[int, str]:
-    """Text of each id that decodes alike in any place: all but the bytes of characters longer than one."""
-    from tokenizers import decoders
+def only_marks(model: PieceModel) -> bool:
+    """Whether setting marks is all that the model does to a text before it is encoded, and to the text as a whole."""
+    return not model.charsmap and not model.one_space and all(kind != USER_DEFINED for _, _, kind in model.pieces)
+
 
-    alone = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " ")])
-    texts = {i: alone.decode([piece]) for piece, i in codec(path, threads).get_vocab().items()}
-    return {i: text for i, text in texts.items() if "\ufffd" not in text}
+def mark(text: str, model: PieceModel) -> str:
+    """The text with its marks. The library's normalisers do the same, but keep the origin of every byte."""
+    text = text.replace(" ", MARK)
+    return MARK + text if text and model.dummy_prefix else text
 
 
 @lru_cache(maxsize=4)
@@ -181,34 +187,17 @@ def task_threads(df: DataFrame) -> int:
     return int(df.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
 
 
-def _decoded(ids: list[list[int]], path: str, threads: int) -> list[str]:
-    """Text of each list of ids. Most are put together from the ids' own texts, which takes under half of the library's time;
-    lists with bytes of longer characters or with unknown ids are left to the library."""
-    text_of = texts_of_ids(path, threads).__getitem__
-    out, left = [], []
-    for place, one in enumerate(ids):
-        try:
-            out.append("".join(map(text_of, one)))
-        except KeyError:
-            out.append("")
-            left.append(place)
-    if load(path).dummy_prefix:
-        out = [text.removeprefix(" ") for text in out]
-    if left:
-        found = codec(path, threads).decode_batch([ids[place] for place in left], skip_special_tokens=False)
-        for place, text in zip(left, found):
-            out[place] = text
-    return out
-
-
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, threads: int, parity: bool):
     """Slices of the batches with their texts, the ids of each text, and whether sentencepiece gives the same ids."""
-    own, other = codec(path, threads), checker(path) if parity else None
+    model, other = load(path), checker(path) if parity else None
+    marked = only_marks(model)
+    own = codec(path, threads, marked)
     for batch in batches:
         for lo in range(0, batch.num_rows, GROUP):
             part = batch.slice(lo, GROUP)
             texts = [t or "" for t in part.column("text").to_pylist()]
-            ids = [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+            given = [mark(t, model) for t in texts] if marked else texts
+            ids = [e.ids for e in own.encode_batch_fast(given, add_special_tokens=False)]
             same = [a == b for a, b in zip(ids, other.encode(texts, num_threads=threads))] if parity else [None] * len(ids)
             yield part, texts, ids, same
 
@@ -234,8 +223,9 @@ def decode(encoded: DataFrame, model: str | None = None, threads: int | None = N
     path, threads = model or default_model(), threads or task_threads(encoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, threads)
         for batch in batches:
-            texts = _decoded([x or [] for x in batch.column("ids").to_pylist()], path, threads)
+            texts = own.decode_batch([x or [] for x in batch.column("ids").to_pylist()], skip_special_tokens=False)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     rows = pick(encoded, "doc_id", "ids").select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
@@ -251,9 +241,9 @@ def codec_digests(docs: DataFrame, model: str | None = None, threads: int | None
     path, threads = model or default_model(), threads or task_threads(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        other = checker(path)
+        own, other = codec(path, threads, only_marks(load(path))), checker(path)
         for part, texts, ids, same in _encoded(batches, path, threads, True):
-            back = _decoded(ids, path, threads)
+            back = own.decode_batch(ids, skip_special_tokens=False)
             same = [a and b == c for a, b, c in zip(same, back, other.decode(ids, num_threads=threads))]
             flat = np.fromiter(chain.from_iterable(ids), "<u4", sum(map(len, ids))).tobytes()
             ends = np.cumsum([0, *map(len, ids)]) * 4

@@ -1,3 +1,4 @@
+import dataclasses
 """Sharding, packing, chat windows, pages, licences and the codec against plain versions."""
 
 import hashlib
@@ -388,27 +389,18 @@ def test_bytes_that_are_no_text():
     assert sc.codec(sc.default_model()).decode_batch([lone, []], skip_special_tokens=False)[0].endswith(" a")
 
 
-def test_only_bytes_of_longer_characters_need_the_library_to_decode(monkeypatch):
+def test_marks_set_outside_the_library_give_its_ids():
     path = sc.default_model()
-    own, asked = sc.codec(path), []
-
-    class Watched:
-        def __getattr__(self, name):
-            return getattr(own, name)
-
-        def decode_batch(self, ids, **options):
-            asked.extend(ids)
-            return own.decode_batch(ids, **options)
-
-    monkeypatch.setattr(sc, "codec", lambda *_: Watched())
-    sc.texts_of_ids.cache_clear()
-    texts = ["plain words", "  two\n\nlines \x00\t", "", " ", "\u2581 mark", "<s> <0x41>", "\ufffd", "smile \U0001F600 \u0a85"]
-    ids = [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
-    b = {x: own.token_to_id(f"<0x{x:02X}>") for x in (0x0A, 0x41, 0xE2, 0x96, 0x81)}
-    lone = [[b[0x0A], b[0x41]], [b[0x0A], b[0xE2], b[0x41]], [b[0xE2], b[0x96], b[0x81]], [1, 2, 0], [99_999, ids[0][0]]]
-    assert sc._decoded(ids + lone, path, 1) == own.decode_batch(ids + lone, skip_special_tokens=False)
-    assert not [x for x in ids[:4] if x in asked] and ids[-1] in asked
-    sc.texts_of_ids.cache_clear()
+    model, own, bare = sc.load(path), sc.codec(path), sc.codec(path, 1, True)
+    rng = random.Random(3)
+    texts = ["", " ", "  ", "\u2581", "a", " a  b ", "x\n \n y\t", "\u00a0\u3000", "<s> <0x41>", "smile \U0001F600 \u0a85"]
+    texts += ["".join(rng.choice("ab  \n\u2581\u00e9\u4e2d.0") for _ in range(rng.randrange(60))) for _ in range(300)]
+    assert sc.only_marks(model)
+    assert [sc.mark(t, model) for t in texts] == [own.normalizer.normalize_str(t) for t in texts]
+    given = bare.encode_batch_fast([sc.mark(t, model) for t in texts], add_special_tokens=False)
+    assert [e.ids for e in given] == [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+    for change in ({"charsmap": b"x"}, {"one_space": True}, {"pieces": [*model.pieces, ("new", 0.0, sc.USER_DEFINED)]}):
+        assert not sc.only_marks(dataclasses.replace(model, **change))
 
 
 def test_bpe_parity_on_random_strings():
