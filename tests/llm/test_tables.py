@@ -1,6 +1,6 @@
-import dataclasses
 """Sharding, packing, chat windows, pages, licences and the codec against plain versions."""
 
+import dataclasses
 import hashlib
 import random
 import time
